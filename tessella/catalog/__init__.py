@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("labels", "vectors", "splits")
+MODULES = ("labels", "vectors", "splits", "aggregates", "metrics")
 
 
 def load():

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tessella.operators.calibrate import long_scores
 from tessella.operators.metrics import sample_f1
 from tessella.operators.ordering import running
+from tessella.session import durable
 
 UNITS_PER_PASS = 128
 
@@ -81,12 +82,14 @@ def draw_units(spark, units: Sequence[str], n_boot: int, seed: int) -> DataFrame
     """(b, u, w): how often each unit is drawn in resample b; b = -1 is the point estimate."""
     n = len(units)
     names = F.array(*[F.lit(u) for u in units])
-    draws = spark.range(n_boot).select(
+    draws = spark.range(0, n_boot, 1, max(1, n_boot * n // 100_000)).select(
         F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")
     )
     pick = F.pmod(F.xxhash64(F.lit(seed), "b", "i"), F.lit(n)).cast("int")
     drawn = draws.select("b", names[pick].alias("u")).groupBy("b", "u").agg(F.count("*").alias("w"))
-    point = spark.createDataFrame([(-1, u, 1) for u in units], "b bigint, u string, w bigint")
+    point = spark.range(1).select(
+        F.lit(-1).cast("bigint").alias("b"), F.explode(names).alias("u"), F.lit(1).cast("bigint").alias("w")
+    )
     return drawn.unionByName(point)
 
 
@@ -124,12 +127,14 @@ def summarize(values: DataFrame) -> DataFrame:
 
     The values are one per resample and metric, so the exact aggregate is bounded.
     """
-    boots = values.where("b >= 0").groupBy("metric").agg(
-        F.percentile("value", 0.025).alias("lo"), F.percentile("value", 0.975).alias("hi")
+    boot = F.when(F.col("b") >= 0, F.col("value"))
+    out = values.groupBy("metric").agg(
+        F.max(F.when(F.col("b") == -1, F.col("value"))).alias("point"),
+        F.percentile(boot, 0.025).alias("lo"),
+        F.percentile(boot, 0.975).alias("hi"),
     )
-    point = values.where("b = -1").select("metric", F.col("value").alias("point"))
     resolved = F.coalesce((F.col("lo") > 0.5) | (F.col("hi") < 0.5), F.lit(False))
-    return point.join(boots, "metric", "left").select("metric", "point", "lo", "hi", resolved.alias("resolved"))
+    return out.where("point is not null").select("metric", "point", "lo", "hi", resolved.alias("resolved"))
 
 
 def bootstrap_report(
@@ -137,9 +142,11 @@ def bootstrap_report(
 ) -> DataFrame:
     """Point estimates and 95 % intervals; `preds` has unit, scores, label, pred.
 
-    `draws` (b, u, w) overrides the resamples.
+    `draws` (b, u, w) overrides the resamples. The per-image rows, the concordance matrix
+    and the draws feed several branches, so each is written once to the checkpoint folder.
     """
+    preds = durable(preds.select(unit, "scores", "label", "pred"))
     units = unit_list(preds, unit)
-    draws = draws if draws is not None else draw_units(preds.sparkSession, units, n_boot, seed)
+    draws = durable(draws if draws is not None else draw_units(preds.sparkSession, units, n_boot, seed))
     per_unit, per_class = unit_statistics(preds, unit)
-    return summarize(weighted_metrics(per_unit, per_class, concordance(preds, unit, units), draws))
+    return summarize(weighted_metrics(per_unit, per_class, durable(concordance(preds, unit, units)), draws))
