@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("labels", "vectors", "splits", "aggregates", "metrics")
+MODULES = ("labels", "vectors", "splits", "aggregates", "metrics", "jobs")
 
 
 def load():

@@ -47,7 +47,24 @@ def _map_vectors(df: DataFrame, vec: str, keep: Sequence[str], outputs: dict[str
                 cols.append(to_lists(v) if v.ndim == 2 else pa.array(v))
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, *outputs])
 
-    return df.select(*keep, vec).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, vec])).mapInArrow(run, schema)
+
+
+def readouts(z: np.ndarray, p: np.ndarray, tau, wanted: Sequence[str]) -> dict[str, np.ndarray]:
+    """Read-outs of unit rows against unit prototypes."""
+    s = z @ p.T
+    out: dict[str, np.ndarray] = {"sims": s, "max_sim": s.max(axis=1)}
+    if {"weights", "residual"} & set(wanted):
+        out["weights"] = sparsemax_rows(s * tau)
+        out["residual"] = np.linalg.norm(z - out["weights"] @ p, axis=1)
+    if "softmax" in wanted:
+        out["softmax"] = softmax_rows(s * tau)
+    out["neg_max"] = -out["max_sim"]
+    out["best"] = s.argmax(axis=1).astype(np.int32)
+    for name in wanted:
+        if name.startswith("energy@"):
+            out[name] = energy_rows(s, float(name.split("@")[1]))
+    return out
 
 
 def score_tiles(
@@ -71,23 +88,7 @@ def score_tiles(
             return T.ArrayType(T.DoubleType())
         return T.IntegerType() if name == "best" else T.DoubleType()
 
-    def compute(z: np.ndarray) -> dict[str, np.ndarray]:
-        z = unit_rows(z)
-        s = z @ p.T
-        out: dict[str, np.ndarray] = {"sims": s}
-        if {"weights", "residual"} & set(wanted):
-            out["weights"] = sparsemax_rows(s * tau)
-            out["residual"] = np.linalg.norm(z - out["weights"] @ p, axis=1)
-        if "softmax" in wanted:
-            out["softmax"] = softmax_rows(s * tau)
-        out["max_sim"] = s.max(axis=1)
-        out["neg_max"] = -out["max_sim"]
-        out["best"] = s.argmax(axis=1).astype(np.int32)
-        for name in wanted:
-            if name.startswith("energy@"):
-                out[name] = energy_rows(s, float(name.split("@")[1]))
-        return out
-
+    compute = lambda z: readouts(unit_rows(z), p, tau, wanted)
     return _map_vectors(tiles, vec, keep, {n: dtype(n) for n in wanted}, compute)
 
 
@@ -248,3 +249,40 @@ def sparsity(scored: DataFrame, column: str = "weights", eps: float = 1e-8) -> D
     """Share of weights that are zero up to `eps`."""
     zeros = F.size(F.filter(column, lambda w: F.abs(w) <= eps))
     return scored.agg((F.sum(zeros) / F.sum(F.size(column))).alias("sparsity"))
+
+
+def score_models(
+    tiles: DataFrame,
+    models: dict[int, PrototypeModel],
+    outputs: Sequence[str] = ("sims",),
+    keep: Sequence[str] = ("image_id", "tile_idx"),
+    name: str = "fold",
+    vec: str = "z",
+) -> DataFrame:
+    """`score_tiles` for several models in one pass over the tiles: (name, keep, outputs).
+
+    Folds and seeds differ only in their parameters, so the vectors are read once and
+    one scored row per model comes out, ready for partial aggregation.
+    """
+    first = next(iter(models.values()))
+    single = score_tiles(tiles, first, outputs, keep, vec)
+    schema = T.StructType([T.StructField(name, T.IntegerType()), *single.schema.fields])
+    params = {
+        int(f): (unit_rows(np.asarray(m.matrix, dtype=np.float64)), m.tau) for f, m in models.items()
+    }
+    wanted = list(outputs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            z = unit_rows(to_matrix(b.column(vec)))
+            kept = [b.column(c) for c in keep]
+            for f, (p, tau) in params.items():
+                made = readouts(z, p, tau, wanted)
+                cols = [pa.array(np.full(b.num_rows, f, dtype=np.int32)), *kept]
+                cols += [to_lists(made[o]) if made[o].ndim == 2 else pa.array(made[o]) for o in wanted]
+                yield pa.RecordBatch.from_arrays(cols, names=[name, *keep, *wanted])
+
+    columns = list(dict.fromkeys([*keep, vec]))
+    return tiles.select(*columns).mapInArrow(run, schema)
