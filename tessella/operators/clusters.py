@@ -23,10 +23,11 @@ ROUNDS, INNER, EPSILON, SEED_FLOOR = 30, 3, 0.05, 1e-12
 ROWS_PER_CLUSTER = 5
 
 
-def task_sums(df: DataFrame, cols: Sequence[str], fn: Callable[..., np.ndarray]) -> np.ndarray:
+def task_sums(df: DataFrame, cols: Sequence[str], fn: Callable[..., np.ndarray], short: bool = False) -> np.ndarray:
     """Sum over all rows of the vector `fn(*matrices)` returns per batch.
 
-    Every task adds up its own batches; the per-task vectors are added by Spark.
+    Every task adds up its own batches; the per-task vectors are added by Spark. A
+    `short` vector (tens of numbers) skips that shuffle and is added as tasks report.
     """
     cols = list(cols)
 
@@ -45,6 +46,8 @@ def task_sums(df: DataFrame, cols: Sequence[str], fn: Callable[..., np.ndarray])
             yield pa.RecordBatch.from_arrays([to_lists(total[None, :]), pa.array([1.0])], names=["s", "n"])
 
     rows = df.select(*cols).mapInArrow(run, "s array<double>, n double")
+    if short:
+        return np.sum([np.array(r["s"]) for r in rows.select("s").collect()], axis=0)
     flat = rows.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
     out = np.zeros(len(flat))
     for r in flat:
@@ -72,7 +75,7 @@ def sinkhorn_scalings(rows: DataFrame, centres: np.ndarray, iters: int = INNER,
             f = unit_rows(z)
             return np.exp(f @ centres.T / eps).sum(axis=0) if first else _balance(f, centres, a, eps).sum(axis=0)
 
-        total = task_sums(rows, [vec], mass)
+        total = task_sums(rows, [vec], mass, short=True)
         alpha = alpha / np.maximum(total, 1e-300)
         alpha = alpha / alpha.max()
     return alpha
@@ -145,6 +148,63 @@ def sinkhorn_cluster(
         held.unpersist()
 
 
+def sinkhorn_cluster_by(
+    rows: DataFrame, group: str, groups: Sequence[int], k: int, rounds: int = ROUNDS, inner: int = INNER,
+    eps: float = EPSILON, seed: int = 1337,
+) -> dict[int, np.ndarray]:
+    """`sinkhorn_cluster` for several row groups (folds, gates) that share every pass.
+
+    `group` is an integer column; rows may belong to one group each. Only K vectors per
+    group travel.
+    """
+    from pyspark.storagelevel import StorageLevel as Level
+
+    at = {g: i for i, g in enumerate(groups)}
+    held = rows.where(F.col(group).isin([int(g) for g in groups])).persist(Level.MEMORY_AND_DISK)
+
+    def per_group(fn, cols, short=False):
+        """Sum of fn(index, unit rows) per group; one vector per group."""
+
+        def run(g, z):
+            f = unit_rows(z)
+            parts = {}
+            for value in np.unique(g):
+                parts[at[int(value)]] = fn(at[int(value)], f[g == value])
+            size = len(next(iter(parts.values())))
+            out = np.zeros((len(groups), size))
+            for i, v in parts.items():
+                out[i] = v
+            return out
+
+        return task_sums(held, cols, run, short).reshape(len(groups), -1)
+
+    try:
+        centres = np.stack([
+            seed_plusplus(held.where(F.col(group) == int(g)), k, seed) for g in groups
+        ])
+        for _ in range(rounds):
+            alpha, c = np.ones((len(groups), k)), centres
+            for it in range(inner):
+                a, first = alpha, it == 0
+                mass = lambda i, f, c=c, a=a, first=first: (
+                    np.exp(f @ c[i].T / eps).sum(axis=0) if first else _balance(f, c[i], a[i], eps).sum(axis=0)
+                )
+                alpha = alpha / np.maximum(per_group(mass, [group, "z"], short=True), 1e-300)
+                alpha = alpha / alpha.max(axis=1, keepdims=True)
+
+            def moved(i, f, c=c, alpha=alpha):
+                q = _balance(f, c[i], alpha[i], eps)
+                return np.concatenate([(q.T @ f).ravel(), q.sum(axis=0)])
+
+            s = per_group(moved, [group, "z"])
+            d = c.shape[2]
+            sums, weight = s[:, : k * d].reshape(c.shape), s[:, k * d :]
+            centres = unit_rows(sums / (weight[:, :, None] + 1e-8))
+        return {g: centres[i] for g, i in at.items()}
+    finally:
+        held.unpersist()
+
+
 def assign_clusters(rows: DataFrame, centres: np.ndarray, keep=("image_id", "tile_idx")) -> DataFrame:
     """(keep, best): nearest centre, first on ties."""
     from tessella.operators.scoring import score_tiles

@@ -573,7 +573,7 @@ def refine_simgcd(
                     q = softmax_rows(f @ h.T / sk_temp) if first else pseudo(f, h, a)
                     return q.sum(axis=0)
 
-                alpha = alpha / np.maximum(task_sums(te, ["z"], mass), 1e-8)
+                alpha = alpha / np.maximum(task_sums(te, ["z"], mass, short=True), 1e-8)
                 alpha = alpha / alpha.max()
 
             def unsupervised(z, h=h, alpha=alpha):
@@ -608,7 +608,7 @@ def refine_kd(
                 w = sparsemax_rows(unit_rows(z) @ unit_rows(t).T * tau)
                 return np.array([w[:, :kk].sum()])
 
-            mean_gate = max(float(task_sums(data, ["z"], gates)[0]) / n, 1e-8)
+            mean_gate = max(float(task_sums(data, ["z"], gates, short=True)[0]) / n, 1e-8)
 
             def sums(z, t=t, mean_gate=mean_gate):
                 f = unit_rows(z)

@@ -104,15 +104,20 @@ def knn_top(
     n_qb = max(1, -(-n_query // block_rows))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
     q = queries.select(*keep, "z", F.pmod(F.xxhash64(*keep), F.lit(n_qb)).cast("int").alias("qb")).withColumn("pb", each(n_pb))
-    p = pool.withColumn("pb", F.pmod(F.xxhash64(*pool_keys), F.lit(n_pb)).cast("int")).withColumn("qb", each(n_qb))
+    # fresh column names: queries and pool may come from one table
+    p = pool.select(
+        F.col("z").alias("pz"),
+        *([F.col("label").alias("plabel")] if labelled else []),
+        F.pmod(F.xxhash64(*pool_keys), F.lit(n_pb)).cast("int").alias("ppb"),
+    ).withColumn("pqb", each(n_qb))
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:
             return schema_arrow.empty_table()
         b = left.combine_chunks().to_batches()[0]
         if right.num_rows:
-            z = unit_rows(to_matrix(right.column("z").combine_chunks()))
-            labels = to_matrix(right.column("label").combine_chunks()) if labelled else np.zeros((len(z), 0))
+            z = unit_rows(to_matrix(right.column("pz").combine_chunks()))
+            labels = to_matrix(right.column("plabel").combine_chunks()) if labelled else np.zeros((len(z), 0))
             tops = _top(unit_rows(to_matrix(b.column("z"))), z, masks_of(labels), k)
         else:
             tops = [np.full((b.num_rows, k), -np.inf) for _ in excludes]
@@ -121,7 +126,7 @@ def knn_top(
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema_arrow = to_arrow_schema(schema)
-    tops = q.groupBy("pb", "qb").cogroup(p.groupBy("pb", "qb")).applyInArrow(cell, schema)
+    tops = q.groupBy("pb", "qb").cogroup(p.groupBy("ppb", "pqb")).applyInArrow(cell, schema)
     merged = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k)
     return tops.groupBy(*keep, "fold").agg(merged.alias("top"))
 

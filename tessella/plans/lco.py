@@ -120,15 +120,16 @@ def granularity_report(
     `units` has granularity, image_id, z; `protocol` has image_id, combo, label, role.
     Prototypes use the train role, thresholds the val role.
     """
-    out = None
-    for (name,), model in _granularity_models(units, protocol, classes).items():
-        s = S.score_units(units.where(F.col("granularity") == name), model, aggs)
-        s = durable(s.join(protocol.where("role <> 'train'").select("image_id", "combo", "label", "role"), "image_id"))
-        thr = C.quantile_thresholds(s.where("role = 'val'"), 0.05, C.NEVER_FIRES, ["key"])
-        f1 = M.per_sample_f1(C.apply_thresholds(s, thr, ["key"]), ["key", "role"])
-        part = M.mean_auroc(s, ["key", "role"]).join(f1, ["key", "role"]).withColumn("granularity", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    protocol = durable(protocol.select("image_id", "combo", "label", "role"))
+    keys = ["granularity", "key"]
+    parts = [
+        S.score_units(units.where(F.col("granularity") == name), model, aggs).withColumn("granularity", F.lit(name))
+        for (name,), model in _granularity_models(units, protocol, classes).items()
+    ]
+    scores = durable(reduce(DataFrame.unionByName, parts).join(protocol.where("role <> 'train'"), "image_id"))
+    thr = C.quantile_thresholds(scores.where("role = 'val'"), 0.05, C.NEVER_FIRES, keys)
+    f1 = M.per_sample_f1(C.apply_thresholds(scores, thr, keys), [*keys, "role"])
+    return M.mean_auroc(scores, [*keys, "role"]).join(f1, [*keys, "role"])
 
 
 def _granularity_models(units: DataFrame, protocol: DataFrame, classes: Sequence[str]) -> dict:

@@ -177,9 +177,13 @@ def openworld_variants(
         unknown = F.element_at("label", F.element_at("gone", -1) + 1)
         if stage == "inner":
             long = long.where(F.element_at("label", F.col("gone")[0] + 1) == 0)
-        long = long.withColumn("unknown", unknown).withColumn("k_star", F.col("gone")[0])
-        long = long.withColumn("k_in", F.when(F.size("gone") > 1, F.col("gone")[1]))
-        m = M.openset_metrics(durable(long), ["k_star", "k_in", "variant"]).withColumn("stage", F.lit(stage))
+        long = durable(long.select("fold", "variant", "score", unknown.alias("unknown")))
+        m = M.openset_metrics(long, ["fold", "variant"]).withColumn("_gone", gone[F.col("fold")]).select(
+            F.lit(stage).alias("stage"),
+            F.col("_gone")[0].alias("k_star"),
+            F.when(F.size("_gone") > 1, F.get("_gone", F.lit(1))).alias("k_in"),
+            "variant", "auroc", "aupr", "fpr95",
+        )
         out = m if out is None else out.unionByName(m)
     return out
 
@@ -261,7 +265,7 @@ def _proposals(test_tiles, known, gates, method, k_new, min_units, refine, args)
     flagged = sums.select("k_star", "g", F.col("n").cast("bigint").alias("n_flagged"))
     got = {(r["k_star"], r["g"]): r for r in sums.collect()}
     dim = next(iter(known.values())).dim
-    new = {}
+    new, several = {}, []
     for f, model in known.items():
         for g, threshold in enumerate(gates):
             r = got.get((f, g))
@@ -269,8 +273,16 @@ def _proposals(test_tiles, known, gates, method, k_new, min_units, refine, args)
                 new[f, g] = np.zeros((0, dim))
             elif method == "sinkhorn" and k_new == 1 and refine is None:
                 new[f, g] = unit_rows(np.array(r["s"])[None, :])
+            elif method == "sinkhorn" and refine is None:
+                several.append(f * len(gates) + g)
             else:
                 new[f, g] = CL.propose_prototypes(test_tiles, model, threshold, method, k_new, min_size=min_units, refine=refine, **args)
+    if several:  # all folds and gates iterate together
+        cell = (F.col("k_star") * len(gates) + F.col("e.g")).cast("int")
+        keyed = scored.select("k_star", "image_id", "tile_idx", "z", "residual", F.explode(limit).alias("e"))
+        keyed = keyed.where(F.col("residual") > F.col("e.t")).select(cell.alias("cell"), "image_id", "tile_idx", "z")
+        for c, centres in CL.sinkhorn_cluster_by(keyed, "cell", several, k_new, **args).items():
+            new[c // len(gates), c % len(gates)] = centres
     return flagged, new
 
 
