@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ("labels", "vectors", "splits", "aggregates", "metrics", "jobs", "frames", "ablations")
+MODULES = ("labels", "vectors", "splits", "aggregates", "metrics", "jobs", "frames", "ablations", "stores")
 
 
 def load():

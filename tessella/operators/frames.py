@@ -90,7 +90,12 @@ def decode_frames(spark, root: str, recursive: bool = True) -> DataFrame:
     Decoding is the built-in image source; it delivers BGR, which the map turns into RGB.
     """
     reader = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", recursive)
-    raw = reader.load(root).select(
+    return rgb_frames(reader.load(root))
+
+
+def rgb_frames(source: DataFrame) -> DataFrame:
+    """Rows of the image source (batch or stream) as (path, height, width, pixels)."""
+    raw = source.select(
         F.col("image.origin").alias("path"), F.col("image.height").alias("height"), F.col("image.width").alias("width"),
         F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"),
     )
