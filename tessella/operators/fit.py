@@ -146,7 +146,7 @@ def asymmetric_sums(
 
 def row_uniform(ids: np.ndarray, width: int, seed: int) -> np.ndarray:
     """Uniforms in [0, 1) per (row id, column), independent of batch order."""
-    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(width, dtype=np.uint64) + np.uint64(seed) * np.uint64(0xBF58476D1CE4E5B9)
+    x = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + np.arange(width, dtype=np.uint64) + np.uint64(seed * 0xBF58476D1CE4E5B9 % (1 << 64))
     for shift, mult in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(mult)
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)

@@ -366,7 +366,7 @@ def crop_plan(w: int, h: int, min_ratio: float, rng: np.random.Generator, tries:
     box = side * (abs(math.cos(t)) + abs(math.sin(t)))
     ox = rng.uniform(-1, 1) * max(0.0, (w - box) / 2.0)
     oy = rng.uniform(-1, 1) * max(0.0, (h - box) / 2.0)
-    return angle, side, int(round(ox * math.cos(t) - oy * math.sin(t))), int(round(ox * math.sin(t) + oy * math.cos(t)))
+    return angle, side, int(round(ox * math.cos(t) + oy * math.sin(t))), int(round(oy * math.cos(t) - ox * math.sin(t)))
 
 
 def rotated_crop(a: np.ndarray, angle: float, side: int, dx: int, dy: int) -> np.ndarray:
