@@ -9,14 +9,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CLASSES = ("c0", "c1", "c2", "c3", "c4")
 CLASSES4 = ("c0", "c1", "c2", "c3")
 DIM = 64
 
 
+_SCHEMAS: dict[tuple[str, str], T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """The table with its schema looked up once, so later reads start no inference job."""
+    key = (sf_dir, name)
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tiles(spark: SparkSession, sf_dir: str, bag: int = 2, classes: int = 5) -> DataFrame:

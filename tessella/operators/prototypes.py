@@ -61,12 +61,13 @@ def partial_sums(df: DataFrame, keys: Sequence[str], vec: str = "z", weight: str
 def add_vectors(partials: DataFrame, keys: Sequence[str], vec: str = "s") -> DataFrame:
     """Element-wise total of the partial vectors per key: (keys, s, n)."""
     keys = list(keys)
-    counts = partials.groupBy(*keys).agg(F.sum("n").alias("n"))
-    flat = partials.select(*keys, F.posexplode(vec).alias("i", "v")).groupBy(*keys, "i").agg(F.sum("v").alias("v"))
-    sums = flat.groupBy(*keys).agg(
+    # the count travels as one more element, so the partials are read once
+    joined = partials.select(*keys, F.posexplode(F.concat(vec, F.array("n"))).alias("i", "v"))
+    flat = joined.groupBy(*keys, "i").agg(F.sum("v").alias("v"))
+    whole = flat.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("s")
     )
-    return sums.join(counts, keys) if keys else sums.crossJoin(counts)
+    return whole.select(*keys, F.slice("s", F.lit(1), F.size("s") - 1).alias("s"), F.element_at("s", -1).alias("n"))
 
 
 def mean_vector(df: DataFrame, keys: Sequence[str], vec: str = "z", unit: bool = True) -> DataFrame:
@@ -100,11 +101,8 @@ def combo_to_class_sums(per_combo: DataFrame, classes: Sequence[str], by: Sequen
         lambda e: F.array_contains(parse_tokens("combo"), e["class"]),
     )
     rows = per_combo.select(*by, "combo", "s", "n", F.explode(present).alias("e"))
-    any_rows = rows.select(*by, F.col("e.k").alias("k"), F.lit("any").alias("source"), "s", "n")
-    pure_rows = rows.where(F.col("combo") == F.col("e.class")).select(
-        *by, F.col("e.k").alias("k"), F.lit("pure").alias("source"), "s", "n"
-    )
-    return add_vectors(any_rows.unionByName(pure_rows), [*by, "k", "source"])
+    sources = F.when(F.col("combo") == F.col("e.class"), F.array(F.lit("any"), F.lit("pure"))).otherwise(F.array(F.lit("any")))
+    return add_vectors(rows.select(*by, F.col("e.k").alias("k"), F.explode(sources).alias("source"), "s", "n"), [*by, "k", "source"])
 
 
 def choose_source(sums: DataFrame, by: Sequence[str] = ()) -> DataFrame:
