@@ -22,6 +22,7 @@ from tessella.functions.kernels import to_lists, to_matrix, unit_rows
 SEND_LIMIT = 128 << 20  # bytes of float32 pool a task may hold
 BLOCK_ROWS = 16_384
 QUERY_CHUNK = 2_048
+MERGE_WIDTH = 64
 
 
 def _fold_mask(labels: np.ndarray, exclude: Sequence[int]) -> np.ndarray:
@@ -111,7 +112,7 @@ def knn_top(
         F.pmod(F.xxhash64(*pool_keys), F.lit(n_pb)).cast("int").alias("ppb"),
     ).withColumn("pqb", each(n_qb))
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+    def cell(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0:
             return schema_arrow.empty_table()
         b = left.combine_chunks().to_batches()[0]
@@ -121,14 +122,18 @@ def knn_top(
             tops = _top(unit_rows(to_matrix(b.column("z"))), z, masks_of(labels), k)
         else:
             tops = [np.full((b.num_rows, k), -np.inf) for _ in excludes]
-        return pa.Table.from_batches([_emit(b, keep, tops, names)])
+        out = pa.Table.from_batches([_emit(b, keep, tops, names)])
+        return out.append_column("pb", pa.array(np.full(out.num_rows, key[0].as_py(), dtype=np.int32)))
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    schema_arrow = to_arrow_schema(schema)
-    tops = q.groupBy("pb", "qb").cogroup(p.groupBy("ppb", "pqb")).applyInArrow(cell, schema)
-    merged = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k)
-    return tops.groupBy(*keep, "fold").agg(merged.alias("top"))
+    with_block = T.StructType([*schema.fields, T.StructField("pb", T.IntegerType())])
+    schema_arrow = to_arrow_schema(with_block)
+    tops = q.groupBy("pb", "qb").cogroup(p.groupBy("ppb", "pqb")).applyInArrow(cell, with_block)
+    # k-lists merge associatively: groups of blocks first, so no query gathers them all at once
+    merged = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k).alias("top")
+    some = tops.groupBy(*keep, "fold", F.floor(F.col("pb") / MERGE_WIDTH).alias("part")).agg(merged)
+    return some.groupBy(*keep, "fold").agg(merged)
 
 
 def knn_distance(queries: DataFrame, pool: DataFrame, k: int = 10, keep=("image_id", "tile_idx"), excludes=((),), **kw) -> DataFrame:

@@ -47,7 +47,7 @@ def _common_bytes(lo: Column, hi: Column) -> Column:
     return F.octet_length(F.substring(lo, F.lit(1), same))
 
 
-def _with_cells(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def _with_cells(df: DataFrame, keys: list[str], order: str, bounded_keys: bool) -> DataFrame:
     """Add `_fine` and `_coarse`.
 
     Strings are read as the number their six bytes after the group's common prefix
@@ -59,7 +59,7 @@ def _with_cells(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     ends = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
     skip = ends.select(*keys, _common_bytes(F.col("_lo"), F.col("_hi")).alias("_skip"))
     tail = F.substring(F.hex(F.encode(order, "UTF-8")), F.col("_skip") * 2 + 1, F.lit(12))
-    fine = df.join(F.broadcast(skip), keys).withColumn("_fine", F.coalesce(F.conv(F.rpad(tail, 12, "0"), 16, 10).cast("bigint"), F.lit(0)))
+    fine = df.join(F.broadcast(skip) if bounded_keys else skip, keys).withColumn("_fine", F.coalesce(F.conv(F.rpad(tail, 12, "0"), 16, 10).cast("bigint"), F.lit(0)))
     return fine.withColumn("_coarse", F.shiftright("_fine", 24)).drop("_skip")
 
 
@@ -74,7 +74,7 @@ def running(
 ) -> DataFrame:
     """Add `before_<c>`, the sum of `c` over the earlier rows of the group, and `total_<c>`.
 
-    `order` should be unique inside a group (aggregate to distinct values first) or be
+    Keys must not be NULL. `order` should be unique inside a group (aggregate to distinct values first) or be
     made unique by `ties`. `bounded_keys` says that the groups are few (classes, folds,
     variants, combinations), so their coarse-cell table may be broadcast; otherwise it
     is joined by shuffle.
@@ -88,7 +88,7 @@ def running(
         w = W.partitionBy(*by).orderBy(*by_order).rowsBetween(W.unboundedPreceding, -1)
         return F.coalesce(F.sum(c).over(w), F.lit(0))
 
-    celled = _with_cells(df, keys, order)
+    celled = _with_cells(df, keys, order, bounded_keys)
     fine = celled.groupBy(*keys, "_coarse", "_fine").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     coarse = fine.groupBy(*keys, "_coarse").agg(*[F.sum(f"_t_{c}").alias(f"_t_{c}") for c in sums])
     whole = W.partitionBy(*keys)

@@ -19,15 +19,40 @@ from tessella.functions.labels import parse_tokens
 from tessella.model import PrototypeModel
 
 
-def partial_sums(df: DataFrame, keys: Sequence[str], vec: str = "z", weight: str | None = None, unit: bool = True) -> DataFrame:
-    """(keys, s, n): per-task vector sums and counts (or weight totals).
+def image_sums(tiles: DataFrame, vec: str = "z", unit: bool = True) -> DataFrame:
+    """(image_id, s, n): vector sums of the tiles of an image that share an Arrow batch.
+
+    Tiles of an image usually lie together, so joining labels to these sums moves about
+    one vector per image instead of one per tile.
+    """
+    schema = "image_id bigint, s array<double>, n double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            ids, at = np.unique(b.column("image_id").to_numpy(zero_copy_only=False), return_inverse=True)
+            z = to_matrix(b.column(vec))
+            order = np.argsort(at, kind="stable")
+            starts = np.searchsorted(at[order], np.arange(len(ids)))
+            sums = np.add.reduceat((unit_rows(z) if unit else z)[order], starts, axis=0)
+            counts = np.bincount(at, minlength=len(ids)).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), to_lists(sums), pa.array(counts)], names=["image_id", "s", "n"])
+
+    return tiles.select("image_id", vec).mapInArrow(run, schema)
+
+
+def partial_sums(
+    df: DataFrame, keys: Sequence[str], vec: str = "z", weight: str | None = None, unit: bool = True, count: str | None = None
+) -> DataFrame:
+    """(keys, s, n): per-task vector sums and counts (weight totals, or sums of `count`).
 
     `keys` must take few distinct values, since a task holds one vector for each.
     """
     keys = list(keys)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in (df.schema[k] for k in keys))
     schema = (schema + ", " if schema else "") + "s array<double>, n double"
-    cols = [*keys, vec] + ([weight] if weight else [])
+    cols = [*keys, vec, *[c for c in (weight, count) if c]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple, np.ndarray] = {}
@@ -46,9 +71,10 @@ def partial_sums(df: DataFrame, keys: Sequence[str], vec: str = "z", weight: str
             onehot = np.zeros((len(index), len(z)))
             onehot[at, np.arange(len(z))] = w
             part = onehot @ z
+            size = b.column(count).to_numpy(zero_copy_only=False) if count else np.ones(len(z))
             for g, i in index.items():
                 sums[g] = sums.get(g, 0.0) + part[i]
-                counts[g] = counts.get(g, 0.0) + onehot[i].sum()
+                counts[g] = counts.get(g, 0.0) + float(onehot[i] @ size)
         if sums:
             groups = list(sums)
             arrays = [pa.array([g[j] for g in groups], type=types[j]) for j in range(len(keys))]
@@ -89,9 +115,14 @@ def prototype_sums(tiles: DataFrame, images: DataFrame, classes: Sequence[str],
     combination is the class itself. `by` may hold further columns of `images`.
     """
     by = list(by)
-    joined = tiles.join(images.select("image_id", "combo", *by), "image_id")
-    per_combo = add_vectors(partial_sums(joined, ["combo", *by]), ["combo", *by])
-    return combo_to_class_sums(per_combo, classes, by)
+    return combo_to_class_sums(combo_sums(tiles, images, by), classes, by)
+
+
+def combo_sums(tiles: DataFrame, images: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(combo, by, s, n): total of the unit tile vectors of every combination."""
+    keys = ["combo", *by]
+    joined = image_sums(tiles).join(images.select("image_id", *keys), "image_id")
+    return add_vectors(partial_sums(joined, keys, "s", unit=False, count="n"), keys)
 
 
 def combo_to_class_sums(per_combo: DataFrame, classes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

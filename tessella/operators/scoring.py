@@ -150,19 +150,13 @@ def tile_quantile(
     usual tens to thousands of units. Images above `hot_rows` units (few, since each
     takes that many rows) go through the distributed order statistics instead.
     """
-    from tessella.operators.ordering import exact_quantiles
-
     by = list(by)
     hot = scored.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*by)
+    hot = F.broadcast(hot)  # at most (all units / hot_rows) rows
     usual = scored.join(hot, by, "left_anti")
     usual = usual.groupBy(*by).agg(*[F.percentile(F.col(column)[i], q).alias(f"_s{i}") for i in range(k)])
     usual = usual.select(*by, F.array(*[F.col(f"_s{i}") for i in range(k)]).alias("scores"))
-    long = scored.join(hot, by, "left_semi").select(*by, F.posexplode(column).alias("k", "score"))
-    large = exact_quantiles(long, [*by, "k"], "score", [q], bounded_keys=False)
-    large = large.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("k", "score"))), lambda e: e["score"]).alias("scores")
-    )
-    return usual.unionByName(large)
+    return usual.unionByName(_long_quantile(scored.join(hot, by, "left_semi"), q, column, by))
 
 
 def aggregate_tiles(
@@ -183,49 +177,64 @@ def score_units(
     model: PrototypeModel,
     aggs: Sequence[str] = AGGREGATIONS,
     by: Sequence[str] = ("image_id",),
+    hot_rows: int = 1_000_000,
 ) -> DataFrame:
     """(by, key, scores, residual): both read-outs under every aggregation.
 
-    The scored units are computed once per aggregation kind; mean and max share one
-    aggregation, quantiles need their own.
+    Every unit is scored once and one aggregation gives all read-outs. Only images above
+    `hot_rows` units, found from the id column alone, take the distributed quantile; their
+    list cannot be longer than (all units / hot_rows), so it may be broadcast.
     """
     by = list(by)
-    scored = score_tiles(units, model, ("sims", "weights", "residual"), keep=by)
-    parts = []
-    cheap = [a for a in aggs if a in ("mean", "max")]
     reads = (("cosine", "sims"), ("sparsemax", "weights"))
-    if cheap:
-        fn = {"mean": F.avg, "max": F.max}
-        cols = [
-            fn[a](F.col(c)[i]).alias(f"_{r}_{a}_{i}") for r, c in reads for a in cheap for i in range(model.k)
-        ]
-        wide = scored.groupBy(*by).agg(F.avg("residual").alias("residual"), *cols)
-        entries = [
-            F.struct(
-                F.lit(f"{r}/{a}").alias("key"),
-                F.array(*[F.col(f"_{r}_{a}_{i}") for i in range(model.k)]).alias("scores"),
-            )
-            for r, _ in reads
-            for a in cheap
-        ]
-        parts.append(
-            wide.select(*by, "residual", F.explode(F.array(*entries)).alias("e")).select(
-                *by, "e.key", "e.scores", "residual"
-            )
-        )
-    for a in aggs:
-        if a in ("mean", "max"):
-            continue
-        res = scored.groupBy(*by).agg(F.avg("residual").alias("residual"))
+    score = lambda rows: score_tiles(rows, model, ("sims", "weights", "residual"), keep=by)
+    fns = {"mean": F.avg, "max": F.max}
+    quantiles = [a for a in aggs if a not in fns]
+    for a in quantiles:
+        if not a.startswith("q"):
+            raise ValueError(f"unknown aggregation {a!r}")
+        fns[a] = lambda c, q=int(a[1:]) / 100.0: F.percentile(c, q)
+    index = range(model.k)
+
+    def pooled(scored: DataFrame, names: Sequence[str]) -> DataFrame:
+        cols = [fns[a](F.col(c)[i]).alias(f"_{r}_{a}_{i}") for r, c in reads for a in names for i in index]
+        return scored.groupBy(*by).agg(F.avg("residual").alias("residual"), *cols)
+
+    def unpacked(wide: DataFrame, names: Sequence[str]) -> DataFrame:
+        array = lambda r, a: F.array(*[F.col(f"_{r}_{a}_{i}") for i in index])
+        entries = [F.struct(F.lit(f"{r}/{a}").alias("key"), array(r, a).alias("scores")) for r, _ in reads for a in names]
+        rows = wide.select(*by, "residual", F.explode(F.array(*entries)).alias("e"))
+        return rows.select(*by, "e.key", "e.scores", "residual")
+
+    if not quantiles:
+        return unpacked(pooled(score(units), aggs), aggs)
+    hot = units.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*by)
+    hot = F.broadcast(hot)
+    usual = unpacked(pooled(score(units.join(hot, by, "left_anti")), aggs), aggs)
+    large = score(units.join(hot, by, "left_semi"))
+    plain = [a for a in aggs if a not in quantiles]
+    wide = pooled(large, plain)
+    parts = [unpacked(wide, plain)] if plain else []
+    for a in quantiles:
         for r, c in reads:
-            part = aggregate_tiles(scored, model.k, a, c, by).withColumn("key", F.lit(f"{r}/{a}"))
-            parts.append(part.join(res, by).select(*by, "key", "scores", "residual"))
-    out = parts[0]
-    for p in parts[1:]:
+            part = _long_quantile(large, int(a[1:]) / 100.0, c, by).withColumn("key", F.lit(f"{r}/{a}"))
+            parts.append(part.join(wide.select(*by, "residual"), by).select(*by, "key", "scores", "residual"))
+    out = usual
+    for p in parts:
         out = out.unionByName(p)
     return out
 
 
+def _long_quantile(scored: DataFrame, q: float, column: str, by: Sequence[str]) -> DataFrame:
+    """Element-wise quantile by distributed order statistics, for images of any size."""
+    from tessella.operators.ordering import exact_quantiles
+
+    long = scored.select(*by, F.posexplode(column).alias("k", "score"))
+    large = exact_quantiles(long, [*by, "k"], "score", [q], bounded_keys=False)
+    entries = F.array_sort(F.collect_list(F.struct("k", "score")))
+    return large.groupBy(*by).agg(F.transform(entries, lambda e: e["score"]).alias("scores"))
+
+
 def to_long(scores: DataFrame, classes: Sequence[str], arrays: Sequence[str] = ("scores", "label")) -> DataFrame:
     """One row per class: `scores` -> score, other arrays keep their name."""
     rest = [c for c in scores.columns if c not in arrays]

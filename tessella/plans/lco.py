@@ -81,7 +81,7 @@ def nested_cv(
     """
     im = images.select("image_id", "combo", "label")
     folds = durable(SP.build_folds(im, n_folds, seed))
-    per_combo = durable(P.add_vectors(P.partial_sums(P.labelled_tiles(tiles, im), ["combo"]), ["combo"]))
+    per_combo = durable(P.combo_sums(tiles, im))
     train = SP.expand_folds(per_combo, folds, n_folds).where("role = 'train'").drop("role")
     rows: dict[int, list] = {}
     for r in P.choose_source(P.combo_to_class_sums(train, classes, ["fold"]), ["fold"]).collect():

@@ -15,6 +15,7 @@ _DOCUMENT = (
     "class_names array<string>, seed bigint, heldout_combos array<string>, trained_combos array<string>, "
     "splits map<string, array<string>>"
 )
+DOCUMENT_IMAGES = 2_000_000
 _ENTRY = "path string, label array<int>, combo string, video string"
 
 
@@ -62,9 +63,12 @@ def read_protocol(spark, path: str) -> DataFrame:
 def write_manifest(images: DataFrame, classes: Sequence[str], path: str, extra: dict[str, str] | None = None) -> None:
     """One JSON document: class_names, splits, combo_to_label and `extra` string fields.
 
-    A document is one row by definition; collections beyond a few million images are kept
-    as Parquet with `write_images` instead.
+    A document is one row by definition, so its size is checked first; larger collections
+    are kept as Parquet with `write_images`.
     """
+    n = images.count()
+    if n > DOCUMENT_IMAGES:
+        raise ValueError(f"{n} images do not belong in one JSON document; use write_images")
     entry = F.struct("path", label_vector(parse_tokens("combo"), classes).alias("label"), "combo")
     per_split = images.groupBy("split").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     doc = per_split.agg(F.map_from_entries(F.collect_list(F.struct("split", "e"))).alias("splits"))
