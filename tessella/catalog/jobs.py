@@ -204,7 +204,7 @@ kn AS (SELECT ks AS k_star, image_id, tile_idx, 1.0 - list_sort(list(c), 'DESC')
 def _osr(entries: str) -> str:
     return f"""oi AS ({entries}), os AS (SELECT oi.k_star, oi.key, oi.k_star || '#' || oi.key AS kk, oi.score, spl.label[oi.k_star + 1] AS label FROM oi JOIN spl USING (image_id) WHERE split = 'test'),
     {_AUC.format(k='kk', t='os')}, {_ROC.format(k='kk', t='os')}
-    SELECT CAST(string_split(kk, '#')[1] AS BIGINT) AS k_star, string_split(kk, '#')[2] AS key, auroc, aupr, (SELECT coalesce(min(fp / nt) FILTER (WHERE tp / pt >= 0.95::DOUBLE), 1.0) FROM roc WHERE roc.kk = auc.kk) AS fpr95 FROM auc JOIN ap USING (kk)"""
+    SELECT CAST(string_split(kk, '#')[1] AS BIGINT) AS k_star, string_split(kk, '#')[2] AS key, auroc, aupr, (SELECT coalesce(min(fp / nullif(nt, 0)) FILTER (WHERE tp / nullif(pt, 0) >= 0.95::DOUBLE), 1.0) FROM roc WHERE roc.kk = auc.kk) AS fpr95 FROM auc JOIN ap USING (kk)"""
 
 
 _RES_NEG = "SELECT k_star, image_id, 'residual' AS key, avg(residual) AS score FROM resn GROUP BY 1, 2 UNION ALL SELECT k_star, image_id, 'neg_max', avg(neg_max) FROM resn GROUP BY 1, 2"
@@ -227,7 +227,7 @@ def o11s(spark, d):
 
 
 @query("o11_knn_tpr_sweep", "k_star:l target:d fpr:d", f"""{sql_base()}, {_SPL}, {_KNN}, os AS (SELECT k_star, avg(knn) AS score, any_value(spl.label[k_star + 1]) AS label FROM kn JOIN spl USING (image_id) GROUP BY k_star, image_id), {_ROC.format(k='k_star', t='os')}
-    SELECT k_star, target, coalesce(min(fp / nt) FILTER (WHERE tp / pt >= target), 1.0) AS fpr FROM roc, (VALUES (0.8::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE)) v(target) GROUP BY 1, 2""")
+    SELECT k_star, target, CASE WHEN max(nt) > 0 THEN coalesce(min(fp / nullif(nt, 0)) FILTER (WHERE tp / nullif(pt, 0) >= target), 1.0) END AS fpr FROM roc, (VALUES (0.8::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE)) v(target) GROUP BY 1, 2""")
 def o11k(spark, d):
     return O.knn_tpr_sweep(split_images(spark, d), tiles(spark, d), CLASSES)
 

@@ -189,7 +189,7 @@ _AUC = """rk AS (SELECT {k}, label, rank() OVER (PARTITION BY {k} ORDER BY score
 auc AS (SELECT {k}, CASE WHEN sum(label) > 0 AND sum(1 - label) > 0 THEN (sum(r) FILTER (WHERE label = 1) - sum(label) * (sum(label) + 1) / 2.0::DOUBLE) / (sum(label)::DOUBLE * sum(1 - label)) END AS auroc FROM rk GROUP BY {k})"""
 _ROC = """d AS (SELECT {k}, score, sum(label) AS p, sum(1 - label) AS n FROM {t} GROUP BY {k}, score),
 roc AS (SELECT *, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER (PARTITION BY {k}) AS pt, sum(n) OVER (PARTITION BY {k}) AS nt FROM d WINDOW w AS (PARTITION BY {k} ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
-ap AS (SELECT {k}, sum(p * (tp / (tp + fp))) / max(pt) AS aupr FROM roc GROUP BY {k})"""
+ap AS (SELECT {k}, sum(p * (tp / (tp + fp))) / nullif(max(pt), 0) AS aupr FROM roc GROUP BY {k})"""
 
 
 @query("j4_auroc", "k:l auroc:d", f"{MEAN}, {_AUC.format(k='k', t='sc')} SELECT * FROM auc")
@@ -223,12 +223,12 @@ def j5(spark, d):
     return M.aupr(doc_scores(spark, d), ["lang"])
 
 
-@query("j6_fpr_at_tpr", "lang:s target:d fpr:d", f"{_DL}, {_ROC.format(k='lang', t='dl')} SELECT lang, target, coalesce(min(fp / nt) FILTER (WHERE tp / pt >= target), 1.0) AS fpr FROM roc, (VALUES (0.8::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE)) v(target) GROUP BY 1, 2")
+@query("j6_fpr_at_tpr", "lang:s target:d fpr:d", f"{_DL}, {_ROC.format(k='lang', t='dl')} SELECT lang, target, CASE WHEN max(nt) > 0 THEN coalesce(min(fp / nullif(nt, 0)) FILTER (WHERE tp / nullif(pt, 0) >= target), 1.0) END AS fpr FROM roc, (VALUES (0.8::DOUBLE), (0.9::DOUBLE), (0.95::DOUBLE)) v(target) GROUP BY 1, 2")
 def j6(spark, d):
     return M.fpr_at_tpr(doc_scores(spark, d), ["lang"], (0.8, 0.9, 0.95))
 
 
-@query("j11_openset", "lang:s auroc:d aupr:d fpr95:d", f"{_EL}, {_AUC.format(k='lang', t='el')}, {_ROC.format(k='lang', t='el')} SELECT lang, auroc, aupr, (SELECT coalesce(min(fp / nt) FILTER (WHERE tp / pt >= 0.95::DOUBLE), 1.0) FROM roc WHERE roc.lang = auc.lang) AS fpr95 FROM auc JOIN ap USING (lang)")
+@query("j11_openset", "lang:s auroc:d aupr:d fpr95:d", f"{_EL}, {_AUC.format(k='lang', t='el')}, {_ROC.format(k='lang', t='el')} SELECT lang, auroc, aupr, (SELECT coalesce(min(fp / nullif(nt, 0)) FILTER (WHERE tp / nullif(pt, 0) >= 0.95::DOUBLE), 1.0) FROM roc WHERE roc.lang = auc.lang) AS fpr95 FROM auc JOIN ap USING (lang)")
 def j11(spark, d):
     return M.openset_metrics(event_scores(spark, d), ["lang"], label="label")
 

@@ -225,7 +225,8 @@ def fpr_at_tpr(
     score: str = "score",
     label: str = "label",
 ) -> DataFrame:
-    """(keys, target, fpr): false-positive rate at the first point reaching the target.
+    """(keys, target, fpr): false-positive rate at the first point reaching the target; 1.0
+    when none does, NULL without negatives.
 
     Points on a straight run are kept, where some implementations thin them out.
     """
@@ -233,9 +234,10 @@ def fpr_at_tpr(
     pts = roc_points(df, keys, score, label).withColumn(
         "target", F.explode(F.array(*[F.lit(float(t)) for t in targets]))
     )
-    reached = F.col("tp") / F.col("total_pos") >= F.col("target")
-    out = pts.groupBy(*keys, "target").agg(F.min(F.when(reached, F.col("fp") / F.col("total_neg"))).alias("fpr"))
-    return out.select(*keys, "target", F.coalesce("fpr", F.lit(1.0)).alias("fpr"))
+    reached = F.try_divide(F.col("tp"), F.col("total_pos")) >= F.col("target")
+    rate = F.try_divide(F.col("fp"), F.col("total_neg"))
+    out = pts.groupBy(*keys, "target").agg(F.min(F.when(reached, rate)).alias("fpr"), F.max("total_neg").alias("_n"))
+    return out.select(*keys, "target", F.when(F.col("_n") > 0, F.coalesce("fpr", F.lit(1.0))).alias("fpr"))
 
 
 def openset_metrics(
@@ -245,13 +247,13 @@ def openset_metrics(
     keys = list(keys)
     pts = roc_points(df, keys, score, label)
     p, n = F.col("total_pos"), F.col("total_neg")
-    reached = F.col("tp") / p >= target
+    reached = F.try_divide(F.col("tp"), p) >= target
     # wins of the positives at a score over the negatives below it
     wins = F.col("pos") * (n - F.col("fp") + F.col("neg") / F.lit(2.0))
     out = pts.groupBy(*keys).agg(
         F.sum(wins).alias("_u"),
         F.sum(F.col("pos") * (F.col("tp") / (F.col("tp") + F.col("fp")))).alias("_ap"),
-        F.min(F.when(reached, F.col("fp") / n)).alias("_f"),
+        F.min(F.when(reached, F.try_divide(F.col("fp"), n))).alias("_f"),
         F.max(p).alias("_p"),
         F.max(n).alias("_n"),
     )

@@ -217,6 +217,14 @@ def test_rank_metrics_equal_brute_force(spark):
     assert abs(flip - (1 - r.auroc)) < 1e-12 and abs(cube - r.auroc) < 1e-12
 
 
+def test_rank_metrics_without_one_class(spark):
+    df = spark.createDataFrame([("p", 0.1, 1), ("p", 0.2, 1), ("n", 0.1, 0), ("n", 0.3, 0)], "g string, score double, unknown int")
+    r = {x.g: x for x in M.openset_metrics(df, ["g"]).collect()}
+    assert all(r[g][m] is None for g in "pn" for m in ("auroc", "aupr", "fpr95"))
+    assert {x.g: x.aupr for x in M.aupr(df, ["g"], label="unknown").collect()} == {"p": 1.0, "n": None}
+    assert {x.g: x.fpr for x in M.fpr_at_tpr(df, ["g"], label="unknown").collect()} == {"p": None, "n": 1.0}
+
+
 def test_empty_answers_and_constant_predictor(spark):
     df = spark.createDataFrame([([0, 0], [0, 0]), ([0, 0], [1, 0]), ([1, 1], [1, 1])], "label array<int>, pred array<int>")
     assert abs(M.per_sample_f1(df).first()[0] - 2 / 3) < 1e-12
