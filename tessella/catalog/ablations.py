@@ -43,7 +43,12 @@ def o16_t(spark, d):
     return A.sweep_tile_count(*trained(spark, d), counts=(1, 2))
 
 
-@query("o16_sweep_projection", "method:s per_sample_f1:d macro_f1:d exact_match:d")
+@query("o16_sweep_projection", "method:s per_sample_f1:d", f"""{_TRAINED}, {sql_sparsemax('sims', 'wts')}, sm AS (SELECT *, list_transform(s, lambda x: exp((x - list_max(s)) * 10.0)) AS e FROM wts),
+    ms AS (SELECT image_id, 'softmax' AS method, unnest(range(5)) AS k, unnest(list_transform(e, lambda x: x / list_sum(e))) AS v FROM sm UNION ALL SELECT image_id, 'unmix', unnest(range(5)), unnest(w) FROM sm),
+    sc AS (SELECT method, image_id, k, avg(v) AS score, any_value(split) AS split, any_value(label[k + 1]) AS label FROM ms JOIN spl USING (image_id) GROUP BY 1, 2, 3),
+    thr AS (SELECT method, k, coalesce(quantile_cont(score, 0.05) FILTER (WHERE label = 1), 0.05) AS h FROM sc WHERE split = 'val' GROUP BY 1, 2),
+    f AS (SELECT method, image_id, CASE WHEN sum(label + CASE WHEN score > h THEN 1 ELSE 0 END) > 0 THEN 2.0::DOUBLE * sum(CASE WHEN score > h THEN label ELSE 0 END) / sum(label + CASE WHEN score > h THEN 1 ELSE 0 END) ELSE 1.0 END AS f1 FROM sc JOIN thr USING (method, k) WHERE split = 'test' GROUP BY 1, 2)
+    SELECT method, avg(f1) AS per_sample_f1 FROM f GROUP BY 1""")
 def o16_p(spark, d):
     return A.sweep_projection(*trained(spark, d))
 
@@ -231,7 +236,39 @@ def m11(spark, d):
     return CL.assign_images(t, m)
 
 
-@query("m12_pca", "i:l norm:d", "SELECT i, 1.0 AS norm FROM (SELECT count(*) AS n FROM embeddings), range(4) r(i) WHERE n > 4")
+@query("m12_pca", "i:l d:l load:d")
 def m12(spark, d):
-    w = P.pca_basis(tiles(spark, d), 4)
-    return spark.createDataFrame([(i, float(np.linalg.norm(r))) for i, r in enumerate(w)], "i int, norm double")
+    """Squared loadings, so the sign of a direction does not matter."""
+    return _matrix(spark, P.pca_basis(tiles(spark, d), 4) ** 2).withColumnRenamed("v", "load")
+
+
+@query("n13_best_checkpoint", "run_id:l epoch:l val_f1:d", "SELECT run_id, epoch, val_f1 FROM (SELECT user_id % 11 AS run_id, event_id AS epoch, value AS val_f1, row_number() OVER (PARTITION BY user_id % 11 ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1")
+def n13(spark, d):
+    from tessella.catalog.fixtures import table
+
+    e = table(spark, d, "events")
+    return FT.best_checkpoint(e.select((F.col("user_id") % 11).alias("run_id"), F.col("event_id").alias("epoch"), F.col("value").alias("val_f1")))
+
+
+@query("m5_init_auto", "k:l source:s d:l v:d", f"{_TRAINED} SELECT k, source, d, p[d + 1] AS v FROM protos, range(64) r(d)")
+def m5(spark, d):
+    """Every class has a pure culture in training, so `auto` takes the pure means."""
+    im, t = split_images(spark, d), tiles(spark, d)
+    m = P.init_prototypes(t, im.where("split = 'train'"), CLASSES, "auto")
+    return P.prototype_table(spark, m).select("k", "source", F.posexplode("p").alias("d", "v"))
+
+
+@query("o9_mosaic_stage", "pool:s per_sample_f1:d")
+def o9_mosaic(spark, d):
+    """Unmixing fitted on real units, on mosaics of pure frames, and on both."""
+    from tessella.catalog import frames as CF
+    from tessella.functions.labels import label_vector
+    from tessella.operators import frames as FR
+
+    im, t = split_images(spark, d), CF.embedded(spark, d, method="none")
+    real = D.labelled_tiles(t, im.where("split = 'train'"))
+    tiles_ = FR.mosaic(CF._pool(spark, d), CF._subsets(spark, d), 2, 7, quad=4)
+    keyed = tiles_.withColumn("image_id", F.xxhash64("combo", "mosaic"))
+    label = F.transform(label_vector(F.split("combo", "_"), CLASSES), lambda x: x.cast("double"))
+    mosaics = FR.embed_tiles(keyed, CF.ENCODER).join(keyed.select("image_id", label.alias("label")).distinct(), "image_id")
+    return A.mosaic_stage(real, mosaics, im, t, CLASSES, epochs=3, absent_lambda=0.5)

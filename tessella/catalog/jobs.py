@@ -317,3 +317,29 @@ def j13(spark, d):
 def o13(spark, d):
     """Two balanced clusters per fold (iterative)."""
     return O.discover_loso(split_images(spark, d), tiles(spark, d), CLASSES[:5], (0.15,), k_new=2, seed=7)
+
+
+_UNITS = _KNN.replace("WHERE split = 'test'", "WHERE split <> 'train'")
+_NORM = f"""{_FOLDS}, {_UNITS}, u AS (SELECT resn.*, knn, list_position(s, list_max(s)) - 1 AS j FROM resn JOIN kn USING (k_star, image_id, tile_idx)), ub AS (SELECT *, CASE WHEN j >= k_star THEN j + 1 ELSE j END AS best FROM u),
+ref AS (SELECT k_star, CAST(combo[2:] AS BIGINT) AS best, greatest(quantile_disc(residual, 0.5), 1e-6) AS rr, greatest(quantile_disc(knn, 0.5), 1e-6) AS rk FROM ub JOIN spl USING (image_id) WHERE split = 'val' AND NOT contains(combo, '_') AND combo <> 'c' || CAST(k_star AS VARCHAR) GROUP BY 1, 2),
+nm AS (SELECT ub.k_star, ub.image_id, ub.tile_idx, residual, knn, residual / coalesce(rr, 1.0) AS rn, knn / coalesce(rk, 1.0) AS kn FROM ub LEFT JOIN ref USING (k_star, best)),
+gts AS (SELECT k_star, unnest(['residual_abs0.15', 'residual_q95', 'residual_norm_q95', 'knn_q95', 'knn_norm_q95']) AS gate, unnest([0.15, quantile_cont(residual, 0.95), quantile_cont(rn, 0.95), quantile_cont(knn, 0.95), quantile_cont(kn, 0.95)]) AS threshold FROM nm JOIN spl USING (image_id) WHERE split = 'val' AND label[k_star + 1] = 0 GROUP BY 1)"""
+
+
+@query("i10_gates", "k_star:l gate:s threshold:d", f"{_NORM} SELECT * FROM gts")
+def i10(spark, d):
+    im, t = split_images(spark, d), tiles(spark, d)
+    excludes = [[k] for k in range(5)]
+    train, val = im.where("split = 'train'"), im.where("split = 'val'")
+    models = O.fold_models(t, train, CLASSES, excludes)
+    pool = t.join(train.select("image_id", "label"), "image_id")
+    vs = O.unit_unknown_scores(t.join(val.select("image_id"), "image_id", "left_semi"), models, pool, excludes, 10, 0.1)
+    n = O.with_normalised(vs, O.class_refs(vs, val, CLASSES, models)).join(val.select("image_id", "label"), "image_id")
+    return O.discovery_gates(n.where(F.element_at("label", F.col("fold") + 1) == 0)).withColumnRenamed("fold", "k_star")
+
+
+@query("o12_discovery_flags", "k_star:l gate:s n_flagged:l", f"""{_NORM} SELECT k_star, gate, count(*) FILTER (WHERE CASE gate WHEN 'residual_norm_q95' THEN rn WHEN 'knn_q95' THEN knn WHEN 'knn_norm_q95' THEN kn ELSE residual END > threshold) AS n_flagged
+    FROM nm JOIN spl USING (image_id) JOIN gts USING (k_star) WHERE split = 'test' GROUP BY 1, 2""")
+def o12_flags(spark, d):
+    """Flagged units under the calibrated gates, with the whole discovery report behind them."""
+    return O.openworld_discovery(split_images(spark, d), tiles(spark, d), CLASSES)

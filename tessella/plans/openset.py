@@ -225,34 +225,75 @@ def discover_loso(
     so all folds and gates are proposed by a single pass; other methods run per fold.
     """
     excludes = [[k] for k in range(len(classes))]
-    train, test = images.where("split = 'train'"), images.where("split = 'test'")
-    known = fold_models(tiles, train, classes, excludes)
+    known = fold_models(tiles, images.where("split = 'train'"), classes, excludes)
     test_tiles = _of_split(tiles, images, "test")
-    cells = [(f, g) for f in known for g in range(len(gates))]
     flagged, new = _proposals(test_tiles, known, gates, method, k_new, min_units, refine, propose_args)
-    code = lambda f, g: f * len(gates) + g
-    full = {code(f, g): known[f].appended(new[f, g]) for f, g in cells}
-    rows = []
-    # discovery: arg-max over known and proposed prototypes
+    gate_of = F.array(*[F.lit(float(g)) for g in gates])
+    out = _discovery_report(images, tiles, classes, known, new, flagged, len(gates), q)
+    return out.withColumn("gate", gate_of[F.col("g")])
+
+
+def _discovery_report(images, tiles, classes, known, new, flagged, n_gate: int, q: float) -> DataFrame:
+    """(k_star, g, n_flagged, discovery metrics, drift) of given proposals per fold and gate."""
+    test = images.where("split = 'test'")
+    test_tiles = _of_split(tiles, images, "test")
+    full = {f * n_gate + g: known[f].appended(new[f, g]) for f in known for g in range(n_gate)}
+    # arg-max over known and proposed prototypes; shorter models are padded to one width
     k_max = max(m.k for m in full.values())
     pad = lambda m: PrototypeModel(m.classes + ("",) * (k_max - m.k), np.vstack([m.matrix, np.zeros((k_max - m.k, m.dim))]), tau=m.tau)
-    test_label = test.select("image_id", "label")
     sizes = F.create_map(*[x for c, m in full.items() for x in (F.lit(c), F.lit(m.k))])
     sims = S.score_models(test_tiles, {c: pad(m) for c, m in full.items()}, ("sims",), ("image_id",), "cell")
     mean = S.tile_mean(sims, k_max, "sims", ("cell", "image_id"))
     from tessella.functions.vectors import best_class
 
     real = F.slice("scores", F.lit(1), sizes[F.col("cell")])
-    n_gate = len(gates)
-    assigned = mean.join(test_label, "image_id").select(
+    assigned = mean.join(test.select("image_id", "label"), "image_id").select(
         F.floor(F.col("cell") / n_gate).cast("int").alias("k_star"), (F.col("cell") % n_gate).alias("g"), best_class(real).alias("best"), "label"
     )
     assigned = assigned.withColumn("unknown", F.element_at("label", F.col("k_star") + 1))
     found = CL.discovery_metrics(assigned, len(classes) - 1, ["k_star", "g"])
     moved = drift(tiles, images, classes, known, full, n_gate, q)
-    gate_of = F.array(*[F.lit(float(g)) for g in gates])
     out = found.join(moved, ["k_star", "g"]).join(flagged, ["k_star", "g"], "left")
-    return out.withColumn("gate", gate_of[F.col("g")]).withColumn("n_flagged", F.coalesce("n_flagged", F.lit(0)))
+    return out.withColumn("n_flagged", F.coalesce("n_flagged", F.lit(0)))
+
+
+def openworld_discovery(
+    images: DataFrame, units: DataFrame, classes: Sequence[str], knn_k: int = 10, energy_t: float = 0.1,
+    gate_q: float = 0.95, absolute: float = 0.15, q: float = 0.05, min_units: int = 5,
+) -> DataFrame:
+    """Discovery with calibrated gates: (k_star, gate, n_flagged, metrics, drift).
+
+    Gates are the absolute residual and, for residual and kNN with and without class
+    normalisation, the quantile of the validation units without the held-out class.
+    """
+    n = len(classes)
+    excludes = [[k] for k in range(n)]
+    train, val = images.where("split = 'train'"), images.where("split = 'val'")
+    pool = units.join(train.select("image_id", "label"), "image_id")
+    known = fold_models(units, train, classes, excludes)
+    score = lambda split: durable(unit_unknown_scores(_of_split(units, images, split), known, pool, excludes, knn_k, energy_t))
+    vs, ts = score("val"), score("test")
+    refs = class_refs(vs, val, classes, known)
+    label = val.select("image_id", "label")
+    inside = with_normalised(vs, refs).join(label, "image_id").where(F.element_at("label", F.col("fold") + 1) == 0)
+    gates = durable(discovery_gates(inside, gate_q, absolute))
+    names = sorted(r["gate"] for r in gates.select("gate").distinct().collect())
+    at = F.array(*[F.lit(g) for g in names])
+    long = _melt(with_normalised(ts, refs), ["fold", "image_id", "tile_idx"], ["residual", "residual_norm", "knn", "knn_norm"])
+    cut = F.broadcast(gates.withColumn("g", F.array_position(at, F.col("gate")).cast("int") - 1))
+    hit = long.join(cut.withColumnRenamed("column", "key"), ["fold", "key"]).where(F.col("score") > F.col("threshold"))
+    hit = hit.select(F.col("fold").alias("k_star"), "g", "image_id", "tile_idx").join(units.select("image_id", "tile_idx", "z"), ["image_id", "tile_idx"])
+    sums = durable(P.add_vectors(P.partial_sums(hit, ["k_star", "g"]), ["k_star", "g"]))
+    got = {(r["k_star"], r["g"]): r for r in sums.collect()}
+    new = {}
+    for f, m in known.items():
+        for g in range(len(names)):
+            r = got.get((f, g))
+            enough = r is not None and r["n"] >= min_units
+            new[f, g] = unit_rows(np.array(r["s"])[None, :]) if enough else np.zeros((0, m.dim))
+    flagged = sums.select("k_star", "g", F.col("n").cast("bigint").alias("n_flagged"))
+    out = _discovery_report(images, units, classes, known, new, flagged, len(names), q)
+    return out.withColumn("gate", at[F.col("g")])
 
 
 def _proposals(test_tiles, known, gates, method, k_new, min_units, refine, args):
