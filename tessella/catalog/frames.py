@@ -186,7 +186,7 @@ def l13(spark, d):
 
 def _frame_model(spark, d, **kw):
     im, t = split_images(spark, d), embedded(spark, d, **kw)
-    return im, t, D.run_protomatch(im, t, CLASSES)[0]
+    return im, t, D.run_matching(im, t, CLASSES)[0]
 
 
 @query("o15_robustness", "corruption:s decoder:s arm:s degradation:d")

@@ -50,14 +50,14 @@ def _pred(split: str) -> str:
     return f"pr AS (SELECT sc.*, CASE WHEN score > t THEN 1 ELSE 0 END AS pred FROM sc JOIN thr USING (k) WHERE split = '{split}')"
 
 
-@query("o1_protomatch", "split:s metric:s value:d", f"{_COS}, {_VALTHR.format(fb=0.5)}, {_pred('val')}, {PER_IMAGE}, {PER_CLASS} {_BUNDLE.format(split='val')}")
+@query("o1_matching", "split:s metric:s value:d", f"{_COS}, {_VALTHR.format(fb=0.5)}, {_pred('val')}, {PER_IMAGE}, {PER_CLASS} {_BUNDLE.format(split='val')}")
 def o1(spark, d):
-    return D.run_protomatch(split_images(spark, d), tiles(spark, d), CLASSES)[1]
+    return D.run_matching(split_images(spark, d), tiles(spark, d), CLASSES)[1]
 
 
-@query("o1_protomatch_model", "k:l source:s threshold:d unknown_threshold:d", f"{_COS}, {_VALTHR.format(fb=0.5)}, mx AS (SELECT image_id, avg(list_max(s)) AS m FROM sims JOIN spl USING (image_id) WHERE split = 'val' GROUP BY 1) SELECT k, source, t AS threshold, (SELECT quantile_cont(m, 0.05) FROM mx) AS unknown_threshold FROM thr JOIN protos USING (k)")
+@query("o1_matching_model", "k:l source:s threshold:d unknown_threshold:d", f"{_COS}, {_VALTHR.format(fb=0.5)}, mx AS (SELECT image_id, avg(list_max(s)) AS m FROM sims JOIN spl USING (image_id) WHERE split = 'val' GROUP BY 1) SELECT k, source, t AS threshold, (SELECT quantile_cont(m, 0.05) FROM mx) AS unknown_threshold FROM thr JOIN protos USING (k)")
 def o1_model(spark, d):
-    m, _ = D.run_protomatch(split_images(spark, d), tiles(spark, d), CLASSES)
+    m, _ = D.run_matching(split_images(spark, d), tiles(spark, d), CLASSES)
     rows = [(k, m.source[k], m.thresholds[k], m.unknown_threshold) for k in range(m.k)]
     return spark.createDataFrame(rows, "k int, source string, threshold double, unknown_threshold double")
 
@@ -73,26 +73,26 @@ def o2_trained(spark, d):
     return D.run_unmix(split_images(spark, d), tiles(spark, d), CLASSES, epochs=5, absent_lambda=0.5)[1]
 
 
-@query("o3_channelgroup", "split:s metric:s value:d")
+@query("o3_channel_head", "split:s metric:s value:d")
 def o3(spark, d):
     """Four-class channel heads, five epochs with channel dropout."""
-    return D.run_channelgroup(split_images(spark, d, 2, 4), tiles(spark, d, 2, 4), CLASSES4, epochs=5)[1]
+    return D.run_channel_head(split_images(spark, d, 2, 4), tiles(spark, d, 2, 4), CLASSES4, epochs=5)[1]
 
 
-@query("o3_channelgroup_fixed", "split:s metric:s value:d", f"""{sql_base(2, 4)}, {_SPL}, chl AS (SELECT image_id, k, 1.0 / (1.0 + exp(-(0.1 * k + list_sum(list_transform(range(16), lambda c: z[k * 16 + c + 1] * ((k * 16 + c) % 7 - 3) / 4.0))))) AS p FROM fx_tiles, range(4) r(k)),
+@query("o3_channel_head_fixed", "split:s metric:s value:d", f"""{sql_base(2, 4)}, {_SPL}, chl AS (SELECT image_id, k, 1.0 / (1.0 + exp(-(0.1 * k + list_sum(list_transform(range(16), lambda c: z[k * 16 + c + 1] * ((k * 16 + c) % 7 - 3) / 4.0))))) AS p FROM fx_tiles, range(4) r(k)),
     sc AS (SELECT image_id, k, avg(p) AS score, any_value(split) AS split, any_value(combo) AS combo, any_value(label[k + 1]) AS label FROM chl JOIN spl USING (image_id) GROUP BY 1, 2),
     g AS (SELECT k, t, sum(CASE WHEN score > t THEN label ELSE 0 END) AS tp, sum(CASE WHEN score > t THEN 1 - label ELSE 0 END) AS fp, sum(CASE WHEN score > t THEN 0 ELSE label END) AS fn FROM sc, (SELECT 0.01 + i * ((0.99 - 0.01)::DOUBLE / 98) AS t FROM range(99) r(i)) WHERE split = 'val' GROUP BY 1, 2),
     thr AS (SELECT k, arg_max(t, {{'a': CASE WHEN 2 * tp + fp + fn > 0 THEN round(2.0::DOUBLE * tp / (2 * tp + fp + fn), 12) ELSE 0 END, 'b': -t}}) AS t FROM g GROUP BY 1), {_pred('test')}, {PER_IMAGE}, {PER_CLASS} {_BUNDLE.format(split='test')}""")
 def o3_fixed(spark, d):
     """Given weights, thresholds by best F1 on val, reported on test."""
-    _, m = D.run_channelgroup(split_images(spark, d, 2, 4), tiles(spark, d, 2, 4), CLASSES4, channel_model())
+    _, m = D.run_channel_head(split_images(spark, d, 2, 4), tiles(spark, d, 2, 4), CLASSES4, channel_model())
     return m.where("split = 'test'")
 
 
 @query("o4_presence", "image_id:l k:l score:d pred:l", f"{_COS}, {_VALTHR.format(fb=0.5)}, {_pred('test')} SELECT image_id, k, score, pred FROM pr")
 def o4(spark, d):
     im, t = split_images(spark, d), tiles(spark, d)
-    model, _ = D.run_protomatch(im, t, CLASSES)
+    model, _ = D.run_matching(im, t, CLASSES)
     p = D.detect_presence(model, im.where("split = 'test'"), t)
     return p.select("image_id", F.posexplode(F.arrays_zip("scores", "pred")).alias("k", "e")).select("image_id", "k", F.col("e.scores").alias("score"), "e.pred")
 

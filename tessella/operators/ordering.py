@@ -84,33 +84,31 @@ def running(
         df, keys = df.withColumn("_all", F.lit(0)), ["_all"]
     direction = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
 
-    def earlier(c: str, by: list[str], *by_order: Column) -> Column:
-        w = W.partitionBy(*by).orderBy(*by_order).rowsBetween(W.unboundedPreceding, -1)
-        return F.coalesce(F.sum(c).over(w), F.lit(0))
+    def earlier(by: list[str], *order_by: Column):
+        """Sum over the earlier rows of a window, 0 for the first; one window for all sums."""
+        w = W.partitionBy(*by).orderBy(*order_by).rowsBetween(W.unboundedPreceding, -1)
+        zero = F.lit(0)
+        return lambda c: F.coalesce(F.sum(c).over(w), zero)
 
     celled = _with_cells(df, keys, order, bounded_keys)
     fine = celled.groupBy(*keys, "_coarse", "_fine").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     coarse = fine.groupBy(*keys, "_coarse").agg(*[F.sum(f"_t_{c}").alias(f"_t_{c}") for c in sums])
-    whole = W.partitionBy(*keys)
+    whole, ahead = W.partitionBy(*keys), earlier(keys, direction("_coarse"))
     coarse = coarse.select(
         *keys,
         "_coarse",
-        *[earlier(f"_t_{c}", keys, direction("_coarse")).alias(f"_o1_{c}") for c in sums],
+        *[ahead(f"_t_{c}").alias(f"_o1_{c}") for c in sums],
         *[F.sum(f"_t_{c}").over(whole).alias(f"total_{c}") for c in sums],
     )
+    ahead = earlier([*keys, "_coarse"], direction("_fine"))
     fine = fine.join(F.broadcast(coarse) if bounded_keys else coarse, [*keys, "_coarse"]).select(
         *keys,
         "_fine",
-        *[
-            (F.col(f"_o1_{c}") + earlier(f"_t_{c}", [*keys, "_coarse"], direction("_fine"))).alias(f"_o_{c}")
-            for c in sums
-        ],
+        *[(F.col(f"_o1_{c}") + ahead(f"_t_{c}")).alias(f"_o_{c}") for c in sums],
         *[f"total_{c}" for c in sums],
     )
-    inside = [direction(order), *[F.col(t).asc() for t in ties]]
-    local = celled.drop("_coarse").select(
-        "*", *[earlier(c, [*keys, "_fine"], *inside).alias(f"_l_{c}") for c in sums]
-    )
+    ahead = earlier([*keys, "_fine"], direction(order), *[F.col(t).asc() for t in ties])
+    local = celled.drop("_coarse").select("*", *[ahead(c).alias(f"_l_{c}") for c in sums])
     return local.join(fine, [*keys, "_fine"]).select(
         *[c for c in df.columns if c != "_all"],
         *[(F.col(f"_l_{c}") + F.col(f"_o_{c}")).alias(f"before_{c}") for c in sums],

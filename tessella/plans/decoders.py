@@ -60,7 +60,7 @@ def predict(scores: DataFrame, model, default: float = 0.05) -> DataFrame:
     return scores.withColumn("pred", presence(F.col("scores"), vector_literal(limits)))
 
 
-def run_protomatch(
+def run_matching(
     images: DataFrame, tiles: DataFrame, classes: Sequence[str], init: str = "auto", q: float = 0.05,
     unknown_q: float = 0.05, seed: int = 1337,
 ) -> tuple[PrototypeModel, DataFrame]:
@@ -92,7 +92,7 @@ def run_unmix(
     return model, split_metrics(predict(known, named))
 
 
-def run_channelgroup(
+def run_channel_head(
     images: DataFrame, tiles: DataFrame, classes: Sequence[str], model: ChannelModel | None = None, **fit_args
 ) -> tuple[ChannelModel, DataFrame]:
     """Fit the channel heads (or take given weights), calibrate by best F1, evaluate val and test."""
