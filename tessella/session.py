@@ -24,16 +24,21 @@ def local_session(cpus: int | str = 8, app: str = "tessella") -> SparkSession:
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage of `df` with a reliable checkpoint.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder all executors share: the one ``spark.checkpoint.dir`` names.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir`` (shared
-    storage, so lost executors do not lose it). Only when nothing is configured,
-    as in tests, is a scratch folder used.
+    A scratch folder stands in only where driver and executors are one process.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage of `df` with a reliable checkpoint, which lost executors do not lose."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
