@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import binary, bpe, counts, packing
+from tessella.llm import binary, bpe, counts, neardup, packing, rules, sql
 
 BYTE_BPE, PIECE_BPE, WORD_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"))
 TOKEN_LIMIT = 4096
@@ -40,5 +40,16 @@ def op6_packed_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("n_ids", "cu_seqlens", F.col("segments.key").alias("doc_ids"), F.col("segments.start").alias("starts"), F.crc32("ids").alias("ids_crc32"), F.crc32("positions").alias("positions_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_best_two_fit, op6_packed_binary)}
-SQL: dict[str, str] = {}
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on whole texts, and the verdicts of their hosts."""
+    out = rules.apply_rules(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document at a shingle similarity of 0.85."""
+    return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_best_two_fit, op4_host_rules, op6_packed_binary, op10_near_duplicates)}
+SQL = {"op4_host_rules": sql.OP4, "op10_near_duplicates": sql.OP10}
