@@ -57,7 +57,7 @@ def check(spark, con, name, sf_dir):
     if got[0] != want[0]:
         return t, len(got[1]), f"columns {got[0]} against {want[0]}", True
     types = sorted((c, d) for c, d in df.dtypes)
-    spark_kinds = [{"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}[d] for _, d in types]
+    spark_kinds = [{"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}[d] for _, d in types]
     duck_kinds = [str(c[1]) for c in sorted(cur.description, key=lambda c: c[0])]
     issue = same(got[1], want[1])
     if issue is None and got[1] != want[1]:
