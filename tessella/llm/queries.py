@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import binary, bpe, counts, neardup, packing, rules, sql
+from tessella.llm import binary, bpe, counts, lines, neardup, packing, rules, search, sql
 
 BYTE_BPE, PIECE_BPE, WORD_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"))
 TOKEN_LIMIT = 4096
@@ -46,10 +46,24 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 rows with the largest inner products for every 20th vector."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    whole = F.transform("embedding", lambda x: F.floor(64 * x.cast("double")).cast("int"))
+    rows = rows.where(F.col("embedding").isNotNull() & ~odd).select("vec_id", whole.alias("v"))
+    return search.top_k(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the lines that repeat or nearly repeat an earlier one."""
+    return lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of each document at a shingle similarity of 0.85."""
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_best_two_fit, op4_host_rules, op6_packed_binary, op10_near_duplicates)}
-SQL = {"op4_host_rules": sql.OP4, "op10_near_duplicates": sql.OP10}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_best_two_fit, op4_host_rules, op6_packed_binary, op7_threshold_search, op9_line_dedup, op10_near_duplicates)}
+SQL = {"op4_host_rules": sql.OP4, "op7_threshold_search": sql.OP7, "op10_near_duplicates": sql.OP10}
