@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import binary, bpe, counts, lines, neardup, packing, rules, search, sql
+from tessella.llm import binary, bpe, counts, langid, lines, neardup, packing, quality, rules, search, sql
 
 BYTE_BPE, PIECE_BPE, WORD_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"))
 TOKEN_LIMIT = 4096
@@ -33,6 +33,18 @@ def op3_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), WORD_BPE)
 
 
+def part(n: int) -> Column:
+    """crc32 of doc_id as text, modulo n: which documents are held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, by a model of three quarters of them."""
+    docs, held = documents(spark, sf_dir), part(4) == 2
+    model = langid.train(docs, ~held)
+    return langid.identify(docs.select("doc_id", "text", held.alias("held_out")), model)
+
+
 def op6_packed_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packed sequences: their segments, and checksums of ids and positions."""
     ids = bpe.encode(documents(spark, sf_dir), BYTE_BPE)
@@ -55,6 +67,13 @@ def op7_threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of each document, by a model of four fifths of the labels."""
+    docs, held = documents(spark, sf_dir), part(5) == 0
+    net = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    return quality.score(docs.select("doc_id", "text", held.alias("held_out")), net)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without the lines that repeat or nearly repeat an earlier one."""
     return lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_removed", "text")
@@ -65,5 +84,5 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_best_two_fit, op4_host_rules, op6_packed_binary, op7_threshold_search, op9_line_dedup, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_best_two_fit, op4_host_rules, op5_language, op6_packed_binary, op7_threshold_search, op8_quality, op9_line_dedup, op10_near_duplicates)}
 SQL = {"op4_host_rules": sql.OP4, "op7_threshold_search": sql.OP7, "op10_near_duplicates": sql.OP10}
