@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from tessella.llm.arrow import map_texts
 
 BUCKETS, DIM, EPOCHS, RATE, BATCH = 1 << 16, 16, 4, 3.0, 32
+#: Steps at least: a small sample is gone through more often.
+STEPS = 600
 #: Labelled rows of each language that are trained on, about; and their bytes at most, all together.
 SAMPLE, SAMPLE_BYTES = 2_000, 60_000_000
 #: Share of right answers that may be rejected, and the highest threshold that may come of it.
@@ -98,6 +100,7 @@ def fit(rows: list[tuple[str, str]], buckets: int = BUCKETS, dim: int = DIM, epo
     layer, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     layer += rng.normal(0, 0.1, layer.shape).astype(np.float32)
     counts = [np.unique(b, return_counts=True) for b, _ in train]
+    epochs = max(epochs, -(-STEPS // -(-len(train) // BATCH))) if train else 0
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         shuffled = rng.permutation(len(train))

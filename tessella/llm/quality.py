@@ -128,16 +128,12 @@ def estimate_prior(good: np.ndarray, any_: np.ndarray, sure: float = 0.1) -> flo
     """The share of good rows among unlabelled ones, from scores of rows not trained on.
 
     Above any score, unlabelled rows are at least the good ones among them: their tail over the
-    positives' tail bounds the share. The smallest bound is taken, with room for the noise of tails.
+    positives' tail bounds the share. The bound with the smallest upper confidence limit is taken.
     """
-    tops = np.quantile(good, np.linspace(0, 0.98, 50))
-    best = 1.0
-    bound = lambda n: np.sqrt(np.log(4 / sure) / (2 * n))
-    for t in tops:
-        p, u = (good >= t).mean(), (any_ >= t).mean()
-        if p > 0 and (noise := (bound(len(good)) + bound(len(any_))) / p) < 0.15:
-            best = min(best, u / p + noise * 0.1)
-    return float(np.clip(best, 0.02, 0.99))
+    noise = np.sqrt(np.log(4 / sure) / 2) * (len(good) ** -0.5 + len(any_) ** -0.5)
+    tails = [((good >= t).mean(), (any_ >= t).mean()) for t in np.quantile(good, np.linspace(0, 0.98, 50))]
+    p, u = min(tails, key=lambda x: (x[1] + noise) / x[0])  # the bound that is surest to be small
+    return float(np.clip(u / p, 0.02, 0.99))
 
 
 def fit(good: np.ndarray, any_: np.ndarray, seed: int = 5) -> Net | None:
@@ -178,7 +174,7 @@ def train(df: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
     good = docs.join(rated.where("q = 1").select(key), key, "left_semi")
     rest = docs.join(rated.select(key), key, "left_anti")
     sets = [sample_texts(rows, key, text, n, most_bytes // 2) for rows, n in ((good, positives), (rest, unlabelled))]
-    x = [np.array([features(t) for t in s]).reshape(len(s), -1) for s in sets]
+    x = [np.array([features(t) for t in s]).reshape(len(s), len(features(""))) for s in sets]
     return fit(*x)
 
 
