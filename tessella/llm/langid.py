@@ -23,7 +23,7 @@ BUCKETS, DIM, EPOCHS, RATE, BATCH = 1 << 16, 16, 4, 3.0, 32
 #: Steps at least: a small sample is gone through more often.
 STEPS = 600
 #: Labelled rows of each language that are trained on, about; and their bytes at most, all together.
-SAMPLE, SAMPLE_BYTES = 2_000, 60_000_000
+SAMPLE, SAMPLE_BYTES = 1_200, 40_000_000
 #: Share of right answers that may be rejected, and the highest threshold that may come of it.
 LOST, HIGHEST = 0.001, 0.6
 UNKNOWN = "und"
@@ -87,41 +87,46 @@ class Model:
         return self.languages[i], float(p[i]), bool(p[i] < self.threshold)
 
 
+def _bag(buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, their shares) of a text, in small numbers."""
+    u, c = np.unique(buckets, return_counts=True)
+    return u.astype(np.uint32), (c / len(buckets)).astype(np.float32)
+
+
 def fit(rows: list[tuple[str, str]], buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, seed: int = 3) -> Model:
     """Train on (text, language) pairs; a fifth of them calibrates."""
     languages = sorted({y for _, y in rows})
     if not languages:
         return Model([UNKNOWN], np.zeros((buckets, 1), np.float32), np.zeros(1), 1.0, 0.0)
     rng = np.random.default_rng(seed)
-    known = [(b, languages.index(y)) for x, y in rows if len(b := subwords(x))]
+    known = [(*_bag(b), languages.index(y)) for x, y in rows if len(b := subwords(x))]
     order = rng.permutation(len(known))
     held, train = [known[i] for i in order[: len(known) // 5]], [known[i] for i in order[len(known) // 5 :]]
     table = rng.normal(0, 1 / dim, (buckets, dim)).astype(np.float32)
     layer, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     layer += rng.normal(0, 0.1, layer.shape).astype(np.float32)
-    counts = [np.unique(b, return_counts=True) for b, _ in train]
     epochs = max(epochs, -(-STEPS // -(-len(train) // BATCH))) if train else 0
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         shuffled = rng.permutation(len(train))
         for at in range(0, len(shuffled), BATCH):
             part = shuffled[at : at + BATCH]
-            mean = np.stack([(c / c.sum()).astype(np.float32) @ table[u] for u, c in (counts[i] for i in part)])
+            mean = np.stack([c @ table[u] for u, c, _ in (train[i] for i in part)])
             z = mean @ layer + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
-            p[np.arange(len(part)), [train[i][1] for i in part]] -= 1
+            p[np.arange(len(part)), [train[i][2] for i in part]] -= 1
             p /= len(part)
             back = p @ layer.T
             layer -= rate * (mean.T @ p)
             bias -= rate * p.sum(0)
             for row, i in zip(back, part):
-                u, c = counts[i]
-                table[u] -= rate * (c / c.sum()).astype(np.float32)[:, None] * row
+                u, c, _ = train[i]
+                table[u] -= rate * c[:, None] * row
     model = Model(languages, (table @ layer).astype(np.float32), bias.astype(np.float64), 1.0, 0.0)
     if held:
-        z = np.stack([model.scores[b].mean(0) + model.bias for b, _ in held])
-        y = np.array([i for _, i in held])
+        z = np.stack([c @ model.scores[u] + model.bias for u, c, _ in held])
+        y = np.array([i for _, _, i in held])
         loss = lambda t: float((np.log(np.exp((z - z.max(1, keepdims=True)) / t).sum(1)) - ((z[np.arange(len(y)), y] - z.max(1)) / t)).mean())
         model.temperature = min(np.geomspace(0.05, 5, 60), key=loss)
         p = np.exp((z - z.max(1, keepdims=True)) / model.temperature)
