@@ -148,34 +148,35 @@ def fit(good: np.ndarray, any_: np.ndarray, seed: int = 5) -> Net | None:
     return _fit(good, any_, prior, seed)
 
 
-def sample_texts(rows: DataFrame, key: str, text: str, each: int, most_bytes: int) -> list[str]:
-    """About `each` whole texts by hash of key, and at most about `most_bytes` bytes of them."""
-    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
-    if not n:
-        return []
-    share = min(1.0, each / n, most_bytes / max(1, size or 0))
-    draw = F.pmod(F.xxhash64(F.lit(23), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    held, total = [], 0
-    for _, x in sorted(tuple(r) for r in rows.where(draw < share).select(F.xxhash64(F.lit(23), key), text).collect()):
-        total += len(x.encode())
-        if held and total > 2 * most_bytes:
-            break
-        held.append(x)
-    return held
+def sample_ids(rows: DataFrame, key: str, each: int, most_bytes: int) -> DataFrame:
+    """Keys of about `each` rows (key, size) by hash of key, never more than twice as many, about `most_bytes` bytes of text."""
+    n, size = rows.agg(F.count(F.lit(1)), F.sum("size")).first()
+    share = min(1.0, each / max(1, n), most_bytes / max(1, size or 0))
+    draw = F.pmod(F.xxhash64(F.lit(23), key), F.lit(1 << 30))
+    return rows.where(draw < int(share * (1 << 30)) + 1).orderBy(draw, key).limit(2 * each).select(key)
 
 
 def train(df: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", positives: int = POSITIVES, unlabelled: int = UNLABELLED, most_bytes: int = SAMPLE_BYTES) -> Net | None:
     """A model of the documents where `usable` holds: those labelled good, and those without a label. Labels of bad ones are not read.
 
     `labels` holds `key` and `quality`; a document with several labels is good if any says so.
+    Keys are drawn first; texts are read for the drawn keys alone, and only they reach the driver.
     """
-    docs = df.where(usable & F.col(text).isNotNull()).select(key, text)
+    docs = df.where(usable & F.col(text).isNotNull())
+    sizes = docs.select(key, F.octet_length(text).alias("size"))
     rated = labels.where(F.col("quality").isNotNull()).groupBy(key).agg(F.max("quality").alias("q"))
-    good = docs.join(rated.where("q = 1").select(key), key, "left_semi")
-    rest = docs.join(rated.select(key), key, "left_anti")
-    sets = [sample_texts(rows, key, text, n, most_bytes // 2) for rows, n in ((good, positives), (rest, unlabelled))]
-    x = [np.array([features(t) for t in s]).reshape(len(s), len(features(""))) for s in sets]
-    return fit(*x)
+    good = sample_ids(sizes.join(rated.where("q = 1").select(key), key, "left_semi"), key, positives, most_bytes // 2)
+    rest = sample_ids(sizes.join(rated.select(key), key, "left_anti"), key, unlabelled, most_bytes // 2)
+    drawn = good.withColumn("good", F.lit(True)).unionByName(rest.withColumn("good", F.lit(False)))
+    # at most twice the two sample sizes
+    rows = docs.select(key, text).join(F.broadcast(drawn), key).select(F.xxhash64(F.lit(23), key), "good", text).collect()
+    x, total = {True: [], False: []}, 0
+    for _, g, t in sorted(tuple(r) for r in rows):
+        total += len(t.encode())
+        if total > 2 * most_bytes:
+            break
+        x[g].append(features(t))
+    return fit(*[np.array(x[g]).reshape(len(x[g]), len(features(""))) for g in (True, False)])
 
 
 def score(df: DataFrame, net: Net | None, text: str = "text", keep: list[str] | None = None, cut: float = CUT) -> DataFrame:
