@@ -110,7 +110,7 @@ def n2(spark, d):
 def n5(spark, d):
     """Every three epochs high-residual tiles are clustered and appended."""
     _, _, m = trained(spark, d)
-    discover = lambda rows, model: CL.propose_prototypes(rows, model, 0.9, "greedy", similarity=0.25, min_size=8)[:2]
+    discover = lambda rows, model: CL.propose_prototypes(rows, model, 0.9, "greedy", similarity=0.25, min_size=8)
     fitted = FT.fit_unmix(_labelled(spark, d).drop("label"), m, 4, 1e-2, discover_every=3, discover=discover).model
     return spark.createDataFrame([(c, fitted.dim) for c in fitted.classes], "class string, n int")
 

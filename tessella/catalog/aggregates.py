@@ -234,12 +234,10 @@ def g2(spark, d):
 
 @query("s2_pool_union", "unit_pos:l n:l", "SELECT vec_id % 2 AS unit_pos, count(*) + count(*) FILTER (WHERE label % 5 = 0) AS n FROM embeddings GROUP BY 1")
 def s2(spark, d):
-    """A real pool joined by a derived one; positions the narrower pool lacks would go."""
+    """A real pool joined by a derived one."""
     real = tiles(spark, d).withColumnRenamed("tile_idx", "unit_pos")
     derived = real.where("class = 'c0'")
-    width = F.broadcast(derived.agg(F.max("unit_pos").alias("_w")))
-    pool = real.crossJoin(width).where("unit_pos <= _w").drop("_w").unionByName(derived)
-    return pool.groupBy("unit_pos").agg(F.count("*").alias("n"))
+    return real.unionByName(derived).groupBy("unit_pos").agg(F.count("*").alias("n"))
 
 
 @query("o7_score_units", "image_id:l key:s k:l score:d residual:d", f"""{RESIDUAL}, u AS (SELECT image_id, residual, unnest(range(5)) AS k, unnest(s) AS s, unnest(w) AS w FROM resn),

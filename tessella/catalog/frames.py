@@ -16,23 +16,23 @@ H, W = 8, 16
 
 def frames(spark, d, scale: int = 1):
     """(image_id, height, width, pixels); value = floor((e + 0.5) * 255 - 20 c), clamped.
-    `scale` repeats every pixel."""
-    t = tiles(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("tile_idx", "z"))).alias("t"))
-    t = t.where(F.size("t") == 2)
+    A half whose vector is missing is read as zeros. `scale` repeats every pixel."""
+    t = tiles(spark, d).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("tile_idx", "z"))).alias("m"))
     h, w = H * scale, W * scale
     x, y, c = lambda i: F.floor(i / 3) % w, lambda i: F.floor(i / (3 * w)), lambda i: i % 3
 
     def value(i):
         sx, sy = F.floor(x(i) / scale), F.floor(y(i) / scale)
-        e = F.col("t")[F.floor(sx / 8).cast("int")]["z"][(sy * 8 + sx % 8).cast("int")].cast("double")
+        half = F.element_at(F.col("m"), F.floor(sx / 8).cast("int"))
+        e = F.coalesce(F.get(half, (sy * 8 + sx % 8).cast("int")).cast("double"), F.lit(0.0))
         return F.greatest(F.lit(0), F.least(F.lit(255), F.floor((e + 0.5) * 255.0 - c(i) * 20))).cast("int")
 
     values = F.transform(F.sequence(F.lit(0), F.lit(h * w * 3 - 1)), value)
     return t.select("image_id", F.lit(h).alias("height"), F.lit(w).alias("width"), FR.pixels_from_values(values).alias("pixels"))
 
 
-_PX = """WITH fe AS (SELECT vec_id // 2 AS image_id, vec_id % 2 AS half, embedding AS e FROM embeddings),
-px AS (SELECT image_id, y, half * 8 + i AS x, c, greatest(0, least(255, floor((e[y * 8 + i + 1]::DOUBLE + 0.5) * 255.0 - c * 20)))::INT AS v FROM fe, range(8) r(y), range(8) q(i), range(3) p(c))"""
+_PX = """WITH fe AS (SELECT image_id, half, embedding AS e FROM (SELECT DISTINCT vec_id // 2 AS image_id FROM embeddings), range(2) r(half) LEFT JOIN embeddings ON vec_id = image_id * 2 + half),
+px AS (SELECT image_id, y, half * 8 + i AS x, c, greatest(0, least(255, floor((coalesce(e[y * 8 + i + 1]::DOUBLE, 0) + 0.5) * 255.0 - c * 20)))::INT AS v FROM fe, range(8) r(y), range(8) q(i), range(3) p(c))"""
 
 
 def checksum(df):
@@ -150,9 +150,9 @@ def l10_coverage(spark, d):
     return p.groupBy("combo", "mosaic").agg(F.countDistinct("class").alias("classes"), F.count("*").alias("slots"))
 
 
-@query("l11_normalize_tiles", "image_id:l tile_idx:l j:l v:d", f"""{_PX} SELECT px.image_id, t AS tile_idx, (y * 8 + x - t * 8) * 3 + c AS j, (v / 255.0::DOUBLE - [0.485::DOUBLE, 0.456, 0.406][c + 1]) / [0.229::DOUBLE, 0.224, 0.225][c + 1] AS v FROM px JOIN range(2) r(t) ON x // 8 = t""")
+@query("l11_normalize_tiles", "image_id:l tile_idx:l j:l v:d", f"""{_PX} SELECT px.image_id, t AS tile_idx, (y * 8 + x - (t % 2) * 8) * 3 + c AS j, (v / 255.0::DOUBLE - [0.485::DOUBLE, 0.456, 0.406][c + 1]) / [0.229::DOUBLE, 0.224, 0.225][c + 1] AS v FROM px JOIN range(4) r(t) ON x // 8 = t % 2""")
 def l11(spark, d):
-    n = FR.normalize_tiles(FR.grid_tiles(frames(spark, d), 8, 2).where("y = 0 and tile_idx < 2"))
+    n = FR.normalize_tiles(FR.grid_tiles(frames(spark, d), 8, 2))
     return n.select("image_id", "tile_idx", F.posexplode("values").alias("j", "v"))
 
 
@@ -195,10 +195,9 @@ def o15(spark, d):
 
     im, t, m = _frame_model(spark, d)
     u, _ = D.run_unmix(im, t, CLASSES)
-    names = [("clean", 0)] + [(c, s) for c in ("brightness", "vignette", "sensor_noise") for s in (1, 2, 3)]
     test = im.where("split = 'test'")
     fr = frames(spark, d).join(test.select("image_id"), "image_id", "left_semi")
-    return degradation(A.robustness(fr, test, {"match": m, "unmix": u}, ENCODER, 8, 2, names=names, sigma=2.0, downsample=2))
+    return degradation(A.robustness(fr, test, {"match": m, "unmix": u}, ENCODER, 8, 2, sigma=2.0, downsample=2))
 
 
 @query("o16_sweep_illumination", "arm:s method:s per_sample_f1:d macro_f1:d")
@@ -218,7 +217,7 @@ def o17_inv(spark, d):
     im, _, m = _frame_model(spark, d)
     test = im.where("split = 'test'")
     fr = frames(spark, d).join(test.select("image_id"), "image_id", "left_semi")
-    return A.invariance(fr, test, m, ENCODER, 8, 2, names=("identity", "rot180", "hflip"), sigma=2.0, downsample=2)[0]
+    return A.invariance(fr, test, m, ENCODER, 8, 2, sigma=2.0, downsample=2)[0]
 
 
 @query("o17_grayscale", "k:l mean_a:d mean_b:d mean_drop:d margin_change:d")

@@ -155,7 +155,7 @@ def o14(spark, d):
 @query("k3_nested_cv_report", "key:s metric:s point:d lo:d hi:d resolved:b")
 def k3(spark, d):
     p = L.nested_cv(images(spark, d), tiles(spark, d), CLASSES, readouts=("cosine",))
-    return L.nested_cv_report(p, n_boot=500)
+    return L.nested_cv_report(p, n_boot=2000)
 
 
 @query("o8_granularity", "granularity:s key:s role:s auroc_mean:d per_sample_f1:d")

@@ -7,7 +7,9 @@ rows made by Spark, so work is spread before any pixel is touched.
 
 from __future__ import annotations
 
+import functools
 import math
+import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -32,6 +34,8 @@ CORRUPTIONS = {
     "defocus": (1.00, 2.00, 3.50),
     "sensor_noise": (5.00, 12.0, 25.0),
 }
+ENCODED_BYTES = 64 << 20  # bytes of tiles an encoder sees at once
+HELD_BYTES = 16 << 20  # bytes of pixels a task gathers before it passes them on
 TRANSFORMS = ("identity", "rot90", "rot180", "rot270", "hflip", "vflip")
 
 
@@ -52,10 +56,16 @@ def map_frames(frames: DataFrame, fn: Callable[[object], Iterator[dict]], schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for row in pdf.itertuples(index=False):  # one frame in memory at a time
-                out = list(fn(row))
-                if out:
+            out, held = [], 0
+            for row in pdf.itertuples(index=False):
+                made = list(fn(row))
+                out += made
+                held += sum(len(r.get("pixels", b"")) for r in made)
+                if held > HELD_BYTES or len(out) > 4096:  # large frames leave one by one
                     yield pd.DataFrame(out, columns=names)
+                    out, held = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return frames.mapInPandas(run, schema)
 
@@ -158,24 +168,35 @@ def grid_tiles(frames: DataFrame, size: int, n: int) -> DataFrame:
     return map_frames(frames, one, TILE_PIXELS)
 
 
+def draw(*parts: Column | str | int) -> Column:
+    """A whole number of 32 bits from the md5 of `parts`; SQL can draw the same."""
+    text = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def random_plan(frames: DataFrame, size: int, per_image: int, seed: int, hflip: bool = True, vflip: bool = True) -> DataFrame:
+    """(frame columns, tile_idx, y, x, fx, fy): uniform corners and flips, drawn per tile without touching pixels."""
+    rows = frames.withColumn("tile_idx", F.explode(F.sequence(F.lit(0), F.lit(per_image - 1))))
+    one = lambda what: draw(F.col("image_id"), F.col("tile_idx"), what, seed)
+    fits = F.least("height", "width") >= size
+    small = F.raise_error(F.concat(F.lit(f"no tile of {size} fits into image "), F.col("image_id").cast("string"))).cast("bigint")
+    corner = lambda what, dim: F.when(fits, F.pmod(one(what), F.col(dim) - size + 1)).otherwise(small).cast("int")
+    flip = lambda what, on: (one(what) % 2 == 1) & F.lit(on)
+    return rows.withColumns({"y": corner("y", "height"), "x": corner("x", "width"), "fx": flip("fx", hflip), "fy": flip("fy", vflip)})
+
+
 def random_tiles(frames: DataFrame, size: int, per_image: int, seed: int, hflip: bool = True, vflip: bool = True) -> DataFrame:
-    """Seeded uniform crops with optional flips; the seed is (seed * 1000003) xor the flat
-    tile number, so a tile does not depend on its neighbours."""
-    import random
+    """Uniform crops with optional flips. Draws depend on image, tile and seed alone."""
+    of = random_plan(frames.select("image_id", "height", "width"), size, per_image, seed, hflip, vflip)
+    plans = of.groupBy("image_id").agg(F.collect_list(F.struct("tile_idx", "y", "x", "fx", "fy")).alias("plan"))  # `per_image` entries
 
     def one(row):
         a = pixels_of(row)
-        if row.height < size or row.width < size:
-            raise ValueError(f"frame {row.width}x{row.height} is smaller than the tile size {size}")
-        for i in range(per_image):
-            rng = random.Random((seed * 1_000_003) ^ (row.image_id * per_image + i))
-            x, y = rng.randint(0, row.width - size), rng.randint(0, row.height - size)
-            t = a[y : y + size, x : x + size]
-            t = t[:, ::-1] if hflip and rng.random() < 0.5 else t
-            t = t[::-1] if vflip and rng.random() < 0.5 else t
-            yield dict(image_id=row.image_id, tile_idx=i, y=y, x=x, size=size, pixels=np.ascontiguousarray(t).tobytes())
+        for p in row.plan:
+            t = a[p["y"] : p["y"] + size, p["x"] : p["x"] + size][:: -1 if p["fy"] else 1, :: -1 if p["fx"] else 1]
+            yield dict(image_id=row.image_id, tile_idx=p["tile_idx"], y=p["y"], x=p["x"], size=size, pixels=np.ascontiguousarray(t).tobytes())
 
-    return map_frames(frames, one, TILE_PIXELS)
+    return map_frames(frames.join(plans, "image_id"), one, TILE_PIXELS)
 
 
 # ---- linear filters as one matrix per axis ----------------------------------------
@@ -223,35 +244,37 @@ def gaussian_matrix(n: int, sigma: float, border: str) -> np.ndarray:
     return out
 
 
-def background_matrix(n: int, sigma: float, downsample: int, border: str) -> np.ndarray:
-    """Downsample, blur, upsample along one axis, as a single (n, n) matrix."""
+@functools.lru_cache(maxsize=32)
+def background_factors(n: int, sigma: float, downsample: int, border: str) -> tuple[np.ndarray, ...]:
+    """The filters along one axis, in the order of use: shrink, blur, grow. Frames of one size share them."""
     if downsample <= 1:
-        return gaussian_matrix(n, sigma, border)
+        return (gaussian_matrix(n, sigma, border),)
     small = max(1, n // downsample)
-    down = resize_matrix(n, small, antialias=border == "reflect")
-    return resize_matrix(small, n) @ gaussian_matrix(small, max(sigma / downsample, 0.5), border) @ down
+    shrink = resize_matrix(n, small, antialias=border == "reflect")
+    return shrink, gaussian_matrix(small, max(sigma / downsample, 0.5), border), resize_matrix(small, n)
 
 
 def both_axes(a: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    return np.einsum("ij,jkc,lk->ilc", rows, a.astype(np.float64), cols, optimize=True)
+    h, w, c = a.shape
+    x = (rows @ a.astype(np.float64).reshape(h, w * c)).reshape(-1, w, c)
+    return np.matmul(cols, x)
 
 
 def background_of(a: np.ndarray, sigma: float, downsample: int, border: str) -> np.ndarray:
     h, w = a.shape[:2]
-    return both_axes(a, background_matrix(h, sigma, downsample, border), background_matrix(w, sigma, downsample, border))
+    for rows, cols in zip(background_factors(h, sigma, downsample, border), background_factors(w, sigma, downsample, border)):
+        a = both_axes(a, rows, cols)
+    return a
 
 
 def flatten_of(a: np.ndarray, method: str, sigma: float = 64.0, downsample: int = 8, border: str = "reflect", eps: float = 1.0) -> np.ndarray:
     """Illumination-corrected float pixels in [0, 255]."""
+    if method not in ("divide", "subtract", "none"):
+        raise ValueError(f"no illumination method is called {method!r}")
     if method == "none":
         return a.astype(np.float64)
     bg = background_of(a, sigma, downsample, border)
-    if method == "divide":
-        out = a / (bg + eps) * bg.mean()
-    elif method == "subtract":
-        out = a - bg + bg.mean()
-    else:
-        raise ValueError(f"method must be 'divide', 'subtract' or 'none', got {method!r}")
+    out = a / (bg + eps) * bg.mean() if method == "divide" else a - bg + bg.mean()
     return np.clip(out, 0, 255)
 
 
@@ -274,10 +297,6 @@ def flatten_illumination(frames: DataFrame, method: str = "divide", sigma: float
 # ---- corruptions and transforms ---------------------------------------------------
 
 
-def condition_seed(name: str, severity: int) -> int:
-    return 1337 + 97 * severity + sum(map(ord, name))
-
-
 def corrupted(a: np.ndarray, name: str, severity: int, image_id: int = 0) -> np.ndarray:
     if name == "clean":
         return a
@@ -295,7 +314,7 @@ def corrupted(a: np.ndarray, name: str, severity: int, image_id: int = 0) -> np.
     elif name == "defocus":
         x = both_axes(x, gaussian_matrix(h, s, "zero"), gaussian_matrix(w, s, "zero"))
     else:
-        x = x + s * np.random.default_rng([condition_seed(name, severity), image_id]).standard_normal(x.shape)
+        x = x + s * np.random.default_rng([image_id, severity, zlib.crc32(name.encode())]).standard_normal(x.shape)
     return to_uint8(x)
 
 
@@ -346,42 +365,44 @@ def transform_frames(frames: DataFrame, names: Sequence[str] = TRANSFORMS) -> Da
 # ---- augmentation ----------------------------------------------------------------
 
 
-def max_square(w: int, h: int, angle: float) -> float:
-    """Largest square that stays inside the frame after rotating by `angle` degrees."""
-    t = math.radians(angle)
-    return min(w, h) / (abs(math.cos(t)) + abs(math.sin(t)))
-
+def augment_plan(frames: DataFrame, multiplier: int = 5, min_ratio: float = 0.2, seed: int = 42) -> DataFrame:
+    """(frame columns, aug_idx, angle, side, oy, ox): rotated square crops that no pixel from outside enters.
 
-def crop_plan(w: int, h: int, min_ratio: float, rng: np.random.Generator, tries: int = 200) -> tuple[float, int, int, int]:
-    """(angle, side, dx, dy): area at least `min_ratio` of the frame, no pixel from outside."""
-    smallest = min(int(math.ceil(math.sqrt(w * h * min_ratio))), min(w, h) - 2)
-    angle, largest = 0.0, min(w, h) - 2
-    for a in rng.uniform(0.0, 360.0, tries):
-        side = int(math.floor(max_square(w, h, a))) - 2
-        if side >= smallest:
-            angle, largest = float(a), side
-            break
-    side = smallest if largest <= smallest else int(rng.integers(smallest, largest + 1))
-    t = math.radians(angle)
-    box = side * (abs(math.cos(t)) + abs(math.sin(t)))
-    ox = rng.uniform(-1, 1) * max(0.0, (w - box) / 2.0)
-    oy = rng.uniform(-1, 1) * max(0.0, (h - box) / 2.0)
-    return angle, side, int(round(ox * math.cos(t) + oy * math.sin(t))), int(round(oy * math.cos(t) - ox * math.sin(t)))
-
-
-def rotated_crop(a: np.ndarray, angle: float, side: int, dx: int, dy: int) -> np.ndarray:
-    """The crop by bilinear look-up at the inversely rotated positions."""
+    A square of side s at angle t spans s (|cos t| + |sin t|) along both axes. With b the
+    largest span over the smallest side, every angle within w of a multiple of 90 degrees
+    fits: w is 45 where b >= sqrt 2, else 45 - acos(b / sqrt 2), and 0 where b <= 1. The
+    angle is uniform there, the side uniform up to the largest that fits, and the centre
+    uniform over the places at which the span stays inside.
+    """
+    rows = frames.withColumn("aug_idx", F.explode(F.sequence(F.lit(0), F.lit(multiplier - 1))))
+    u = lambda what: draw(F.col("image_id"), F.col("aug_idx"), what, seed) / F.lit(float(1 << 32))
+    room = (F.least("height", "width") - 2).cast("double")
+    least = F.least(F.ceil(F.sqrt(F.col("height").cast("double") * F.col("width") * min_ratio)), room)
+    b = F.least(F.lit(math.sqrt(2.0)), F.greatest(F.lit(1.0), room / least))
+    rows = rows.withColumns({"_room": room, "_least": least, "_w": 45.0 - F.degrees(F.acos(b / math.sqrt(2.0)))})
+    rows = rows.withColumn("angle", F.pmod(F.floor(u("quarter") * 4) * 90.0 + (u("angle") * 2 - 1) * F.col("_w"), F.lit(360.0)))
+    rows = rows.withColumn("_span", F.abs(F.cos(F.radians("angle"))) + F.abs(F.sin(F.radians("angle"))))
+    most = F.greatest(F.col("_least"), F.floor(F.col("_room") / F.col("_span") + 1e-9))
+    rows = rows.withColumn("side", (F.col("_least") + F.floor(u("side") * (most - F.col("_least") + 1))).cast("int"))
+    shift = lambda what, dim: (u(what) * 2 - 1) * F.greatest(F.lit(0.0), (F.col(dim) - 1 - F.col("side") * F.col("_span")) / 2)
+    return rows.withColumns({"oy": shift("oy", "height"), "ox": shift("ox", "width")}).drop("_room", "_least", "_w", "_span")
+
+
+def gather(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Bilinear values at real positions, clamped to the frame."""
+    low = [np.clip(np.floor(p), 0, n - 2).astype(int) for p, n in ((y, a.shape[0]), (x, a.shape[1]))]
+    v, u = (np.clip(p - i, 0.0, 1.0)[..., None] for p, i in zip((y, x), low))
+    i, j = low
+    corner = lambda di, dj: a[i + di, j + dj].astype(np.float64)
+    return (1 - v) * ((1 - u) * corner(0, 0) + u * corner(0, 1)) + v * ((1 - u) * corner(1, 0) + u * corner(1, 1))
+
+
+def crop_at(a: np.ndarray, angle: float, side: int, oy: float, ox: float) -> np.ndarray:
+    """The square of `side` around the frame's centre plus (oy, ox), turned by `angle` degrees."""
+    step = np.arange(side) - (side - 1) / 2.0
+    turn = np.exp(1j * math.radians(angle)) * (step[None, :] + 1j * step[:, None])
     h, w = a.shape[:2]
-    cx, cy, t = w / 2.0, h / 2.0, math.radians(angle)
-    x0, y0 = int(round(cx + dx)) - side // 2, int(round(cy + dy)) - side // 2
-    x, y = np.meshgrid(np.arange(x0, x0 + side) - cx, np.arange(y0, y0 + side) - cy)
-    sx = np.clip(math.cos(t) * x - math.sin(t) * y + cx, 0, w - 1)
-    sy = np.clip(math.sin(t) * x + math.cos(t) * y + cy, 0, h - 1)
-    x1, y1 = np.minimum(sx.astype(int), w - 2), np.minimum(sy.astype(int), h - 2)
-    fx, fy = (sx - x1)[..., None], (sy - y1)[..., None]
-    top = a[y1, x1] * (1 - fx) + a[y1, x1 + 1] * fx
-    low = a[y1 + 1, x1] * (1 - fx) + a[y1 + 1, x1 + 1] * fx
-    return to_uint8(np.rint(top * (1 - fy) + low * fy))
+    return to_uint8(np.rint(gather(a, turn.imag + (h - 1) / 2.0 + oy, turn.real + (w - 1) / 2.0 + ox)))
 
 
 def augment_todo(images: DataFrame, existing: DataFrame, multiplier: int) -> DataFrame:
@@ -394,18 +415,15 @@ def augment_todo(images: DataFrame, existing: DataFrame, multiplier: int) -> Dat
 def augment(frames: DataFrame, multiplier: int = 5, min_ratio: float = 0.2, size: int | None = None, seed: int = 42) -> DataFrame:
     """`multiplier` rotated square crops of every frame, with an `aug_idx` column.
 
-    Every crop has its own seed (seed, image, copy), so the result does not depend on the
-    listing order. Copies are rows before pixels are read, so one frame's crops can run in
-    several tasks.
+    Draws depend on (image, copy, seed) alone. Copies are rows before pixels are read, so one
+    frame's crops can run in several tasks.
     """
-    rows = frames.withColumn("aug_idx", F.explode(F.sequence(F.lit(0), F.lit(multiplier - 1))))
 
     def crop(a, r):
-        plan = crop_plan(r.width, r.height, min_ratio, np.random.default_rng([seed, r.image_id, r.aug_idx]))
-        out = rotated_crop(a, *plan)
+        out = crop_at(a, r.angle, r.side, r.oy, r.ox)
         return resized(out, size, size, antialias=True) if size else out
 
-    return per_frame(rows, crop)
+    return per_frame(augment_plan(frames, multiplier, min_ratio, seed), crop).drop("angle", "side", "oy", "ox")
 
 
 # ---- mosaics ---------------------------------------------------------------------
@@ -431,41 +449,45 @@ def mosaic_plan(combos: DataFrame, n_per_combo: int, seed: int, tiles: int = 16,
     )
 
 
-def mosaic(pool: DataFrame, combos: DataFrame, n_per_combo: int, seed: int, quad: int = 112, pool_per_class: int = 200) -> DataFrame:
+def mosaic(pool: DataFrame, combos: DataFrame, n_per_combo: int, seed: int, quad: int = 112, copies: int = 16) -> DataFrame:
     """(combo, mosaic, tile_idx, size, pixels): tiles of four quadrants, each a random
-    patch of a random pure frame of its class.
+    patch of a random pure frame of its class, drawn from the whole pool.
 
-    `pool` holds (class, image_id, height, width, pixels). Frames are numbered per class;
-    slots look theirs up by an equi-join and are cut to patches before the four quadrants
-    of a tile are put together.
+    `pool` holds (class, image_id, height, width, pixels). Frames are numbered per class and
+    slots look theirs up by an equi-join of ids. A frame then travels with the list of its
+    patches, in at most `copies` parts, so a frame that many slots want is neither sent once
+    for each nor one task's whole work.
     """
     from tessella.operators.ordering import hash_rank
     from tessella.operators.splits import id_digest
 
     numbered = hash_rank(pool.select("class", "image_id").withColumn("_h", id_digest("image_id", seed)), ["class"], "_h", ["image_id"])
-    numbered = numbered.where(F.col("pos") < pool_per_class).select("class", "image_id", "pos")
+    numbered = numbered.select("class", "image_id", "pos")
     size = numbered.groupBy("class").agg(F.count("*").alias("_n"))
     part = lambda at: F.conv(F.substring("h", at, 8), 16, 10).cast("bigint")
-    slots = mosaic_plan(combos, n_per_combo, seed).join(F.broadcast(size), "class")
+    slots = mosaic_plan(combos, n_per_combo, seed).join(size, "class")
     slots = slots.withColumn("pos", F.pmod(part(9), F.col("_n"))).withColumn("dy", part(17)).withColumn("dx", part(25))
-    # a frame may serve many slots: join ids first, pixels last
-    want = slots.join(numbered, ["class", "pos"]).select("combo", "mosaic", "tile_idx", "quad", "class", "image_id", "dy", "dx")
-    cells = want.join(pool, ["class", "image_id"])
+    want = slots.join(numbered, ["class", "pos"]).withColumn("_part", F.pmod(F.xxhash64("combo", "mosaic", "tile_idx"), F.lit(copies)))
+    spot = F.struct("combo", "mosaic", "tile_idx", "quad", "dy", "dx")
+    cells = want.groupBy("class", "image_id", "_part").agg(F.collect_list(spot).alias("spots")).join(pool, ["class", "image_id"])
     patch_schema = T.StructType([want.schema[c] for c in ("combo", "mosaic", "tile_idx", "quad")] + [T.StructField("pixels", T.BinaryType())])
 
-    def patch(row):
+    def patches_of(row):
         a = pixels_of(row)
-        y, x = row.dy % (row.height - quad + 1), row.dx % (row.width - quad + 1)
-        yield dict(combo=row.combo, mosaic=row.mosaic, tile_idx=row.tile_idx, quad=row.quad, pixels=np.ascontiguousarray(a[y : y + quad, x : x + quad]).tobytes())
+        for p in row.spots:
+            y, x = p["dy"] % (row.height - quad + 1), p["dx"] % (row.width - quad + 1)
+            yield dict(combo=p["combo"], mosaic=p["mosaic"], tile_idx=p["tile_idx"], quad=p["quad"], pixels=np.ascontiguousarray(a[y : y + quad, x : x + quad]).tobytes())
+
+    patches = map_frames(cells, patches_of, patch_schema)
+    tiles = patches.groupBy("combo", "mosaic", "tile_idx").agg(F.array_sort(F.collect_list(F.struct("quad", "pixels"))).alias("q"))
+    tile_schema = T.StructType([want.schema[c] for c in ("combo", "mosaic", "tile_idx")] + [T.StructField("size", T.IntegerType()), T.StructField("pixels", T.BinaryType())])
 
-    patches = map_frames(cells, patch, patch_schema)
-    # quadrant rows as hexadecimal strips, so a tile is stitched by string concatenation
-    width = quad * 3 * 2
-    strip = lambda q: F.transform(F.sequence(F.lit(0), F.lit(quad - 1)), lambda y: F.substring(q, y * width + 1, F.lit(width)))
-    quads = patches.groupBy("combo", "mosaic", "tile_idx").agg(F.array_sort(F.collect_list(F.struct("quad", F.hex("pixels").alias("p")))).alias("q"))
-    row = lambda a, b: F.zip_with(strip(F.col("q")[a]["p"]), strip(F.col("q")[b]["p"]), lambda x, y: F.concat(x, y))
-    pixels = F.unhex(F.array_join(F.concat(row(0, 1), row(2, 3)), ""))
-    return quads.select("combo", "mosaic", "tile_idx", F.lit(2 * quad).alias("size"), pixels.alias("pixels"))
+    def stitched(row):
+        q = [np.frombuffer(p["pixels"], np.uint8).reshape(quad, quad, 3) for p in row.q]
+        tile = np.concatenate([np.concatenate(q[:2], axis=1), np.concatenate(q[2:], axis=1)])
+        yield dict(combo=row.combo, mosaic=row.mosaic, tile_idx=row.tile_idx, size=2 * quad, pixels=tile.tobytes())
+
+    return map_frames(tiles, stitched, tile_schema)
 
 
 # ---- encoding --------------------------------------------------------------------
@@ -510,11 +532,14 @@ def normalize_tiles(tiles: DataFrame, mean=CHANNEL_MEAN, std=CHANNEL_STD) -> Dat
     """(image_id, tile_idx, values): scaled and standardised pixels of tile rows."""
     schema = T.StructType([*TILE_VECTORS.fields[:2], T.StructField("values", T.ArrayType(T.DoubleType()))])
 
-    def one(r):
-        a = np.frombuffer(r.pixels, dtype=np.uint8).reshape(r.size, r.size, 3)
-        yield dict(image_id=r.image_id, tile_idx=r.tile_idx, values=normalize_pixels(a, mean, std).ravel())
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for size, part in pdf.groupby("size"):
+                x = np.stack([np.frombuffer(p, dtype=np.uint8) for p in part["pixels"]]).reshape(-1, size, size, 3)
+                v = normalize_pixels(x, mean, std).reshape(len(part), -1)
+                yield pd.DataFrame({"image_id": part["image_id"].values, "tile_idx": part["tile_idx"].values, "values": list(v)})
 
-    return map_frames(tiles, one, schema)
+    return tiles.select("image_id", "tile_idx", "size", "pixels").mapInPandas(run, schema)
 
 
 def embed_tiles(tiles: DataFrame, encoder: Encoder, mean=CHANNEL_MEAN, std=CHANNEL_STD) -> DataFrame:
@@ -542,14 +567,30 @@ def embed_frames(
     Flattened values stay floating point, and tile pixels never leave the task.
     """
 
-    def one(row):
+    def tiles_of(row):
         a = pixels_of(row)
         a = transform(a) if transform else a
         x = preprocess(a).astype(np.float64) if preprocess else flatten_of(a, method, sigma, downsample, border)
-        for i, z in enumerate(encoder(normalize_pixels(cut(x, size, n))).astype(np.float32)):
-            yield dict(image_id=row.image_id, tile_idx=i, z=z)
+        return normalize_pixels(cut(x, size, n))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, held = [], []
+
+        def encoded():
+            z = encoder(np.concatenate(held)).astype(np.float32)
+            return pd.DataFrame({"image_id": np.repeat(ids, n * n), "tile_idx": np.tile(np.arange(n * n), len(ids)), "z": list(z)})
 
-    return map_frames(frames.select("image_id", "height", "width", "pixels"), one, TILE_VECTORS)
+        for pdf in batches:
+            for row in pdf.itertuples(index=False):
+                ids.append(row.image_id)
+                held.append(tiles_of(row))
+                if len(ids) * held[-1].nbytes > ENCODED_BYTES:
+                    yield encoded()
+                    ids, held = [], []
+        if ids:
+            yield encoded()
+
+    return frames.select("image_id", "height", "width", "pixels").mapInPandas(run, TILE_VECTORS)
 
 
 def units_from_tokens(

@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.kernels import to_lists, to_matrix, unit_rows
+from tessella.session import durable
 
 SEND_LIMIT = 128 << 20  # bytes of float32 pool a task may hold
 BLOCK_ROWS = 16_384
-QUERY_CHUNK = 2_048
+QUERY_CHUNK, POOL_CHUNK = 512, 8_192  # rows of a cell: 32 MB of similarities
 MERGE_WIDTH = 64
 
 
@@ -33,17 +34,22 @@ def _fold_mask(labels: np.ndarray, exclude: Sequence[int]) -> np.ndarray:
 
 
 def _top(q: np.ndarray, pool: np.ndarray, masks: list[np.ndarray], k: int) -> list[np.ndarray]:
-    """Per fold, the k largest similarities of every query, descending, -inf padded."""
+    """Per fold, the k largest similarities of every query, descending, -inf padded.
+
+    Queries and pool meet in cells of QUERY_CHUNK x POOL_CHUNK, so a task's memory does not
+    depend on the size of either.
+    """
     out = [np.full((len(q), k), -np.inf) for _ in masks]
     for i in range(0, len(q), QUERY_CHUNK):
-        sims = q[i : i + QUERY_CHUNK] @ pool.T
-        for f, mask in enumerate(masks):
-            s = sims[:, mask]
-            if s.shape[1] == 0:
-                continue
-            m = min(k, s.shape[1])
-            best = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m :]
-            out[f][i : i + QUERY_CHUNK, :m] = -np.sort(-best, axis=1)
+        for j in range(0, len(pool), POOL_CHUNK):
+            sims = q[i : i + QUERY_CHUNK] @ pool[j : j + POOL_CHUNK].T
+            for f, mask in enumerate(masks):
+                use = mask[j : j + POOL_CHUNK]
+                s = sims if use.all() else sims[:, use]
+                if s.shape[1] > k:
+                    s = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :]
+                both = np.concatenate([out[f][i : i + QUERY_CHUNK], s], axis=1)
+                out[f][i : i + QUERY_CHUNK] = -np.sort(-both, axis=1)[:, :k]
     return out
 
 
@@ -104,7 +110,9 @@ def knn_top(
     n_query = queries.count()
     n_qb = max(1, -(-n_query // block_rows))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
-    q = queries.select(*keep, "z", F.pmod(F.xxhash64(*keep), F.lit(n_qb)).cast("int").alias("qb")).withColumn("pb", each(n_pb))
+    # `keep` need not tell queries apart, so each gets a number; it is written down before it is used
+    numbered = durable(queries.select(*keep, "z").withColumn("_q", F.monotonically_increasing_id()))
+    q = numbered.withColumn("qb", F.pmod(F.xxhash64("_q"), F.lit(n_qb)).cast("int")).withColumn("pb", each(n_pb))
     # fresh column names: queries and pool may come from one table
     p = pool.select(
         F.col("z").alias("pz"),
@@ -122,18 +130,18 @@ def knn_top(
             tops = _top(unit_rows(to_matrix(b.column("z"))), z, masks_of(labels), k)
         else:
             tops = [np.full((b.num_rows, k), -np.inf) for _ in excludes]
-        out = pa.Table.from_batches([_emit(b, keep, tops, names)])
+        out = pa.Table.from_batches([_emit(b, ["_q", *keep], tops, ["_q", *names])])
         return out.append_column("pb", pa.array(np.full(out.num_rows, key[0].as_py(), dtype=np.int32)))
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    with_block = T.StructType([*schema.fields, T.StructField("pb", T.IntegerType())])
+    with_block = T.StructType([T.StructField("_q", T.LongType()), *schema.fields, T.StructField("pb", T.IntegerType())])
     schema_arrow = to_arrow_schema(with_block)
     tops = q.groupBy("pb", "qb").cogroup(p.groupBy("ppb", "pqb")).applyInArrow(cell, with_block)
     # k-lists merge associatively: groups of blocks first, so no query gathers them all at once
     merged = F.slice(F.sort_array(F.flatten(F.collect_list("top")), asc=False), 1, k).alias("top")
-    some = tops.groupBy(*keep, "fold", F.floor(F.col("pb") / MERGE_WIDTH).alias("part")).agg(merged)
-    return some.groupBy(*keep, "fold").agg(merged)
+    some = tops.groupBy("_q", *keep, "fold", F.floor(F.col("pb") / MERGE_WIDTH).alias("part")).agg(merged)
+    return some.groupBy("_q", *keep, "fold").agg(merged).drop("_q")
 
 
 def knn_distance(queries: DataFrame, pool: DataFrame, k: int = 10, keep=("image_id", "tile_idx"), excludes=((),), **kw) -> DataFrame:

@@ -359,14 +359,14 @@ def flag_best(df: DataFrame, cols: Sequence[str], tol: float = 1e-6) -> DataFram
 
 
 def best_per(df: DataFrame, by: Sequence[str], metric: str, tie: str) -> DataFrame:
-    """Best row of every group, smallest `tie` first on equal metric.
+    """Best row of every group, smallest `tie` first on equal metric; NULL is below every metric.
 
     Two hash aggregations; the join between them is left to the optimizer, since groups
     may be many.
     """
     rest = [c for c in df.columns if c not in by]
     top = df.groupBy(*by).agg(F.max(metric).alias("_top"))
-    tied = df.join(top, list(by)).where(F.col(metric) == F.col("_top"))
+    tied = df.join(top, list(by)).where(F.col(metric).eqNullSafe(F.col("_top")))
     best = tied.groupBy(*by).agg(F.min_by(F.struct(*rest), F.col(tie)).alias("_b"))
     return best.select(*by, *[F.col(f"_b.{c}").alias(c) for c in rest])
 

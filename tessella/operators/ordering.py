@@ -6,7 +6,7 @@ of two, so a single-precision value shares its cell with no other value), and ev
 4,096 neighbouring fine cells form a coarse cell. Running sums are then taken in three
 bounded steps: over the coarse cells of a group, over the fine cells of a coarse cell,
 over the rows of a fine cell. The cell function depends on the value alone, so a
-recomputed task lands in the same cells.
+recomputed task lands in the same cells. Strings are dealt by sampled ranges instead.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessella.session import durable
+
 FINE_BITS = 24  # fine cells per power of two, as a power of two
 COARSE_SHIFT = 12  # fine cells per coarse cell, likewise
 
@@ -27,40 +29,33 @@ def _number_cell(x: Column) -> Column:
     `floor(log2)` may be off by one next to a power of two; both readings give the same
     cell there, so the map stays monotone.
     """
-    size = F.abs(x.cast("double"))
+    x = x.cast("double")
+    odd = F.isnan(x) | (F.abs(x) == float("inf"))
+    size = F.when(odd, F.lit(1.0)).otherwise(F.abs(x))
     exponent = F.floor(F.log2(size))
     mantissa = F.floor((size / F.pow(F.lit(2.0), exponent) - 1.0) * float(1 << FINE_BITS))
-    cell = (exponent + 1100) * (1 << FINE_BITS) + mantissa
-    signed = F.when(size == 0, F.lit(0)).otherwise(F.signum(x.cast("double")).cast("bigint") * cell.cast("bigint"))
+    cell = ((exponent + 1100) * (1 << FINE_BITS) + mantissa).cast("bigint")
+    # infinities lie beyond all finite cells, and NaN is above them, as in Spark's own order
+    end = F.lit(2300 << FINE_BITS).cast("bigint")
+    signed = F.when(F.isnan(x), end + 1).when(odd, F.when(x > 0, end).otherwise(-end))
+    signed = signed.when(size == 0, F.lit(0)).otherwise(F.signum(F.when(odd, F.lit(1.0)).otherwise(x)).cast("bigint") * cell)
     # never null, so no null filter is inferred and the branches can share one exchange
-    return F.coalesce(signed, F.lit(0))
-
+    return F.coalesce(signed, F.lit(0).cast("bigint"))
 
-def _common_bytes(lo: Column, hi: Column) -> Column:
-    """Bytes of the common prefix of two strings."""
-    n = F.least(F.length(lo), F.length(hi))
-    differs = F.filter(
-        F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-        lambda i: F.substring(lo, i, F.lit(1)) != F.substring(hi, i, F.lit(1)),
-    )
-    same = F.coalesce(F.array_min(differs) - 1, n)
-    return F.octet_length(F.substring(lo, F.lit(1), same))
 
-
-def _with_cells(df: DataFrame, keys: list[str], order: str, bounded_keys: bool) -> DataFrame:
+def _with_cells(df: DataFrame, keys: list[str], order: str, ties: Sequence[str], ascending: bool) -> DataFrame:
     """Add `_fine` and `_coarse`.
 
-    Strings are read as the number their six bytes after the group's common prefix
-    spell, which keeps their order.
+    Strings have no arithmetic: rows are dealt by range over (group, string, ties), with
+    splitters that Spark samples, and the range is the cell. Paths that share long prefixes
+    spread like any others. The dealing is written down, so that all later steps see the same.
     """
     if dict(df.dtypes)[order] != "string":
         fine = df.withColumn("_fine", _number_cell(F.col(order)))
         return fine.withColumn("_coarse", F.shiftright("_fine", COARSE_SHIFT))
-    ends = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    skip = ends.select(*keys, _common_bytes(F.col("_lo"), F.col("_hi")).alias("_skip"))
-    tail = F.substring(F.hex(F.encode(order, "UTF-8")), F.col("_skip") * 2 + 1, F.lit(12))
-    fine = df.join(F.broadcast(skip) if bounded_keys else skip, keys).withColumn("_fine", F.coalesce(F.conv(F.rpad(tail, 12, "0"), 16, 10).cast("bigint"), F.lit(0)))
-    return fine.withColumn("_coarse", F.shiftright("_fine", 24)).drop("_skip")
+    by = [*keys, order, *(ties if ascending else ())]
+    dealt = durable(df.repartitionByRange(*[F.col(c) for c in by]).withColumn("_fine", F.spark_partition_id().cast("bigint")))
+    return dealt.withColumn("_coarse", F.shiftright("_fine", COARSE_SHIFT))
 
 
 def running(
@@ -70,14 +65,12 @@ def running(
     sums: Sequence[str],
     ascending: bool = True,
     ties: Sequence[str] = (),
-    bounded_keys: bool = True,
 ) -> DataFrame:
     """Add `before_<c>`, the sum of `c` over the earlier rows of the group, and `total_<c>`.
 
     Keys must not be NULL. `order` should be unique inside a group (aggregate to distinct values first) or be
-    made unique by `ties`. `bounded_keys` says that the groups are few (classes, folds,
-    variants, combinations), so their coarse-cell table may be broadcast; otherwise it
-    is joined by shuffle.
+    made unique by `ties`. Cell tables are joined without a hint: Spark broadcasts them
+    only below its own size limit. Infinities come first and last, NaN after all numbers.
     """
     keys = list(keys)
     if not keys:
@@ -90,7 +83,7 @@ def running(
         zero = F.lit(0)
         return lambda c: F.coalesce(F.sum(c).over(w), zero)
 
-    celled = _with_cells(df, keys, order, bounded_keys)
+    celled = _with_cells(df, keys, order, ties, ascending)
     fine = celled.groupBy(*keys, "_coarse", "_fine").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     coarse = fine.groupBy(*keys, "_coarse").agg(*[F.sum(f"_t_{c}").alias(f"_t_{c}") for c in sums])
     whole, ahead = W.partitionBy(*keys), earlier(keys, direction("_coarse"))
@@ -101,7 +94,7 @@ def running(
         *[F.sum(f"_t_{c}").over(whole).alias(f"total_{c}") for c in sums],
     )
     ahead = earlier([*keys, "_coarse"], direction("_fine"))
-    fine = fine.join(F.broadcast(coarse) if bounded_keys else coarse, [*keys, "_coarse"]).select(
+    fine = fine.join(coarse, [*keys, "_coarse"]).select(
         *keys,
         "_fine",
         *[(F.col(f"_o1_{c}") + ahead(f"_t_{c}")).alias(f"_o_{c}") for c in sums],
@@ -130,8 +123,7 @@ def hash_rank(
     digest: str,
     ties: Sequence[str] = (),
     name: str = "pos",
-    prefix: int = 3,
-    bounded_keys: bool = True,
+    prefix: int = 4,
 ) -> DataFrame:
     """0-based position by a hexadecimal digest column.
 
@@ -144,7 +136,7 @@ def hash_rank(
     before = W.partitionBy(*(keys or [F.lit(0)])).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
     inner = W.partitionBy(*keys, "_cell").orderBy(digest, *ties)
-    joined = cell.join(F.broadcast(offsets) if bounded_keys else offsets, keys + ["_cell"])
+    joined = cell.join(offsets, keys + ["_cell"])
     ranked = joined.withColumn(name, F.row_number().over(inner) - 1 + F.col("_o"))
     return ranked.select(*df.columns, name)
 
@@ -164,7 +156,6 @@ def exact_quantiles(
     value: str,
     qs: Sequence[float],
     method: str = "linear",
-    bounded_keys: bool = True,
 ) -> DataFrame:
     """(keys, q, value) exact quantiles from running counts over distinct values.
 
@@ -172,7 +163,7 @@ def exact_quantiles(
     the smaller one (the lower median for q = 0.5).
     """
     keys = list(keys)
-    counted = running(distinct_values(df, keys, value), keys, value, ["n"], bounded_keys=bounded_keys)
+    counted = running(distinct_values(df, keys, value), keys, value, ["n"])
     rows = counted.withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
     at = F.col("q") * (F.col("total_n") - 1)
     lo, hi = F.floor(at), F.ceil(at)
@@ -184,7 +175,10 @@ def exact_quantiles(
     )
     if method == "lower":
         return picked.select(*keys, "q", F.col("_a").alias(value))
-    return picked.select(*keys, "q", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f")).alias(value))
+    # at an order statistic, or between equal ones, infinities stay what they are
+    exact = (F.col("_f") == 0) | (F.col("_a") == F.col("_b"))
+    between = F.when(exact, F.col("_a")).otherwise(F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_f"))
+    return picked.select(*keys, "q", between.alias(value))
 
 
 def average_rank(df: DataFrame, keys: Sequence[str], value: str, name: str = "avg_rank") -> DataFrame:
@@ -223,7 +217,7 @@ def equal_count_bins(
     keys = list(keys)
     ranked = tie_broken_position(df, keys, value, row_id, "_pos")
     size = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    ranked = ranked.join(F.broadcast(size), keys) if keys else ranked.crossJoin(F.broadcast(size))
+    ranked = ranked.join(size, keys) if keys else ranked.crossJoin(F.broadcast(size))  # no keys: one row
     base, extra = F.floor(F.col("_n") / bins), F.col("_n") % bins
     big = extra * (base + 1)
     small = extra + F.floor((F.col("_pos") - big) / F.greatest(base, F.lit(1)))

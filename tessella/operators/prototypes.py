@@ -234,14 +234,10 @@ def prototype_table(spark, model: PrototypeModel) -> DataFrame:
     return spark.createDataFrame(rows, "k int, class string, source string, p array<double>")
 
 
-def pca_basis(tiles: DataFrame, d: int, sample: int = 200_000, seed: int = 1337) -> np.ndarray:
-    """Top-d principal directions (d, D) of a hash-ordered sample, up to sign."""
+def pca_basis(tiles: DataFrame, d: int) -> np.ndarray:
+    """Top-d principal directions (d, D) of all rows, up to sign; second moments are added up in a tree."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
-    from tessella.operators.splits import cap_units
-
-    data = cap_units(tiles, sample, seed).select(
-        array_to_vector(F.transform("z", lambda x: x.cast("double"))).alias("features")
-    )
+    data = tiles.select(array_to_vector(F.transform("z", lambda x: x.cast("double"))).alias("features"))
     return PCA(k=d, inputCol="features", outputCol="o").fit(data).pc.toArray().T

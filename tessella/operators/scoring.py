@@ -230,7 +230,7 @@ def _long_quantile(scored: DataFrame, q: float, column: str, by: Sequence[str])
     from tessella.operators.ordering import exact_quantiles
 
     long = scored.select(*by, F.posexplode(column).alias("k", "score"))
-    large = exact_quantiles(long, [*by, "k"], "score", [q], bounded_keys=False)
+    large = exact_quantiles(long, [*by, "k"], "score", [q])
     entries = F.array_sort(F.collect_list(F.struct("k", "score")))
     return large.groupBy(*by).agg(F.transform(entries, lambda e: e["score"]).alias("scores"))
 

@@ -6,6 +6,7 @@ shuffle, reproducible on any number of tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -197,35 +198,6 @@ def order_combos(df: DataFrame) -> DataFrame:
     return df.orderBy(combo_order("combo"), "combo")
 
 
-def exact_heldout(combos: Sequence[str], counts: dict[int, int], seed: int) -> tuple[list[str], list[str]]:
-    """The draw with Python's own shuffle, for matching a published partition.
-
-    The combination list is short, so this runs on the driver.
-    """
-    import random
-    import re
-
-    def tokens(c: str) -> list[str]:
-        return [t for t in c.split("_") if t and not re.match(r"(?i)^take\d+$", t)]
-
-    names = sorted(combos)
-    classes = {t for c in names for t in tokens(c)}
-    for attempt in range(HELDOUT_ATTEMPTS + 1):
-        rng = random.Random(seed + attempt)
-        held: list[str] = []
-        for order, count in counts.items():
-            pool = [c for c in names if len(tokens(c)) == order]
-            if len(pool) < count:
-                raise ValueError(f"only {len(pool)} combinations of order {order}, {count} wanted")
-            rng.shuffle(pool)
-            held += pool[:count]
-        gone = {frozenset(tokens(c)) for c in held}
-        trained = [c for c in names if frozenset(tokens(c)) not in gone]
-        if classes <= {t for c in trained for t in tokens(c)}:
-            return held, trained
-    raise ValueError("no draw keeps every class covered")
-
-
 def drop_label_sets(images: DataFrame, heldout: DataFrame) -> DataFrame:
     """Remove every combination whose label set equals a held-out one."""
     keys = heldout.select(label_key("combo").alias("_key")).distinct()
@@ -329,9 +301,9 @@ def loso_folds(images: DataFrame, classes: Sequence[str]) -> DataFrame:
 def mixup(tiles: DataFrame, seed: int, alpha: float = 0.2, vec: str = "z", label: str = "label") -> DataFrame:
     """Each tile mixed with a random other one: convex vectors, maximum of the labels.
 
-    Positions in hash order are a permutation; row i is paired with row i + 1. The
-    weight is Beta(alpha, alpha) by Johnk's rejection method on seeded uniforms (eight
-    tries, then the tile stays as it is).
+    Positions in hash order are a permutation; row i is paired with row i + 1. The weight is
+    Beta(alpha, alpha), exactly and from two uniforms: with p = u^(1/alpha) and c = cos(2 pi v) it is
+    (1 + c / sqrt(p / (1 - p) + c^2)) / 2.
     """
     h = F.md5(F.concat_ws(":", F.col("image_id").cast("string"), F.col("tile_idx").cast("string"), F.lit(str(seed))))
     keyed = tiles.withColumn("_h", h)
@@ -340,13 +312,9 @@ def mixup(tiles: DataFrame, seed: int, alpha: float = 0.2, vec: str = "z", label
     other = ranked.crossJoin(F.broadcast(n)).select(
         F.pmod(F.col("pos") - 1, F.col("_n")).alias("pos"), F.col(vec).alias("_z"), F.col(label).alias("_y")
     )
-    uniform = lambda tag, i: (F.conv(F.substring(F.md5(F.concat(F.col("_h"), F.lit(f"{tag}{i}"))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    draws = F.array(*[
-        F.struct(F.pow(uniform("a", i), F.lit(1.0 / alpha)).alias("a"), F.pow(uniform("b", i), F.lit(1.0 / alpha)).alias("b"))
-        for i in range(8)
-    ])
-    kept = F.filter(draws, lambda d: (d["a"] + d["b"] <= 1.0) & (d["a"] + d["b"] > 0.0))
-    lam = F.coalesce(F.get(kept, F.lit(0))["a"] / (F.get(kept, F.lit(0))["a"] + F.get(kept, F.lit(0))["b"]), F.lit(1.0))
+    uniform = lambda tag: (F.conv(F.substring(F.md5(F.concat(F.col("_h"), F.lit(tag))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+    p, c = F.pow(uniform("u"), F.lit(1.0 / alpha)), F.cos(uniform("v") * (2 * math.pi))
+    lam = (1 + c / F.sqrt(p / F.greatest(1 - p, F.lit(2.0**-53)) + c * c)) / 2
     paired = ranked.join(other, "pos").withColumn("lam", lam)
     mixed = F.zip_with(vec, "_z", lambda x, y: x * F.col("lam") + y * (F.lit(1.0) - F.col("lam")))
     return paired.select(
@@ -375,5 +343,5 @@ def rename_plan(files: DataFrame, folder: str = "folder", name: str = "name") ->
         F.regexp_extract(name, pattern, 1).cast("bigint").alias("_frame"),
         F.regexp_extract(name, pattern, 2).cast("bigint").alias("_aug"),
     )
-    ranked = position(parsed, [folder], "_frame", ties=["_aug", name], bounded_keys=False)
+    ranked = position(parsed, [folder], "_frame", ties=["_aug", name])
     return ranked.select(folder, name, F.format_string("%05d.jpg", F.col("pos") + 1).alias("new_name"))

@@ -210,11 +210,10 @@ def robustness(
 def mosaic_stage(real: DataFrame, synthetic: DataFrame, images, tiles, classes, epochs: int = 10, lr: float = 1e-3, **fit_args) -> DataFrame:
     """(pool, metrics): unmixing fitted on real, mosaic, and both unit pools.
 
-    Pools hold (image_id, tile_idx, z, label); the union keeps the positions both have.
+    Pools hold (image_id, tile_idx, z, label); the union holds every unit of both.
     """
-    width = F.broadcast(real.agg(F.max("tile_idx").alias("_a")).crossJoin(synthetic.agg(F.max("tile_idx").alias("_b"))))
-    common = lambda df: df.crossJoin(width).where("tile_idx <= least(_a, _b)").select("image_id", "tile_idx", "z", "label")
-    pools = {"real": real, "mosaic": synthetic, "real+mosaic": common(real).unionByName(common(synthetic))}
+    units = lambda df: df.select("image_id", "tile_idx", "z", "label")
+    pools = {"real": real, "mosaic": synthetic, "real+mosaic": units(real).unionByName(units(synthetic))}
     start = P.hybrid_prototypes(tiles, images.where("split = 'train'"), classes)
     parts = []
     for name, rows in pools.items():
@@ -223,14 +222,14 @@ def mosaic_stage(real: DataFrame, synthetic: DataFrame, images, tiles, classes,
     return _calibrated_f1(_union(parts).join(_evaluated(images), "image_id"), ["pool"], fallback=C.NEVER_FIRES)
 
 
-def subspace_stage(images, tiles, classes, dims=(32,), epochs: int = 10, lr: float = 1e-3, absent_lambda: float = 1.0, sample: int = 200_000) -> DataFrame:
+def subspace_stage(images, tiles, classes, dims=(32,), epochs: int = 10, lr: float = 1e-3, absent_lambda: float = 1.0) -> DataFrame:
     """(d, metrics) of unmixing inside a fitted orthonormal subspace."""
     train = images.where("split = 'train'")
     start = P.hybrid_prototypes(tiles, train, classes)
     rows = durable(D.labelled_tiles(tiles, train))
     parts = []
     for dim in dims:
-        fitted = fitting.fit_subspace(rows, start, P.pca_basis(rows, dim, sample), epochs, lr, absent_lambda)
+        fitted = fitting.fit_subspace(rows, start, P.pca_basis(rows, dim), epochs, lr, absent_lambda)
         projected = S.project(S.normalize_tiles(tiles), fitted.w)
         parts.append(S.tile_mean(S.score_tiles(projected, fitted.model, ("weights",)), len(classes), "weights").withColumn("d", F.lit(dim)))
     return _calibrated_f1(_union(parts).join(_evaluated(images), "image_id"), ["d"], fallback=C.NEVER_FIRES)

@@ -21,7 +21,8 @@ from tessella.operators import scoring as S
 
 
 def image_scores(tiles: DataFrame, images: DataFrame, model, readout: str = "sims", extras: Sequence[str] = ()) -> DataFrame:
-    """images plus `scores` (tile mean); images without tiles score zero."""
+    """images plus `scores` (tile mean); images without tiles score zero. Only tiles of `images` are scored."""
+    tiles = tiles.join(images.select("image_id"), "image_id", "left_semi")
     if isinstance(model, (ChannelModel, LinearModel)):
         tile = S.score_head(tiles, model)
         readout, extras = "sims", ()

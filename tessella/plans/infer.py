@@ -19,7 +19,7 @@ from tessella.operators import frames as FR
 from tessella.operators.scoring import readouts
 from tessella.operators.splits import split_summary, temporal_split
 from tessella.sources.files import IMAGE_SUFFIXES, list_images
-from tessella.sources.manifests import write_manifest
+from tessella.sources.manifests import write_images, write_manifest
 from tessella.sources.stores import wide_predictions
 
 DECISIONS = T.StructType([
@@ -68,12 +68,18 @@ def infer_folder(spark, root: str, model, encoder: FR.Encoder, size: int, n: int
 
 
 def prepare(
-    spark, root: str, manifest: str, train: float = 0.8, val: float = 0.1, suffixes: Sequence[str] = IMAGE_SUFFIXES
+    spark, root: str, manifest: str, train: float = 0.8, val: float = 0.1, suffixes: Sequence[str] = IMAGE_SUFFIXES, document: str | None = None
 ) -> DataFrame:
-    """List `root`, split every folder by acquisition order, write the manifest, return counts."""
+    """List `root`, split every folder by acquisition order, write the manifest, return counts.
+
+    The manifest is Parquet, one folder per split; `document` asks for a JSON export as well.
+    """
     if not 0 < train + val <= 1:
         raise ValueError("train and val must add up to at most 1")
     images = list_images(spark, root, suffixes).where("combo is not null").select("path", "combo")
     split = temporal_split(images, train, val)
-    write_manifest(split, class_names(images), manifest, {"train_frac": str(train), "val_frac": str(val)})
+    write_images(split, manifest)
+    split = spark.read.parquet(manifest)
+    if document:
+        write_manifest(split, class_names(images), document, {"train_frac": str(train), "val_frac": str(val)})
     return split_summary(split)

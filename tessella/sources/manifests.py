@@ -15,7 +15,6 @@ _DOCUMENT = (
     "class_names array<string>, seed bigint, heldout_combos array<string>, trained_combos array<string>, "
     "splits map<string, array<string>>"
 )
-DOCUMENT_IMAGES = 2_000_000
 _ENTRY = "path string, label array<int>, combo string, video string"
 
 
@@ -63,12 +62,9 @@ def read_protocol(spark, path: str) -> DataFrame:
 def write_manifest(images: DataFrame, classes: Sequence[str], path: str, extra: dict[str, str] | None = None) -> None:
     """One JSON document: class_names, splits, combo_to_label and `extra` string fields.
 
-    A document is one row by definition, so its size is checked first; larger collections
-    are kept as Parquet with `write_images`.
+    An export for other tools: a document is one row by definition, and one task writes it.
+    Jobs keep their manifests as Parquet with `write_images`, of any size.
     """
-    n = images.count()
-    if n > DOCUMENT_IMAGES:
-        raise ValueError(f"{n} images do not belong in one JSON document; use write_images")
     entry = F.struct("path", label_vector(parse_tokens("combo"), classes).alias("label"), "combo")
     per_split = images.groupBy("split").agg(F.array_sort(F.collect_list(entry)).alias("e"))
     doc = per_split.agg(F.map_from_entries(F.collect_list(F.struct("split", "e"))).alias("splits"))
@@ -81,6 +77,12 @@ def write_images(images: DataFrame, path: str) -> None:
     images.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def read_images(spark, path: str, split: str | None = None) -> DataFrame:
+    """The manifest that `write_images` wrote; a split is pruned by folder."""
+    images = spark.read.parquet(path)
+    return images if split is None else images.where(F.col("split") == split)
+
+
 def read_folds(spark, path: str) -> DataFrame:
     """(fold, combo, role) of a development-fold document."""
     doc = spark.read.json(path, schema=FOLDS, multiLine=True).select(F.explode("folds").alias("f"))

@@ -48,8 +48,9 @@ def test_listing_and_decode(spark, tree):
 
 def test_prepare_writes_a_readable_manifest(spark, tree, tmp_path):
     root, _ = tree
-    out = str(tmp_path / "manifest")
-    summary = {(r["split"], r["combo"]): r["n"] for r in IN.prepare(spark, str(root), out).collect()}
+    table, out = str(tmp_path / "images"), str(tmp_path / "manifest")
+    summary = {(r["split"], r["combo"]): r["n"] for r in IN.prepare(spark, str(root), table, document=out).collect()}
+    assert MF.read_images(spark, table).count() == 20 and MF.read_images(spark, table, "train").count() == 16
     assert summary[(None, None)] == 20 and summary[("train", "a")] == 8 and summary[("val", "b")] == 0 if ("val", "b") in summary else True
     got = MF.read_manifest(spark, out)
     assert got.count() == 20
