@@ -228,12 +228,17 @@ def test_simhash(spark):
     from pyspark.sql import functions as F
 
     rng = random.Random(5)
-    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.randint(3, 6) for _ in range(n))) for i, n in enumerate((1, 2, 3, 30, 510, 511, 512, 1400))]
+    sizes = (1, 2, 3, 30, 254, 255, 256, 511, 1400)
+    rows = [(i, " ".join(rng.choice("abcdefghé") * rng.randint(1, 6) for _ in range(n))) for i, n in enumerate(sizes)]
+    rows += [(20, "a bb ccc dddd e ffff g"), (21, "aa " * 40 + "bb"), (22, "aaaa b cccc d eeee")]
     df = spark.createDataFrame(rows, "i int, norm string")
-    hashes = {r.i: r.h for r in df.select("i", F.transform(lines.features(F.col("norm")), lambda w: F.xxhash64(w)).alias("h")).collect()}
+    hashes = {r.i: r.h for r in df.select("i", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("h")).collect()}
     got = {r.i: r for r in lines.simhashes(df, ["i"]).collect()}
-    for i, h in hashes.items():
-        assert got[i].n_words == (1, 2, 3, 30, 510, 511, 512, 1400)[i] and got[i].sim == sum(1 << b for b in range(63) if sum((x >> b) & 1 for x in h) > len(h) // 2)
+    for i, norm in rows:
+        words = norm.split(" ")
+        large = [h for h, w in zip(hashes[i], words) if len(w) > 3]
+        h = large if len(large) >= 3 else hashes[i]
+        assert got[i].n_words == len(words) and got[i].sim == sum(1 << b for b in range(63) if sum((x >> b) & 1 for x in h) > len(h) // 2), i
 
 
 def test_words_as_characters(spark):
