@@ -3,13 +3,15 @@
 Labels are constant within a resampling unit, so a resample only re-weights units. F1 is
 a weighted sum of unit sums, macro F1 of unit counts, and AUROC of the concordance matrix
 C[k, u, v] = sum over positives of u and negatives of v of 1[s > s'] + 1/2 1[s = s'].
-The images are read once; every resample costs (units)^2, whatever their number.
+The images are read once; resamples are matrix products with C, whatever the number of images.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from tessella.operators.ordering import running
 from tessella.session import durable
 
 UNITS_PER_PASS = 128
+RESAMPLES, CELL_PAIRS = 256, 1_000_000  # resamples and matrix entries of a cell, about
 
 
 def unit_list(preds: DataFrame, unit: str = "combo") -> list[str]:
@@ -93,16 +96,50 @@ def draw_units(spark, units: Sequence[str], n_boot: int, seed: int) -> DataFrame
     return drawn.unionByName(point)
 
 
+def weighted_wins(conc: DataFrame, draws: DataFrame) -> DataFrame:
+    """(b, k, wins): sum over u, v of w[b, u] C[k, u, v] w[b, v].
+
+    Blocks of resamples meet blocks of a class's matrix in cells, and a cell is one matrix
+    product, so what leaves it is a number per resample and class, however many units there are.
+    """
+    parts = max(1, -(-conc.count() // CELL_PAIRS))
+    blocks = conc.select("k", F.pmod(F.xxhash64("u"), F.lit(parts)).cast("int").alias("part"), "u", "v", "c")
+    resamples = draws.select(F.floor(F.col("b") / RESAMPLES).cast("int").alias("rb"), "b", "u", "w")
+    cells = blocks.select("k", "part").distinct().crossJoin(resamples.select("rb").distinct())  # names of cells only
+    left = blocks.join(cells, ["k", "part"])
+    # fresh names: both sides come from one table
+    of = cells.select(F.col("k").alias("k2"), F.col("part").alias("part2"), F.col("rb").alias("rb2"))
+    right = resamples.join(of, F.col("rb") == F.col("rb2")).select("k2", "part2", "rb2", F.col("b").alias("b2"), F.col("u").alias("u2"), F.col("w").alias("w2"))
+    out = pa.schema([("b", pa.int64()), ("k", pa.int32()), ("wins", pa.float64())])
+
+    def product(key: tuple, c: pa.Table, r: pa.Table) -> pa.Table:
+        if not c.num_rows or not r.num_rows:
+            return out.empty_table()
+        units, at = np.unique(np.concatenate([c.column(n).to_numpy() for n in "uv"] + [r.column("u2").to_numpy()]).astype(str), return_inverse=True)
+        u, v, drawn = np.split(at, [c.num_rows, 2 * c.num_rows])
+        rows, row = np.unique(u, return_inverse=True)
+        matrix = np.zeros((len(rows), len(units)))
+        np.add.at(matrix, (row, v), c.column("c").to_numpy())
+        b, which = np.unique(r.column("b2").to_numpy(), return_inverse=True)
+        weight = np.zeros((len(b), len(units)))
+        np.add.at(weight, (which, drawn), r.column("w2").to_numpy())
+        wins = ((weight[:, rows] @ matrix) * weight).sum(axis=1)
+        return pa.table([b, np.full(len(b), key[0].as_py(), np.int32), wins], schema=out)
+
+    met = left.groupBy("k", "part", "rb").cogroup(right.groupBy("k2", "part2", "rb2"))
+    return met.applyInArrow(product, "b bigint, k int, wins double").groupBy("b", "k").agg(F.sum("wins").alias("wins"))
+
+
 def weighted_metrics(
     per_unit: DataFrame, per_class: DataFrame, conc: DataFrame, draws: DataFrame
 ) -> DataFrame:
     """(b, metric, value): f1, f1_margin, macro, macro_margin, auroc_mean, auroc_<k>."""
     w = F.col("w")
-    f1 = draws.join(F.broadcast(per_unit), "u").groupBy("b").agg(
+    f1 = draws.join(per_unit, "u").groupBy("b").agg(
         (F.sum(w * F.col("f1")) / F.sum(w * F.col("n"))).alias("f1"),
         (F.sum(w * (F.col("f1") - F.col("f1_all"))) / F.sum(w * F.col("n"))).alias("f1_margin"),
     )
-    c = draws.join(F.broadcast(per_class), "u").groupBy("b", "k").agg(
+    c = draws.join(per_class, "u").groupBy("b", "k").agg(
         *[F.sum(w * F.col(x)).alias(x) for x in ("tp", "fp", "fn", "pos", "neg")]
     )
     d = 2 * F.col("tp") + F.col("fp") + F.col("fn")
@@ -110,9 +147,7 @@ def weighted_metrics(
     one = F.when(d > 0, 2.0 * F.col("tp") / d).otherwise(0.0)
     every = F.when(d_all > 0, 2.0 * F.col("pos") / d_all).otherwise(0.0)
     macro = c.groupBy("b").agg(F.avg(one).alias("macro"), F.avg(one - every).alias("macro_margin"))
-    half = draws.join(F.broadcast(conc), "u").groupBy("b", "k", "v").agg(F.sum(w * F.col("c")).alias("_c"))
-    other = draws.select("b", F.col("u").alias("v"), "w")
-    wins = half.join(other, ["b", "v"]).groupBy("b", "k").agg(F.sum(w * F.col("_c")).alias("wins"))
+    wins = weighted_wins(conc, draws)
     pairs = c.select("b", "k", (F.col("pos").cast("double") * F.col("neg")).alias("pairs")).where("pairs > 0")
     auc = pairs.join(wins, ["b", "k"], "left").select("b", "k", (F.coalesce("wins", F.lit(0.0)) / F.col("pairs")).alias("auroc"))
     mean = auc.groupBy("b").agg(F.avg("auroc").alias("auroc_mean"))
