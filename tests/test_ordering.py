@@ -71,3 +71,34 @@ def test_independent_of_partitioning(spark):
     a = O.exact_quantiles(df.repartition(1), ["g"], "x", [0.3]).first()["x"]
     b = O.exact_quantiles(df.repartition(13, "id"), ["g"], "x", [0.3]).first()["x"]
     assert a == b
+
+
+def test_infinities_and_nan_have_places(spark):
+    inf, nan = float("inf"), float("nan")
+    values = [nan, 2.0, -inf, 0.0, inf, -3.5, 1e300, -1e-300]
+    df = spark.createDataFrame(list(enumerate(values)), "i int, x double")
+    got = [r.i for r in O.position(df, [], "x", ["i"]).orderBy("pos").collect()]
+    assert got == [2, 5, 7, 3, 1, 6, 4, 0]
+    q = {r.q: r.x for r in O.exact_quantiles(df.where("not isnan(x)"), [], "x", [0.0, 0.5, 1.0]).collect()}
+    assert q == {0.0: -inf, 0.5: 0.0, 1.0: inf}
+
+
+def test_many_groups_of_numbers(spark):
+    df = spark.range(4000).selectExpr("id % 1000 AS g", "CAST((id * 7919) % 4001 AS double) AS x", "id")
+    got = {(r.g, r.id): r.pos for r in O.position(df, ["g"], "x", ["id"]).collect()}
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.g, []).append((r.x, r.id))
+    assert got == {(g, i): n for g, rows in by.items() for n, (_, i) in enumerate(sorted(rows))}
+
+
+def test_paths_with_long_common_prefixes_spread(spark):
+    paths = [f"cam{i % 2 + 1}/2024-01-01/run_{i}" for i in range(3000)]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "i int, path string")
+    got = [r.i for r in O.position(df, [], "path", ["i"]).orderBy("pos").collect()]
+    assert got == sorted(range(3000), key=lambda i: paths[i])
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"  # small ranges would be put together again
+    spark.conf.set(merge, "false")
+    cells = O._with_cells(df, [], "path", ["i"], True).groupBy("_fine").count().collect()
+    spark.conf.unset(merge)
+    assert len(cells) > 1 and max(r["count"] for r in cells) < 1500
