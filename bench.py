@@ -9,7 +9,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = """b10_cosine b13_sparsemax b15_residual c7_knn d1_tile_mean d2_tile_q90 d5_proto_sums e3_avg_rank e5_ntile_bins
-h1_temporal_split_events h2_random_split i1_quantile_thr i3_argmax_f1 j1_sample_f1 j4_auroc_ties j5_ap j11_openset k2_concordance
+c7_knn_blocks m9_greedy_clusters h1_temporal_split_events h2_random_split i1_quantile_thr i3_argmax_f1 j1_sample_f1 j4_auroc_ties j5_ap j11_openset k2_concordance
 k1_bootstrap_drawn l2_grid_tiles l5_flatten_divide l12_embed_frames m2_hybrid n1_fit_unmix o4_presence o6_lco o10_openset
 o11_openset_sweep j12_discovery o14_nested_cv""".split()
 
