@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 SENT_BYTES = 32 << 20
 
 
-def sent_if_small(df: DataFrame, row_bytes: int, limit: int = SENT_BYTES) -> DataFrame:
-    """`df`, which should be written down already, marked for broadcast where its rows of at most about `row_bytes` fit the limit."""
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+def sent_if_small(df: DataFrame, lists: str, limit: int = SENT_BYTES) -> DataFrame:
+    """`df`, which should be written down already, marked for broadcast where its rows and their `lists` fit the limit."""
+    rows, items = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(lists)), F.lit(0))).first()
+    return F.broadcast(df) if 64 * rows + 8 * items <= limit else df
