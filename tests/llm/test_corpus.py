@@ -241,6 +241,27 @@ def test_simhash(spark):
         assert got[i].n_words == len(words) and got[i].sim == sum(1 << b for b in range(63) if sum((x >> b) & 1 for x in h) > len(h) // 2), i
 
 
+@pytest.mark.parametrize("n_words", [4, 12, 40])
+def test_line_recall(spark, n_words):
+    """Of lines with replaced words at 0.85 to 0.9, those that meet, against brute force."""
+    rng = random.Random(n_words)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(n))
+    texts, pairs = [], 0
+    for _ in range(80):
+        a = [word(rng.randint(1, 9)) for _ in range(n_words)]
+        b = list(a)
+        for _ in range(99):
+            i = rng.randrange(n_words)
+            c = [*b[:i], word(len(b[i])), *b[i + 1 :]]
+            if distance(" ".join(a), " ".join(c)) > 0.15 * len(" ".join(a)):
+                break
+            b = c
+        texts += [" ".join(a), " ".join(b)] if a != b else []
+    pairs = len(texts) // 2
+    gone = sum(r.n_removed for r in lines.dedup_lines(frame(spark, texts)).collect())
+    assert pairs > 20 and 0.95 * pairs <= gone <= pairs
+
+
 def test_words_as_characters(spark):
     from pyspark.sql import functions as F
 
