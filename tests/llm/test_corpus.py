@@ -241,6 +241,38 @@ def test_simhash(spark):
         assert got[i].n_words == len(words) and got[i].sim == sum(1 << b for b in range(63) if sum((x >> b) & 1 for x in h) > len(h) // 2), i
 
 
+def test_letters_of_long_lines(spark):
+    """Lines that differ in a letter: nearly all are found."""
+    rng = random.Random(3)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 6))) for _ in range(n))
+    base = [line(rng.choice([4, 12, 40])) for _ in range(25)]
+    texts = [base[0]]
+    for _ in range(30):
+        part = [rng.choice(base) for _ in range(4)]
+        i = rng.randrange(4)
+        if len(part[i]) > 100:  # one letter of a long line
+            at = rng.randrange(len(part[i]))
+            part[i] = part[i][:at] + "z" + part[i][at + 1 :]
+        part[0] = "  " + part[0].upper().replace(" ", "\t", 1)
+        texts.append("\n".join([*part, "", line(5)]))
+    norm = lambda l: re.sub(r"\s\s+|[^\S ]", " ", l).strip(" ").lower()
+    got = lines.dedup_lines(frame(spark, texts)).collect()
+    everything = [norm(l) for r in got for l in (r.text or "").split("\n") if norm(l)]
+    similar = [(a, b) for a, b in itertools.combinations(everything, 2) if len(a) > 60 and abs(len(a) - len(b)) < 3 and 1 - distance(a, b) / max(len(a), len(b)) >= 0.98]
+    assert len(similar) <= 3
+
+
+def test_short_lines_differ_in_characters(spark):
+    """Years, digits, single letters, lines without blanks; what is less similar stays."""
+    rng = random.Random(8)
+    blob = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(400))
+    near = [("copyright 2019 by us", "copyright 2020 by us"), ("page 1234", "page 1235"), ("abcdef", "abcdefg"), ("one twoo three fours fiver sixes", "one twoo three fours fiver sixez"), (blob, blob[:100] + "#" + blob[101:300] + blob[303:]), ("gizmological", "gizmologica")]
+    far = [("vwxyz", "vwxya"), ("qrstuv", "qrsxyv"), ("1234567890123", "1234567890aaa")]
+    texts = [x for pair in near + far for x in pair]
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == [0, 1] * len(near) + [0, 0] * len(far)
+
+
 @pytest.mark.parametrize("n_words", [4, 12, 40])
 def test_line_recall(spark, n_words):
     """Of lines with replaced words at 0.85 to 0.9, those that meet, against brute force."""
