@@ -396,6 +396,15 @@ def test_pipeline_by_hand(spark, sf):
     assert sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in rows)
 
 
+def test_pipeline_near_duplicates_at_80(spark):
+    """Texts that share 86 of 106 runs of five words are one group in the pipeline."""
+    import corpus_pipeline as p
+
+    words = [f"w{i}" for i in range(100)]
+    docs = frame(spark, [" ".join(words), " ".join([*words[:90], *[f"v{i}" for i in range(10)]]), " ".join(words[::-1])])
+    assert sorted(r.doc_id for r in p.near_duplicates(spark, docs, "").collect()) == [0, 2]
+
+
 def test_shingles_of_short_texts():
     assert len(shingle_set(None)) == len(shingle_set(" \n")) == 0
     assert len(shingle_set("a b")) == 1 and (shingle_set("a b") == shingle_set("A\tB")).all()
