@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from tessella.session import durable
+
 #: Characters of text worked on at once inside a task; bounds the memory of a slice.
 SLICE_CHARS = 2_000_000
 
@@ -28,6 +30,12 @@ def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iter
         yield batch.slice(at), held
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """`rows` with `key` as a struct of an own number and the key, written down so that numbers stay; rows with equal or null keys stay apart."""
+    own = F.struct(F.monotonically_increasing_id().alias("row"), F.col("key"))
+    return durable(rows.select(*[own.alias(c) if c == "key" else F.col(c) for c in rows.columns]))
+
+
 def map_texts(df: DataFrame, text: str, added: str, fn: Callable[[list], list[list]], keep: list[str] | None = None) -> DataFrame:
     """`keep` columns of `df` (all but `text` unless given) and the columns `added`, which `fn` makes of a list of texts.
 

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessella.llm.arrow import map_texts
+from tessella.llm.arrow import map_texts, numbered
 
 #: Fixed value: the public pattern that splits text before byte-level merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -263,14 +263,15 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", se
     """(key, n_tokens, ids) of every row; ids are packed little-endian unsigned 32-bit numbers.
 
     A null or empty text has no ids. Strings of special tokens inside a text become their ids, as
-    the public library does by default. Repeated keys stay repeated rows where texts are short;
-    keys of texts over `segment` characters must be unique. Other columns are left out.
+    the public library does by default. Repeated and null keys stay rows of their own. Other
+    columns are left out.
     """
     fn = lambda texts: _encoded([byte_bpe(path).encode(x) for x in texts])
     src = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"))
     is_long = F.coalesce(F.char_length("text") > segment, F.lit(False))
     short = map_texts(src.where(~is_long), "text", "n_tokens long, ids binary", fn)
-    kind = src.schema["key"].dataType
+    long_rows = numbered(src.where(is_long))
+    kind = long_rows.schema["key"].dataType
     cut_schema = T.StructType([T.StructField("key", kind), *T._parse_datatype_string("seg int, glued boolean, special boolean, text string").fields])
     cut_arrow = to_arrow_schema(cut_schema)
 
@@ -306,9 +307,9 @@ def encode(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", se
         ids = tree(bpe, [(r["glued"], (back(r["head"]), back(r["mid"]), back(r["tail"]))) for r in rows])
         return pa.Table.from_arrays([pa.array([rows[0]["key"]], joined_arrow.field(0).type), pa.array([len(ids)], pa.int64()), pa.array([np.array(ids, "<u4").tobytes()], pa.binary())], schema=joined_arrow)
 
-    spread = src.where(is_long).mapInArrow(cut_up, cut_schema).repartition(F.col("key"), F.col("seg"))
+    spread = long_rows.mapInArrow(cut_up, cut_schema).repartition(F.col("key"), F.col("seg"))
     long = spread.mapInArrow(each, ids_schema).groupBy("key").applyInArrow(together, joined_schema)
-    return short.select("key", "n_tokens", "ids").unionByName(long).withColumnRenamed("key", key)
+    return short.select("key", "n_tokens", "ids").unionByName(long.withColumn("key", F.col("key.key"))).withColumnRenamed("key", key)
 
 
 def _encoded(ids: list[bytes]) -> list[list]:

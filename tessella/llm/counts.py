@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tessella.llm.arrow import map_texts
+from tessella.llm.arrow import map_texts, numbered
 
 #: Fixed value: the mark that stands for a space in the pieces.
 SPACE = "▁"
@@ -243,7 +243,7 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     """(key, n_bytes, n_tokens) of every row, as the vocabulary's library counts them.
 
     A null text counts as empty: no bytes, no tokens. Texts over `chunk` characters are cut into
-    chunks that any task may run, at any character; their keys must be unique.
+    chunks that any task may run, at any character. Repeated and null keys stay rows of their own.
     """
     src = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     sized = src.withColumn("n_bytes", F.octet_length("text").cast("long"))
@@ -259,8 +259,9 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     short = map_texts(sized.where(~is_long), "text", "n_tokens long", whole)
     pieces = F.ceil(F.char_length("text") / F.lit(chunk)).cast("int")
-    rows = sized.where(is_long).select("key", "n_bytes", F.posexplode(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substring("text", i * chunk + 1, F.lit(chunk)))).alias("seg", "text"))
-    map_schema = T.StructType([sized.schema["key"], sized.schema["n_bytes"], *T._parse_datatype_string("seg int, text string, end string, total long").fields])
+    long_rows = numbered(sized.where(is_long))
+    rows = long_rows.select("key", "n_bytes", F.posexplode(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substring("text", i * chunk + 1, F.lit(chunk)))).alias("seg", "text"))
+    map_schema = T.StructType([long_rows.schema["key"], sized.schema["n_bytes"], *T._parse_datatype_string("seg int, text string, end string, total long").fields])
     map_arrow = to_arrow_schema(map_schema)
 
     def maps(batches):
@@ -272,7 +273,7 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
                 made.append((m.save(end), total))
             yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(map_arrow.field(i).type) for i in range(4)), pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.int64())], schema=map_arrow)
 
-    out_schema = T.StructType([sized.schema["key"], *T._parse_datatype_string("n_bytes long, n_tokens long").fields])
+    out_schema = T.StructType([long_rows.schema["key"], *T._parse_datatype_string("n_bytes long, n_tokens long").fields])
     out_arrow = to_arrow_schema(out_schema)
 
     def compose(table: pa.Table) -> pa.Table:
@@ -285,4 +286,4 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
 
     spread = rows.repartition(F.col("key"), F.col("seg"))
     long = spread.mapInArrow(maps, map_schema).groupBy("key").applyInArrow(compose, out_schema)
-    return short.select("key", "n_bytes", "n_tokens").unionByName(long).withColumnRenamed("key", key)
+    return short.select("key", "n_bytes", "n_tokens").unionByName(long.withColumn("key", F.col("key.key"))).withColumnRenamed("key", key)

@@ -200,3 +200,16 @@ def test_queries_agree_with_the_libraries(spark, sf):
         ids = np.array(want(docs[r.doc_id]), "<u4")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256((docs[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_long_texts_with_equal_and_null_keys(spark):
+    """Rows that repeat a key, or have none, stay rows of their own however long their texts are."""
+    texts = ["one two three " * 40, "four five six " * 50, "seven eight " * 60, "nine ten " * 70]
+    keyed = lambda keys: spark.createDataFrame(list(zip(keys, texts)), "doc_id long, text string")
+    same, apart = keyed([1, 1, None, None]), keyed([1, 2, 3, 4])
+    whole = lambda df: sorted(bytes(r.ids) for r in df.collect())
+    got = bpe.encode(same, BYTE, segment=100)
+    assert sorted((r.doc_id is None) for r in got.collect()) == [False, False, True, True]
+    assert whole(got) == whole(bpe.encode(apart, BYTE, segment=100_000))
+    count = lambda df, n: sorted((r.n_bytes, r.n_tokens) for r in counts.count_tokens(df, PIECE, chunk=n).collect())
+    assert count(same, 100) == count(apart, 100_000)
