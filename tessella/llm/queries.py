@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm import binary, bpe, counts, langid, lines, neardup, packing, quality, rules, search, sql
+from tessella.llm import binary, bpe, counts, langid, lines, manifest, neardup, packing, quality, rules, search, sharding, spelling, sql
 
 BYTE_BPE, PIECE_BPE, WORD_BPE = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"))
 TOKEN_LIMIT = 4096
@@ -84,5 +84,21 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_best_two_fit, op4_host_rules, op5_language, op6_packed_binary, op7_threshold_search, op8_quality, op9_line_dedup, op10_near_duplicates)}
-SQL = {"op4_host_rules": sql.OP4, "op7_threshold_search": sql.OP7, "op10_near_duplicates": sql.OP10}
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all texts, the form that each is a variant of, and the root of its group."""
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; a fifth of them is verified with its text lowered."""
+    return manifest.manifest(documents(spark, sf_dir), changed={"text": manifest.lowered(F.col("text"))}, where=part(5) == 0)
+
+
+def op13_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight shards of as many documents each, as runs of a curve through source, language and length."""
+    out = sharding.shard_documents(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_best_two_fit, op4_host_rules, op5_language, op6_packed_binary, op7_threshold_search, op8_quality, op9_line_dedup, op10_near_duplicates, op11_spelling_groups, op12_merkle_manifest, op13_hilbert_shards)}
+SQL = {"op4_host_rules": sql.OP4, "op7_threshold_search": sql.OP7, "op10_near_duplicates": sql.OP10, "op11_spelling_groups": sql.OP11, "op12_merkle_manifest": sql.OP12, "op13_hilbert_shards": sql.OP13}
