@@ -112,23 +112,48 @@ def test_flatten_removes_a_gain_field():
         FR.flatten_of(scene, "median")
 
 
-def test_crop_plan_bounds():
-    ratios = []
-    for i in range(400):
-        angle, side, dx, dy = FR.crop_plan(259, 194, 0.4, np.random.default_rng([1, i]))
-        ratios.append(side * side / (259 * 194))
-        t = np.radians(angle)
-        corners = np.array([[-1, -1], [1, -1], [1, 1], [-1, 1]]) * side / 2 + [dx, dy]
-        x = np.cos(t) * corners[:, 0] - np.sin(t) * corners[:, 1] + 129.5
-        y = np.sin(t) * corners[:, 0] + np.cos(t) * corners[:, 1] + 97
-        # one pixel of rounding on either side
-        assert x.min() > -2 and x.max() < 261 and y.min() > -2 and y.max() < 196
-    assert 0.4 <= min(ratios) and max(ratios) <= 0.75
-
-
-def test_rotated_crop_identity_and_quarter_turn():
-    a = rng.integers(0, 255, (20, 20, 3)).astype(np.uint8)
-    assert np.array_equal(FR.rotated_crop(a, 0.0, 10, 0, 0), a[5:15, 5:15])
+def test_augment_plan_stays_inside(spark):
+    """Corners inside the frame, areas of the wanted share at least, angles near a quarter turn where only these fit, draws by id alone."""
+    frames = spark.range(600).selectExpr("id AS image_id", "IF(id % 3 = 0, 194, 80) AS height", "IF(id % 3 = 2, 400, 259) AS width")
+    rows = FR.augment_plan(frames, 2, 0.4, 9).collect()
+    assert len(rows) == 1200 and sorted({r.aug_idx for r in rows}) == [0, 1]
+    turned = set()
+    for r in rows:
+        t, half = np.radians(r.angle), (r.side - 1) / 2
+        corners = np.exp(1j * t) * np.array([-1 - 1j, 1 - 1j, 1 + 1j, -1 + 1j]) * half
+        x, y = corners.real + (r.width - 1) / 2 + r.ox, corners.imag + (r.height - 1) / 2 + r.oy
+        assert x.min() > -1e-6 and x.max() < r.width - 1 + 1e-6 and y.min() > -1e-6 and y.max() < r.height - 1 + 1e-6
+        room = min(r.height, r.width) - 2
+        assert min(np.ceil(np.sqrt(0.4 * r.height * r.width)), room) <= r.side <= room
+        turned.add(int(r.angle // 90))
+        if r.side == room:  # only a quarter turn fits
+            assert min(r.angle % 90, 90 - r.angle % 90) < 1e-6 or r.height * r.width * 0.4 < room * room
+    assert turned == {0, 1, 2, 3}
+    again = FR.augment_plan(frames.repartition(7), 2, 0.4, 9)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
+    assert sorted(map(tuple, FR.augment_plan(frames, 2, 0.4, 10).collect())) != sorted(map(tuple, rows))
+
+
+def test_crop_at_quarter_turns_and_shifts():
+    a = rng.integers(0, 255, (21, 21, 3)).astype(np.uint8)
+    assert np.array_equal(FR.crop_at(a, 0.0, 11, 0, 0), a[5:16, 5:16])
+    assert np.array_equal(FR.crop_at(a, 0.0, 11, 2, -3), a[7:18, 2:13])
+    assert np.array_equal(FR.crop_at(a, 180.0, 11, 0, 0), a[5:16, 5:16][::-1, ::-1])
+    quarter = FR.crop_at(a, 90.0, 11, 0, 0)
+    assert any(np.array_equal(quarter, np.rot90(a[5:16, 5:16], k)) for k in (1, 3))
+
+
+def test_gather_is_bilinear():
+    a = rng.random((6, 7, 2))
+    y, x = np.array([0.0, 2.5, 5.0, -1.0]), np.array([0.0, 3.25, 6.0, 9.0])
+    got = FR.gather(a, y, x)
+    assert np.allclose(got[0], a[0, 0]) and np.allclose(got[2], a[5, 6]) and np.allclose(got[3], a[0, 6])
+    assert np.allclose(got[1], (0.75 * a[2, 3] + 0.25 * a[2, 4] + 0.75 * a[3, 3] + 0.25 * a[3, 4]) / 2)
+
+
+def test_noise_depends_on_image_and_severity():
+    a = rng.integers(60, 200, (40, 40, 3)).astype(np.uint8)
     noise = FR.corrupted(a, "sensor_noise", 2, 7)
     assert np.array_equal(noise, FR.corrupted(a, "sensor_noise", 2, 7)) and not np.array_equal(noise, FR.corrupted(a, "sensor_noise", 2, 8))
-    assert FR.condition_seed("jpeg", 1) == 1337 + 97 + sum(map(ord, "jpeg"))
+    spread = [(FR.corrupted(a, "sensor_noise", s, 7).astype(float) - a).std() for s in (1, 2, 3)]
+    assert spread[0] < spread[1] < spread[2]
