@@ -76,13 +76,13 @@ def o17_iso(spark, d):
 @query("o17_learned_tau", "variant:s per_sample_f1:d proto_sim:d")
 def o17_tau(spark, d):
     im, t, _ = trained(spark, d)
-    return A.fit_sweep(im, t, CLASSES, {"fixed": {}, "learned": {"learn_tau": True}}, epochs=5)
+    return A.fit_sweep(im, t, CLASSES, {"fixed": {}, "learned": {"learn_tau": True}}, epochs=30)
 
 
 @query("o17_repulsion", "variant:s per_sample_f1:d proto_sim:d")
 def o17_rep(spark, d):
     im, t, _ = trained(spark, d)
-    return A.fit_sweep(im, t, CLASSES, {f"lambda={v}": {"repulsion_lambda": v} for v in (0.0, 0.1)}, epochs=5)
+    return A.fit_sweep(im, t, CLASSES, {f"lambda={v}": {"repulsion_lambda": v} for v in (0.0, 0.1)}, epochs=30)
 
 
 def _history(spark, rows):
@@ -97,13 +97,13 @@ def _labelled(spark, d, classes=5):
 @query("n1_fit_unmix", "epoch:l loss:d")
 def n1(spark, d):
     im, t, m = trained(spark, d)
-    return _history(spark, FT.fit_unmix(_labelled(spark, d).drop("label"), m, 6, 1e-2, "element_mean").history)
+    return _history(spark, FT.fit_unmix(_labelled(spark, d).drop("label"), m, 30, 1e-2, "element_mean").history)
 
 
 @query("n2_fit_absent", "epoch:l loss:d")
 def n2(spark, d):
     _, _, m = trained(spark, d)
-    return _history(spark, FT.fit_unmix(_labelled(spark, d), m, 6, 1e-2, absent_lambda=1.0).history)
+    return _history(spark, FT.fit_unmix(_labelled(spark, d), m, 30, 1e-2, absent_lambda=1.0).history)
 
 
 @query("n5_fit_discover", "class:s n:l")
@@ -118,13 +118,13 @@ def n5(spark, d):
 @query("n6_fit_subspace", "d:l per_sample_f1:d")
 def n6(spark, d):
     im, t, _ = trained(spark, d)
-    return A.subspace_stage(im, t, CLASSES, dims=(16,), epochs=4)
+    return A.subspace_stage(im, t, CLASSES, dims=(32, 64), epochs=30)
 
 
 @query("n7_fit_channel", "epoch:l loss:d")
 def n7(spark, d):
     """Asymmetric loss with channel dropout and tile mixup."""
-    _, h = FT.fit_channel_head(_labelled(spark, d, 4), CLASSES4, 4, loss="asl", mixup_alpha=0.4)
+    _, h = FT.fit_channel_head(_labelled(spark, d, 4), CLASSES4, 30, loss="asl", mixup_alpha=0.4)
     return _history(spark, h)
 
 
@@ -132,7 +132,7 @@ def n7(spark, d):
 def n8(spark, d):
     _, t, m = trained(spark, d)
     rows = CL.gated_rows(t, m, 0.9)
-    c = FT.refine_uno(rows, m.matrix[:2], steps=5)
+    c = FT.refine_uno(rows, m.matrix[:2])
     return _matrix(spark, c)
 
 
@@ -146,14 +146,16 @@ def n9(spark, d):
     known = m.without(0)
     train = _labelled(spark, d).where("label[0] = 0").withColumn("label", F.slice("label", 2, 4))
     test = t.join(im.where("split = 'test'").select("image_id"), "image_id", "left_semi")
-    return _matrix(spark, FT.refine_simgcd(train, test, known, m.matrix[:1], epochs=3))
+    centre = CL.sinkhorn_cluster(CL.gated_rows(test, known, 0.9), 1)
+    return _matrix(spark, FT.refine_simgcd(train, test, known, centre))
 
 
 @query("n10_refine_kd", "i:l d:l v:d")
 def n10(spark, d):
     im, t, m = trained(spark, d)
     test = t.join(im.where("split = 'test'").select("image_id"), "image_id", "left_semi")
-    return _matrix(spark, FT.refine_kd(test, m.without(0), m.matrix[:1], steps=5))
+    centre = CL.sinkhorn_cluster(CL.gated_rows(test, m.without(0), 0.9), 1)
+    return _matrix(spark, FT.refine_kd(test, m.without(0), centre))
 
 
 @query("o18_compare_encoders", "encoder:s rule:s split:s metric:s value:d")
@@ -161,13 +163,13 @@ def o18(spark, d):
     """Two encoders: the vectors, and their first half."""
     im, t, _ = trained(spark, d)
     half = t.withColumn("z", F.slice("z", 1, 32))
-    return D.compare_encoders({"full": t, "half": half}, im, CLASSES, epochs=4, lr_grid=(0.1, 1.0))
+    return D.compare_encoders({"full": t, "half": half}, im, CLASSES, lr_grid=(0.1, 1.0))
 
 
 @query("o19_mil", "split:s metric:s value:d")
 def o19(spark, d):
     im, t, _ = trained(spark, d)
-    return D.run_mil(im, t, CLASSES, hidden=8, epochs=2)[1]
+    return D.run_mil(im, t, CLASSES, lr=1e-2)[1]
 
 
 @query("d3_attention_pool", "image_id:l tile_idx:l attention:d")
@@ -224,7 +226,14 @@ def m8(spark, d):
     return _matrix(spark, CL.sinkhorn_cluster(tiles(spark, d), 1)).select("d", "v")
 
 
-@query("m9_greedy_clusters", "i:l d:l v:d")
+@query("m9_greedy_clusters", "i:l d:l v:d", """WITH RECURSIVE t AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS z FROM embeddings),
+    nb AS (SELECT a.vec_id AS id, list(b.vec_id ORDER BY b.vec_id) AS f FROM t a JOIN t b ON b.vec_id >= a.vec_id AND list_inner_product(a.z, b.z) > 0.25 GROUP BY 1 HAVING count(*) >= 6),
+    cand AS (SELECT id, f, row_number() OVER (ORDER BY id) AS rn FROM nb),
+    walk(rn, taken, own) AS (SELECT 0::BIGINT, []::BIGINT[], []::BIGINT[] UNION ALL
+      SELECT rn, CASE WHEN len(free) >= 6 AND NOT list_contains(taken, id) THEN list_concat(taken, free) ELSE taken END, CASE WHEN len(free) >= 6 AND NOT list_contains(taken, id) THEN free ELSE [] END
+      FROM (SELECT c.rn, c.id, w.taken, list_filter(c.f, lambda x: NOT list_contains(w.taken, x)) AS free FROM walk w JOIN cand c ON c.rn = w.rn + 1)),
+    led AS (SELECT rn, own, row_number() OVER (ORDER BY rn) - 1 AS i FROM walk WHERE len(own) > 0), mem AS (SELECT i, unnest(own) AS vec_id FROM led)
+    SELECT i, d, avg(z[d + 1]) AS v FROM mem JOIN t USING (vec_id), range(64) r(d) GROUP BY 1, 2""")
 def m9(spark, d):
     t = tiles(spark, d).withColumn("row_id", F.col("image_id") * 2 + F.col("tile_idx"))
     return _matrix(spark, CL.greedy_clusters(t, 0.25, 6))
@@ -271,4 +280,4 @@ def o9_mosaic(spark, d):
     keyed = tiles_.withColumn("image_id", F.xxhash64("combo", "mosaic"))
     label = F.transform(label_vector(F.split("combo", "_"), CLASSES), lambda x: x.cast("double"))
     mosaics = FR.embed_tiles(keyed, CF.ENCODER).join(keyed.select("image_id", label.alias("label")).distinct(), "image_id")
-    return A.mosaic_stage(real, mosaics, im, t, CLASSES, epochs=3, absent_lambda=0.5)
+    return A.mosaic_stage(real, mosaics, im, t, CLASSES, epochs=30, absent_lambda=0.5)

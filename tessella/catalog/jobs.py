@@ -19,7 +19,7 @@ from tessella.catalog.fixtures import (
 )
 from tessella.catalog.metrics import _AUC, _ROC
 from tessella.catalog.registry import query
-from tessella.catalog.splits import _FOLD, LCO, LCO_SPLIT
+from tessella.catalog.splits import _FOLD, LCO, LCO_SPLIT, sql_heldout
 from tessella.catalog.vectors import channel_model
 from tessella.operators import metrics as M
 from tessella.operators import prototypes as P
@@ -69,14 +69,14 @@ def o2(spark, d):
 
 @query("o2_unmix_trained", "split:s metric:s value:d")
 def o2_trained(spark, d):
-    """Five gradient epochs with the absent-mass penalty."""
-    return D.run_unmix(split_images(spark, d), tiles(spark, d), CLASSES, epochs=5, absent_lambda=0.5)[1]
+    """Thirty gradient epochs with the absent-mass penalty."""
+    return D.run_unmix(split_images(spark, d), tiles(spark, d), CLASSES, epochs=30, absent_lambda=0.5)[1]
 
 
 @query("o3_channel_head", "split:s metric:s value:d")
 def o3(spark, d):
-    """Four-class channel heads, five epochs with channel dropout."""
-    return D.run_channel_head(split_images(spark, d, 2, 4), tiles(spark, d, 2, 4), CLASSES4, epochs=5)[1]
+    """Four-class channel heads, thirty epochs with channel dropout."""
+    return D.run_channel_head(split_images(spark, d, 2, 4), tiles(spark, d, 2, 4), CLASSES4)[1]
 
 
 @query("o3_channel_head_fixed", "split:s metric:s value:d", f"""{sql_base(2, 4)}, {_SPL}, chl AS (SELECT image_id, k, 1.0 / (1.0 + exp(-(0.1 * k + list_sum(list_transform(range(16), lambda c: z[k * 16 + c + 1] * ((k * 16 + c) % 7 - 3) / 4.0))))) AS p FROM fx_tiles, range(4) r(k)),
@@ -135,10 +135,12 @@ def m1(spark, d):
     return P.prototype_table(spark, m).select("k", F.posexplode("p").alias("d", "v"))
 
 
+_POOL3 = "[avg(v), quantile_cont(v, 0.9), max(v)]"
 _NCV = f"""{sql_base()}, {sql_classes()}, {_FOLD}, ex AS (SELECT i.image_id, i.combo, i.label, f AS fold, coalesce(fd.fold = f, false) AS dev FROM fx_images i LEFT JOIN fd USING (combo), range(5) r(f)),
 trn AS (SELECT * FROM ex WHERE NOT dev), {sql_protos('protos', 'trn', 'fold')}, {sql_sims('sims', 'protos', 'fold')}, {sql_sparsemax('sims', 'wts')},
-ms AS (SELECT fold, image_id, 'cosine/mean' AS key, unnest(range(5)) AS k, unnest(s) AS v FROM wts UNION ALL SELECT fold, image_id, 'sparsemax/mean', unnest(range(5)), unnest(w) FROM wts),
-sc AS (SELECT key, fold, image_id, k, avg(v) AS score, any_value(combo) AS combo, any_value(dev) AS dev, any_value(label[k + 1]) AS label FROM ms JOIN ex USING (fold, image_id) GROUP BY 1, 2, 3, 4),
+ms AS (SELECT fold, image_id, 'cosine' AS rd, unnest(range(5)) AS k, unnest(s) AS v FROM wts UNION ALL SELECT fold, image_id, 'sparsemax', unnest(range(5)), unnest(w) FROM wts),
+sa AS (SELECT rd, fold, image_id, k, unnest(['mean', 'q90', 'max']) AS agg, unnest({_POOL3}) AS score FROM ms GROUP BY 1, 2, 3, 4),
+sc AS (SELECT rd || '/' || agg AS key, fold, image_id, k, score, combo, dev, label[k + 1] AS label FROM sa JOIN ex USING (fold, image_id)),
 thr AS (SELECT key, fold, k, coalesce(quantile_cont(score, 0.05) FILTER (WHERE label = 1), max(score) + 1) AS t FROM sc WHERE NOT dev GROUP BY 1, 2, 3),
 pr AS (SELECT sc.*, CASE WHEN score > t THEN 1 ELSE 0 END AS pred, key || '#' || CAST(k AS VARCHAR) AS kk FROM sc JOIN thr USING (key, fold, k) WHERE dev)"""
 
@@ -147,6 +149,7 @@ pr AS (SELECT sc.*, CASE WHEN score > t THEN 1 ELSE 0 END AS pred, key || '#' ||
     fk AS (SELECT key, k, 2.0::DOUBLE * sum(pred * label) / greatest(sum(pred + label), 1) AS f1 FROM pr GROUP BY 1, 2), {_AUC.format(k='kk', t='pr')}
     SELECT key, avg(f1) AS per_sample_f1, (SELECT avg(f1) FROM fk WHERE fk.key = f.key) AS macro_f1, (SELECT avg(auroc) FROM auc WHERE string_split(kk, '#')[1] = f.key) AS auroc_mean FROM f GROUP BY key""")
 def o14(spark, d):
+    """Both read-outs under all aggregations."""
     p = L.nested_cv(images(spark, d), tiles(spark, d), CLASSES)
     b = M.bundle(p, ["key"]).select("key", "per_sample_f1", "macro_f1")
     return b.join(M.mean_auroc(p, ["key"]), "key")
@@ -154,22 +157,83 @@ def o14(spark, d):
 
 @query("k3_nested_cv_report", "key:s metric:s point:d lo:d hi:d resolved:b")
 def k3(spark, d):
-    p = L.nested_cv(images(spark, d), tiles(spark, d), CLASSES, readouts=("cosine",))
-    return L.nested_cv_report(p, n_boot=2000)
+    return L.nested_cv_report(L.nested_cv(images(spark, d), tiles(spark, d), CLASSES), n_boot=2000)
 
 
-@query("o8_granularity", "granularity:s key:s role:s auroc_mean:d per_sample_f1:d")
-def o8(spark, d):
+@query("o14_nested_cv_fitted", "key:s per_sample_f1:d macro_f1:d auroc_mean:d")
+def o14_fitted(spark, d):
+    """Fitted unmixing weights, closed-form cosines and fitted channel heads of every fold, thirty epochs in one pass each."""
+    p = L.nested_cv_fitted(images(spark, d, 2, 4), tiles(spark, d, 2, 4), CLASSES4, lr=2e-2, head_lr=5e-2)
+    b = M.bundle(p, ["key"]).select("key", "per_sample_f1", "macro_f1")
+    return b.join(M.mean_auroc(p, ["key"]), "key")
+
+
+def _half(z):
+    return F.transform(z, lambda x, i: F.when(i < 32, x).otherwise(F.lit(0.0).cast("float")))
+
+
+def granular_units(spark, d):
     """Two unit kinds from the same vectors: the whole tile, and its first half."""
     t = tiles(spark, d)
-    half = F.transform("z", lambda x, i: F.when(i < 32, x).otherwise(F.lit(0.0).cast("float")))
-    units = t.select(F.lit("tile").alias("granularity"), "image_id", "tile_idx", "z").unionByName(
-        t.select(F.lit("half").alias("granularity"), "image_id", "tile_idx", half.alias("z"))
+    return t.select(F.lit("tile").alias("granularity"), "image_id", "tile_idx", "z").unionByName(
+        t.select(F.lit("half").alias("granularity"), "image_id", "tile_idx", _half("z").alias("z"))
     )
+
+
+@query("o14_granularities", "key:s auroc_mean:d")
+def o14_granularities(spark, d):
+    """The closed form for every unit kind."""
+    return M.mean_auroc(L.nested_cv_granularities(images(spark, d), granular_units(spark, d), CLASSES), ["key"])
+
+
+def protocol(spark, d):
     im = images(spark, d)
     split = SP.lco_split(im, SP.select_heldout(im, {1: 1, 2: 2}, 1337))
-    protocol = SP.build_protocol(split, SP.select_dev_combos(split.where("split <> 'test'"), {2: 2}, 1337))
-    return L.granularity_report(units, protocol, CLASSES, ("mean", "max"))
+    return SP.build_protocol(split, SP.select_dev_combos(split.where("split <> 'test'"), {2: 2}, 1337))
+
+
+_GRAN = f"""{sql_base()}, {sql_classes()}, {LCO}, {LCO_SPLIT}, trained AS (SELECT DISTINCT combo FROM sp WHERE split <> 'test'), {sql_heldout({2: 2}, 1337 * 7919, 'trained', 100, 'dv')},
+pt AS (SELECT image_id, combo, label, CASE WHEN split = 'test' THEN 'test' WHEN combo IN (SELECT combo FROM dv WHERE role = 'heldout') THEN 'dev' ELSE split END AS role FROM sp),
+trn AS (SELECT * FROM pt WHERE role = 'train'), hv AS (SELECT image_id, tile_idx, class, list_transform(z, lambda x, i: CASE WHEN i <= 32 THEN x ELSE 0.0 END) AS z FROM fx_tiles),
+ht AS (SELECT image_id, tile_idx, class, {sql_unit('z')} AS z FROM hv), {sql_protos('p1', 'trn')}, {sql_protos('p2', 'trn', tile_source='ht')},
+gu AS (SELECT 'tile' AS granularity, * FROM fx_tiles UNION ALL SELECT 'half', * FROM ht), gp AS (SELECT 'tile' AS granularity, k, p FROM p1 UNION ALL SELECT 'half', k, p FROM p2),
+sims AS (SELECT granularity, u.image_id, u.tile_idx, list(list_inner_product(u.z, p.p) ORDER BY p.k) AS s FROM gu u JOIN gp p USING (granularity) GROUP BY 1, 2, 3), {sql_sparsemax('sims', 'wts')},
+ms AS (SELECT granularity, image_id, 'cosine' AS rd, unnest(range(5)) AS k, unnest(s) AS v FROM wts UNION ALL SELECT granularity, image_id, 'sparsemax', unnest(range(5)), unnest(w) FROM wts),
+sa AS (SELECT granularity, rd, image_id, k, unnest(['mean', 'q90', 'max']) AS agg, unnest({_POOL3}) AS score FROM ms GROUP BY 1, 2, 3, 4),
+sc AS (SELECT granularity || '#' || rd || '/' || agg AS gk, image_id, k, score, role, label[k + 1] AS label FROM sa JOIN pt USING (image_id) WHERE role <> 'train'),
+thr AS (SELECT gk, k, coalesce(quantile_cont(score, 0.05) FILTER (WHERE label = 1), max(score) + 1) AS t FROM sc WHERE role = 'val' GROUP BY 1, 2),
+pr AS (SELECT sc.*, CASE WHEN score > t THEN 1 ELSE 0 END AS pred, gk || '#' || role || '#' || CAST(k AS VARCHAR) AS kk FROM sc JOIN thr USING (gk, k)), {_AUC.format(k='kk', t='pr')},
+f AS (SELECT gk, role, image_id, CASE WHEN sum(pred + label) > 0 THEN 2.0::DOUBLE * sum(pred * label) / sum(pred + label) ELSE 1.0 END AS f1 FROM pr GROUP BY 1, 2, 3),
+rep AS (SELECT string_split(gk, '#')[1] AS granularity, string_split(gk, '#')[2] AS key, role, avg(f1) AS per_sample_f1, (SELECT avg(auroc) FROM auc WHERE starts_with(kk, gk || '#' || role || '#')) AS auroc_mean FROM f GROUP BY gk, role)"""
+
+
+@query("o8_granularity", "granularity:s key:s role:s auroc_mean:d per_sample_f1:d", f"{_GRAN} SELECT * FROM rep")
+def o8(spark, d):
+    return L.granularity_report(granular_units(spark, d), protocol(spark, d), CLASSES)
+
+
+@query("o8_selected", "granularity:s key:s auroc_mean:d", f"{_GRAN} SELECT granularity, key, auroc_mean FROM rep WHERE role = 'dev' ORDER BY auroc_mean DESC NULLS LAST, granularity || '/' || key LIMIT 1")
+def o8_selected(spark, d):
+    """The granularity and read-out that the development role selects."""
+    return L.select_on_dev(L.granularity_report(granular_units(spark, d), protocol(spark, d), CLASSES))
+
+
+@query("o9_granularity_stage", "granularity:s variant:s key:s dev_auroc:d test_auroc:d test_f1:d test_macro_f1:d test_exact:d test_mean_predicted:d test_f1_dev:d")
+def o9_stage(spark, d):
+    """Both unit kinds and both variants trained together, thirty epochs of one pass each."""
+    return L.granularity_stage(granular_units(spark, d), protocol(spark, d), CLASSES, ("tile", "half"), lr=2e-2)
+
+
+@query("o9_granularity_closed", "granularity:s variant:s key:s dev_auroc:d test_auroc:d test_f1:d test_macro_f1:d test_exact:d test_mean_predicted:d test_f1_dev:d", f"""{_GRAN},
+    cut AS (SELECT role AS ck, gk, k, coalesce(quantile_cont(score, 0.05) FILTER (WHERE label = 1), max(score) + 1) AS t FROM sc WHERE role IN ('val', 'dev') GROUP BY 1, 2, 3),
+    tp AS (SELECT ck, gk, image_id, k, label, CASE WHEN score > t THEN 1 ELSE 0 END AS pred FROM sc JOIN cut USING (gk, k) WHERE role = 'test'),
+    fi AS (SELECT ck, gk, image_id, CASE WHEN sum(pred + label) > 0 THEN 2.0::DOUBLE * sum(pred * label) / sum(pred + label) ELSE 1.0 END AS f1, CASE WHEN bool_and(pred = label) THEN 1.0::DOUBLE ELSE 0 END AS em, sum(pred) AS np FROM tp GROUP BY 1, 2, 3),
+    fk AS (SELECT gk, k, 2.0::DOUBLE * sum(pred * label) / greatest(sum(pred + label), 1) AS f1 FROM tp WHERE ck = 'val' GROUP BY 1, 2)
+    SELECT string_split(gk, '#')[1] AS granularity, 'start' AS variant, string_split(gk, '#')[2] AS key, (SELECT avg(auroc) FROM auc WHERE starts_with(kk, gk || '#dev#')) AS dev_auroc, (SELECT avg(auroc) FROM auc WHERE starts_with(kk, gk || '#test#')) AS test_auroc,
+      avg(f1) FILTER (WHERE ck = 'val') AS test_f1, (SELECT avg(f1) FROM fk WHERE fk.gk = fi.gk) AS test_macro_f1, avg(em) FILTER (WHERE ck = 'val') AS test_exact, avg(np) FILTER (WHERE ck = 'val') AS test_mean_predicted, avg(f1) FILTER (WHERE ck = 'dev') AS test_f1_dev FROM fi GROUP BY gk""")
+def o9_closed(spark, d):
+    """The stage before its first epoch: selection, thresholds and report of the closed form."""
+    return L.granularity_stage(granular_units(spark, d), protocol(spark, d), CLASSES, ("tile", "half"), {"start": 0.0}, epochs=0)
 
 
 @query("o9_calibration_stage", "rule:s metric:s value:d", f"""{_COS}, rl AS (SELECT * EXCLUDE (split), CASE WHEN split = 'test' THEN 'test' WHEN image_id % 2 = 0 THEN 'val' ELSE 'dev' END AS role FROM sc),
@@ -319,6 +383,29 @@ def o13(spark, d):
     return O.discover_loso(split_images(spark, d), tiles(spark, d), CLASSES[:5], (0.15,), k_new=2, seed=7)
 
 
+_FOUND = "k_star:l gate:d n_flagged:l recall:d purity:d cluster_accuracy:d f1_before:d f1_after:d drift:d"
+
+
+def _refined(spark, d, method):
+    """Two balanced clusters a fold and gate, refined for all folds and gates together at full steps."""
+    return O.discover_loso(split_images(spark, d), tiles(spark, d), CLASSES, _GATES, k_new=2, refine=method, seed=7)
+
+
+@query("o13_discover_uno", _FOUND)
+def o13_uno(spark, d):
+    return _refined(spark, d, "uno")
+
+
+@query("o13_discover_simgcd", _FOUND)
+def o13_simgcd(spark, d):
+    return _refined(spark, d, "simgcd")
+
+
+@query("o13_discover_kd", _FOUND)
+def o13_kd(spark, d):
+    return _refined(spark, d, "kd")
+
+
 _UNITS = _KNN.replace("WHERE split = 'test'", "WHERE split <> 'train'")
 _NORM = f"""{_FOLDS}, {_UNITS}, u AS (SELECT resn.*, knn, list_position(s, list_max(s)) - 1 AS j FROM resn JOIN kn USING (k_star, image_id, tile_idx)), ub AS (SELECT *, CASE WHEN j >= k_star THEN j + 1 ELSE j END AS best FROM u),
 ref AS (SELECT k_star, CAST(combo[2:] AS BIGINT) AS best, greatest(quantile_disc(residual, 0.5), 1e-6) AS rr, greatest(quantile_disc(knn, 0.5), 1e-6) AS rk FROM ub JOIN spl USING (image_id) WHERE split = 'val' AND NOT contains(combo, '_') AND combo <> 'c' || CAST(k_star AS VARCHAR) GROUP BY 1, 2),

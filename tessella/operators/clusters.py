@@ -16,43 +16,50 @@ from pyspark.sql import functions as F
 
 from tessella.functions.kernels import to_lists, to_matrix, unit_rows
 from tessella.model import PrototypeModel
-from tessella.operators.prototypes import add_vectors, partial_sums
+from tessella.operators.prototypes import add_vectors, partial_sums, total_vectors
+from tessella.session import durable
 
 # Fixed values of the balanced clustering.
 ROUNDS, INNER, EPSILON, SEED_FLOOR = 30, 3, 0.05, 1e-12
 ROWS_PER_CLUSTER = 5
+#: Numbers of a part of a vector that tasks add up.
+PART = 4096
 
 
-def task_sums(df: DataFrame, cols: Sequence[str], fn: Callable[..., np.ndarray], short: bool = False) -> np.ndarray:
-    """Sum over all rows of the vector `fn(*matrices)` returns per batch.
+def batch_sums(df: DataFrame, cols: Sequence[str], fn: Callable[[pa.RecordBatch], np.ndarray], short: bool = False) -> np.ndarray:
+    """Sum over all Arrow batches of the vector `fn(batch)` returns; empty without rows.
 
-    Every task adds up its own batches; the per-task vectors are added by Spark. A
-    `short` vector (tens of numbers) skips that shuffle and is added as tasks report.
+    Every task adds up its own batches; the per-task vectors are added by Spark, in parts of
+    PART numbers so that long ones are added by several tasks. A `short` vector (tens of
+    numbers) skips that shuffle and is added as tasks report.
     """
-    cols = list(cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            args = [
-                to_matrix(b.column(c)) if pa.types.is_list(b.column(c).type) else b.column(c).to_numpy(zero_copy_only=False)
-                for c in cols
-            ]
-            part = np.asarray(fn(*args), dtype=np.float64).ravel()
-            total = part if total is None else total + part
+            if b.num_rows:
+                part = np.asarray(fn(b), dtype=np.float64).ravel()
+                total = part if total is None else total + part
         if total is not None:
-            yield pa.RecordBatch.from_arrays([to_lists(total[None, :]), pa.array([1.0])], names=["s", "n"])
+            step = len(total) if short else PART
+            for i in range(0, len(total), step):
+                yield pa.RecordBatch.from_arrays([pa.array([i // step], pa.int32()), to_lists(total[None, i : i + step])], names=["part", "s"])
 
-    rows = df.select(*cols).mapInArrow(run, "s array<double>, n double")
+    rows = df.select(*cols).mapInArrow(run, "part int, s array<double>")
     if short:
         return np.sum([np.array(r["s"]) for r in rows.select("s").collect()], axis=0)
-    flat = rows.select(F.posexplode("s").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
-    out = np.zeros(len(flat))
-    for r in flat:
-        out[r["i"]] = r["v"]
-    return out
+    parts = sorted(total_vectors(rows, ["part"]).collect(), key=lambda r: r["part"])
+    return np.concatenate([np.array(r["s"]) for r in parts]) if parts else np.zeros(0)
+
+
+def task_sums(df: DataFrame, cols: Sequence[str], fn: Callable[..., np.ndarray], short: bool = False) -> np.ndarray:
+    """`batch_sums` of `fn(*matrices)`, one matrix or array for each of the columns."""
+    cols = list(cols)
+
+    def of_batch(b: pa.RecordBatch) -> np.ndarray:
+        return fn(*[to_matrix(b.column(c)) if pa.types.is_list(b.column(c).type) else b.column(c).to_numpy(zero_copy_only=False) for c in cols])
+
+    return batch_sums(df, cols, of_batch, short)
 
 
 def _balance(f: np.ndarray, centres: np.ndarray, alpha: np.ndarray, eps: float) -> np.ndarray:
@@ -215,109 +222,135 @@ def assign_clusters(rows: DataFrame, centres: np.ndarray, keep=("image_id", "til
 
 # ---- leader clustering -----------------------------------------------------------
 
-LEADER_BLOCK = 256
+#: Bytes of vectors that travel to tasks at once, possible leaders of a window at most, and rows compared at once in a task.
+LEADER_BYTES, LEADER_WINDOW, LEADER_SLICE = 32 << 20, 8192, 512
+NONE = np.iinfo(np.int64).max
 
 
-def greedy_clusters(
-    rows: DataFrame, threshold: float, min_size: int, order: str = "row_id", vec: str = "z"
-) -> np.ndarray:
-    """Greedy cosine clusters in `order`, exactly as if rows were visited one by one.
+def greedy_clusters(rows: DataFrame, threshold: float, min_size: int, order: str = "row_id", vec: str = "z") -> np.ndarray:
+    """Greedy cosine clusters in `order`, exactly as if rows were visited one by one; the (m, D) means of their unit rows.
 
     The first unassigned row is a seed. It becomes a leader when at least `min_size`
     unassigned rows (itself included) are closer than `threshold`, and takes them;
     otherwise it is dropped. A row visited before a seed is either taken or dropped by
     then, so a leader only ever takes rows at or after itself, and a row belongs to the
-    first leader at or before it that is close enough. That rule needs no per-row state:
-    each pass sends the leaders and the next block of possible seeds, counts every seed's
-    free followers and the overlap of every pair of seeds, and settles seeds in order
-    until one depends on a leader found in the same pass.
-
-    Returns the (m, D) means of the clusters' unit rows; m may be 0.
+    first leader at or before it that is close enough.
+
+    A window of seeds is settled in a few passes, not one by one. Each pass bounds the
+    followers of every open seed: from above by the rows that no earlier leader takes, from
+    below by those whose first open seed it is. Seeds below `min_size` from above are
+    dropped, seeds that no earlier open one can take and that have enough from below lead;
+    the first open seed's bounds are equal, so each pass settles some, mostly nearly all.
+    The driver holds one window and the leaders since rows were last handed out, both
+    within LEADER_BYTES; then the rows these take leave the table.
     """
-    held = rows.select(order, vec).persist(StorageLevel.MEMORY_AND_DISK)
-    leaders: list[tuple[int, np.ndarray]] = []
-    after = -np.inf
+    free = rows.select(F.col(order).cast("bigint").alias("i"), F.col(vec).alias("z"))
+    free = free.persist(StorageLevel.MEMORY_AND_DISK)
+    means: list[np.ndarray] = []
+    lead_id, lead_z, after, room = np.zeros(0, np.int64), None, None, None
     try:
         while True:
-            lead_id = np.array([i for i, _ in leaders], dtype=float)
-            lead_z = np.array([z for _, z in leaders])
-            seeds = _next_seeds(held, order, vec, lead_id, lead_z, threshold, after)
-            if not seeds:
+            seeds = _next_seeds(free, lead_id, lead_z, threshold, after, room or LEADER_WINDOW)
+            if seeds is None:
                 break
-            ids = np.array([i for i, _ in seeds], dtype=float)
-            z = np.array([v for _, v in seeds])
-            counts, overlap = _follower_counts(held, order, vec, lead_id, lead_z, ids, z, threshold)
-            near = z @ z.T > threshold
-            found: list[int] = []
-            settled = 0
-            for j in range(len(seeds)):
-                if any(near[a, j] for a in found):  # taken by a leader of this pass
-                    settled = j + 1
-                    continue
-                if any(overlap[a, j] > 0 for a in found):
-                    break
-                if counts[j] >= min_size:
-                    found.append(j)
-                settled = j + 1
-            leaders += [(seeds[j][0], z[j]) for j in found]
-            after = ids[settled - 1]
-        return _leader_means(held, order, vec, leaders, threshold)
+            ids, z = seeds
+            room = max(1, min(LEADER_WINDOW, LEADER_BYTES // (8 * z.shape[1])))
+            ids, z = ids[:room], z[:room]
+            after, lead_z = int(ids[-1]), np.zeros((0, z.shape[1])) if lead_z is None else lead_z
+            while len(ids):
+                upper, lower, taken, waits = _seed_bounds(free, lead_id, lead_z, ids, z, threshold)
+                leads = (taken == 0) & (upper >= min_size) & (waits == 0) & (lower >= min_size)
+                lead_id, lead_z = np.concatenate([lead_id, ids[leads]]), np.vstack([lead_z, z[leads]])
+                still = (taken == 0) & (upper >= min_size) & ~leads
+                ids, z = ids[still], z[still]
+            at = np.argsort(lead_id)
+            lead_id, lead_z = lead_id[at], lead_z[at]
+            if len(lead_id) >= room:
+                means.append(_leader_means(free, lead_id, lead_z, threshold))
+                left = _not_taken(free, lead_id, lead_z, threshold, after)
+                free.unpersist()
+                free, lead_id, lead_z = durable(left), lead_id[:0], lead_z[:0]
+        if len(lead_id):
+            means.append(_leader_means(free, lead_id, lead_z, threshold))
+        return np.vstack(means) if means else np.zeros((0, 0))
     finally:
-        held.unpersist()
+        free.unpersist()
 
 
-def _free(ids: np.ndarray, f: np.ndarray, lead_id: np.ndarray, lead_z: np.ndarray, threshold: float) -> np.ndarray:
+def _first_leader(f: np.ndarray, ids: np.ndarray, lead_id: np.ndarray, lead_z: np.ndarray, threshold: float) -> np.ndarray:
+    """The place of the first leader that takes each row, or -1; leaders in order."""
     if not len(lead_id):
-        return np.ones(len(ids), dtype=bool)
-    return ~((f @ lead_z.T > threshold) & (ids[:, None] >= lead_id[None, :])).any(axis=1)
+        return np.full(len(ids), -1)
+    hit = (f @ lead_z.T > threshold) & (ids[:, None] >= lead_id[None, :])
+    return np.where(hit.any(axis=1), hit.argmax(axis=1), -1)
+
+
+def _leader_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit rows) of batches, a slice at a time."""
+    for b in batches:
+        ids, f = b.column(0).to_numpy(zero_copy_only=False), unit_rows(to_matrix(b.column(1))) if b.num_rows else None
+        for k in range(0, b.num_rows, LEADER_SLICE):
+            yield ids[k : k + LEADER_SLICE], f[k : k + LEADER_SLICE]
 
 
-def _next_seeds(held, order, vec, lead_id, lead_z, threshold, after) -> list[tuple[int, np.ndarray]]:
-    schema = f"{order} bigint, _z array<double>"
+def _not_taken(free: DataFrame, lead_id, lead_z, threshold: float, after: int | None) -> DataFrame:
+    """(i, z) of the rows beyond `after` that no leader takes, as unit rows."""
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            ids = b.column(order).to_numpy(zero_copy_only=False)
-            f = unit_rows(to_matrix(b.column(vec)))
-            ok = (ids > after) & _free(ids, f, lead_id, lead_z, threshold)
+        for ids, f in _leader_batches(batches):
+            ok = _first_leader(f, ids, lead_id, lead_z, threshold) < 0
             if ok.any():
-                yield pa.RecordBatch.from_arrays([pa.array(ids[ok].astype(np.int64)), to_lists(f[ok])], names=[order, "_z"])
-
-    top = held.mapInArrow(run, schema).orderBy(order).limit(LEADER_BLOCK).collect()
-    return [(r[order], np.array(r["_z"])) for r in top]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[ok]), to_lists(f[ok])], names=["i", "z"])
 
+    return (free if after is None else free.where(F.col("i") > after)).mapInArrow(run, "i bigint, z array<double>")
 
-def _follower_counts(held, order, vec, lead_id, lead_z, ids, z, threshold):
-    b = len(ids)
 
-    def count(rid, m):
-        f = unit_rows(m)
-        hit = (f @ z.T > threshold) & (rid[:, None] >= ids[None, :])
-        hit = (hit & _free(rid, f, lead_id, lead_z, threshold)[:, None]).astype(np.float64)
-        return np.concatenate([hit.sum(axis=0), (hit.T @ hit).ravel()])
+def _next_seeds(free: DataFrame, lead_id, lead_z, threshold: float, after: int | None, window: int) -> tuple[np.ndarray, np.ndarray] | None:
+    top = _not_taken(free, lead_id, lead_z, threshold, after).orderBy("i").limit(window).toArrow()
+    return (top.column(0).to_numpy(), to_matrix(top.column(1).combine_chunks())) if top.num_rows else None
 
-    s = task_sums(held, [order, vec], count)
-    return s[:b], s[b:].reshape(b, b)
 
+def _seed_bounds(free: DataFrame, lead_id, lead_z, ids: np.ndarray, z: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """For each open seed: followers at most and at least, whether a leader takes it, whether an earlier open seed could."""
+    n, start = len(ids), int(ids[0])
+    at = np.argsort(lead_id)
+    lead_id, lead_z = lead_id[at], lead_z[at]
 
-def _leader_means(held, order, vec, leaders, threshold) -> np.ndarray:
-    if not leaders:
-        return np.zeros((0, 0))
-    lead_id, lead_z = np.array([i for i, _ in leaders], dtype=float), np.array([z for _, z in leaders])
+    def count(rid, m):
+        out = np.zeros((4, n))
+        every = unit_rows(m)
+        for k in range(0, len(rid), LEADER_SLICE):
+            own, f = rid[k : k + LEADER_SLICE], every[k : k + LEADER_SLICE]
+            lead = _first_leader(f, own, lead_id, lead_z, threshold)
+            by = np.where(lead < 0, NONE, lead_id[lead] if len(lead_id) else NONE)
+            hit = (f @ z.T > threshold) & (own[:, None] >= ids[None, :]) & (ids[None, :] < by[:, None])
+            out[0] += hit.sum(axis=0)
+            some = hit.any(axis=1)
+            first = np.where(some, hit.argmax(axis=1), -1)
+            out[1] += np.bincount(first[some], minlength=n)
+            place = np.searchsorted(ids, own)
+            mine = (place < n) & (ids[np.minimum(place, n - 1)] == own)
+            out[2] += np.bincount(place[mine & (by < own)], minlength=n)
+            out[3] += np.bincount(place[mine & some & (first < place)], minlength=n)
+        return out.ravel()
+
+    return list(task_sums(free.where(F.col("i") >= start), ["i", "z"], count).reshape(4, n))
+
+
+def _leader_means(free: DataFrame, lead_id: np.ndarray, lead_z: np.ndarray, threshold: float) -> np.ndarray:
     m, d = lead_z.shape
 
     def collect(rid, raw):
-        f = unit_rows(raw)
-        near = (f @ lead_z.T > threshold) & (rid[:, None] >= lead_id[None, :])
-        one = np.zeros((len(f), m))
-        got = near.any(axis=1)
-        one[np.where(got)[0], near[got].argmax(axis=1)] = 1.0
-        return np.concatenate([(one.T @ f).ravel(), one.sum(axis=0)])
-
-    s = task_sums(held, [order, vec], collect)
-    return s[: m * d].reshape(m, d) / s[m * d :][:, None]
+        out = np.zeros((m, d + 1))
+        every = unit_rows(raw)
+        for k in range(0, len(rid), LEADER_SLICE):
+            f = every[k : k + LEADER_SLICE]
+            lead = _first_leader(f, rid[k : k + LEADER_SLICE], lead_id, lead_z, threshold)
+            np.add.at(out, lead[lead >= 0], np.hstack([f, np.ones((len(f), 1))])[lead >= 0])
+        return out.ravel()
+
+    s = task_sums(free, ["i", "z"], collect).reshape(m, d + 1)
+    return s[:, :d] / s[:, d:]
 
 
 # ---- proposals -------------------------------------------------------------------

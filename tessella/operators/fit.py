@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.kernels import sigmoid, softmax_rows, sparsemax_rows, unit_rows
 from tessella.model import ChannelModel, LinearModel, PrototypeModel
+from tessella.operators import bags
 from tessella.operators.clusters import task_sums
 
 FLOOR = 1e-6
@@ -458,11 +459,11 @@ def fit_mil(
     validation: Callable[[AttentionModel], float] | None = None,
     check_every: int = 1,
 ) -> tuple[AttentionModel, list[dict]]:
-    """Gated-attention pooling head, BCE on images.
+    """Gated-attention pooling head, BCE on images; the best epoch by `validation(model)`, if given.
 
-    Per step: pool (one aggregation by image), head gradient per image, then the image's
-    bag gradient goes back to its tiles by an equi-join on `image_id`. Both shuffles use
-    the partitioning the tiles were given once.
+    Tiles become bags once, one row an image. A step is one map over the bags: pooling, head
+    and the way back to the tiles stay in a row. Images in several bags take a second, small
+    pass (see `operators.bags`).
     """
     k = len(classes)
     dim = tiles.select(F.size("z")).first()[0]
@@ -471,41 +472,13 @@ def fit_mil(
     parts = [init(hidden, dim), init(hidden, dim), init(hidden), init(k, dim), np.zeros(k)]
     opts = [Adam(lr, weight_decay) for _ in parts]
     best, best_score, history = None, -1.0, []
-    from pyspark.sql import types as T
-
-    from tessella.operators.scoring import _map_vectors
-
-    with held(tiles.select("image_id", "tile_idx", "z").repartition("image_id")) as rows:
-        labels = images.select("image_id", F.transform("label", lambda x: x.cast("double")).alias("label"))
-        n = labels.count()
+    labels = images.select("image_id", F.transform("label", lambda x: x.cast("double")).alias("label"))
+    with held(bags.make_bags(tiles).join(labels, "image_id")) as rows:
+        n, long = rows.agg(F.countDistinct("image_id"), F.coalesce(F.max(F.col("parts") > 1), F.lit(False))).first()
         for epoch in range(epochs):
             m = AttentionModel(tuple(classes), *parts)
-            pooled = attention_pool(rows, m).join(labels, "image_id").withColumn("bl", F.concat("bag", "label"))
-
-            def head(bl, m=m):
-                bag, y = bl[:, :dim], bl[:, dim:]
-                value, d = bce_sums(bag @ m.weight.T + m.bias, y)
-                return np.concatenate([[value], (d.T @ bag).ravel(), d.sum(axis=0)])
-
-            def to_bag(bl, m=m):
-                bag, y = bl[:, :dim], bl[:, dim:]
-                _, d = bce_sums(bag @ m.weight.T + m.bias, y)
-                return {"bag": bag, "d_bag": d @ m.weight / (n * k)}
-
-            out = task_sums(pooled, ["bl"], head) / (n * k)
-            grads = _map_vectors(
-                pooled, "bl", ("image_id", "mass"),
-                {"bag": T.ArrayType(T.DoubleType()), "d_bag": T.ArrayType(T.DoubleType())}, to_bag,
-            )
-
-            def back(z, bag, d_bag, mass, m=m):
-                return np.concatenate([g.ravel() for g in attention_tile_grad(unit_rows(z), bag, d_bag, mass, m)])
-
-            g = task_sums(rows.join(grads, "image_id"), ["z", "bag", "d_bag", "mass"], back)
-            vu = hidden * dim
-            grad = [g[:vu].reshape(hidden, dim), g[vu : 2 * vu].reshape(hidden, dim), g[2 * vu :],
-                    out[1 : 1 + k * dim].reshape(k, dim), out[1 + k * dim :]]
-            history.append({"epoch": epoch, "loss": out[0]})
+            loss, grad = bags.split_sums(bags.epoch_sums(rows, m, n, long), hidden, dim, k)
+            history.append({"epoch": epoch, "loss": loss})
             parts = [o.step(p, q) for o, p, q in zip(opts, parts, grad)]
             if validation and (epoch + 1) % check_every == 0:
                 candidate = AttentionModel(tuple(classes), *parts)

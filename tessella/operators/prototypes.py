@@ -84,15 +84,24 @@ def partial_sums(
     return df.select(*cols).mapInArrow(run, schema)
 
 
+def total_vectors(partials: DataFrame, keys: Sequence[str], vec: str = "s") -> DataFrame:
+    """(keys, s): element-wise total of the vectors per key, added up as whole vectors with partial aggregation.
+
+    A row for each key leaves a task, whatever the vectors' length.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    total = partials.groupBy(*keys).agg(Summarizer.sum(array_to_vector(vec)).alias("s"))
+    return total.select(*keys, vector_to_array("s").alias("s"))
+
+
 def add_vectors(partials: DataFrame, keys: Sequence[str], vec: str = "s") -> DataFrame:
     """Element-wise total of the partial vectors per key: (keys, s, n)."""
     keys = list(keys)
     # the count travels as one more element, so the partials are read once
-    joined = partials.select(*keys, F.posexplode(F.concat(vec, F.array("n"))).alias("i", "v"))
-    flat = joined.groupBy(*keys, "i").agg(F.sum("v").alias("v"))
-    whole = flat.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda e: e["v"]).alias("s")
-    )
+    whole = total_vectors(partials.select(*keys, F.concat(vec, F.array("n")).alias("s")), keys)
+    whole = whole.where(F.col("s").isNotNull())
     return whole.select(*keys, F.slice("s", F.lit(1), F.size("s") - 1).alias("s"), F.element_at("s", -1).alias("n"))
 
 

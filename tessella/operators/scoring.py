@@ -185,16 +185,33 @@ def score_units(
     `hot_rows` units, found from the id column alone, take the distributed quantile; their
     list cannot be longer than (all units / hot_rows), so it may be broadcast.
     """
-    by = list(by)
-    reads = (("cosine", "sims"), ("sparsemax", "weights"))
     score = lambda rows: score_tiles(rows, model, ("sims", "weights", "residual"), keep=by)
+    return _pooled_units(units, score, model.k, aggs, list(by), list(by), hot_rows)
+
+
+def score_units_by(
+    units: DataFrame,
+    models: dict[int, PrototypeModel],
+    aggs: Sequence[str] = AGGREGATIONS,
+    by: Sequence[str] = ("image_id",),
+    name: str = "fold",
+    hot_rows: int = 1_000_000,
+) -> DataFrame:
+    """`score_units` for several models of one width: (name, by, key, scores, residual), in one pass over the units."""
+    score = lambda rows: score_models(rows, models, ("sims", "weights", "residual"), by, name)
+    return _pooled_units(units, score, next(iter(models.values())).k, aggs, list(by), [name, *by], hot_rows)
+
+
+def _pooled_units(units: DataFrame, score, k: int, aggs: Sequence[str], unit_by: list[str], by: list[str], hot_rows: int) -> DataFrame:
+    """Read-outs of `score(units)` pooled by `by`; `unit_by` names an image among the units."""
+    reads = (("cosine", "sims"), ("sparsemax", "weights"))
     fns = {"mean": F.avg, "max": F.max}
     quantiles = [a for a in aggs if a not in fns]
     for a in quantiles:
         if not a.startswith("q"):
             raise ValueError(f"unknown aggregation {a!r}")
         fns[a] = lambda c, q=int(a[1:]) / 100.0: F.percentile(c, q)
-    index = range(model.k)
+    index = range(k)
 
     def pooled(scored: DataFrame, names: Sequence[str]) -> DataFrame:
         cols = [fns[a](F.col(c)[i]).alias(f"_{r}_{a}_{i}") for r, c in reads for a in names for i in index]
@@ -208,10 +225,10 @@ def score_units(
 
     if not quantiles:
         return unpacked(pooled(score(units), aggs), aggs)
-    hot = units.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*by)
+    hot = units.groupBy(*unit_by).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*unit_by)
     hot = F.broadcast(hot)
-    usual = unpacked(pooled(score(units.join(hot, by, "left_anti")), aggs), aggs)
-    large = score(units.join(hot, by, "left_semi"))
+    usual = unpacked(pooled(score(units.join(hot, unit_by, "left_anti")), aggs), aggs)
+    large = score(units.join(hot, unit_by, "left_semi"))
     plain = [a for a in aggs if a not in quantiles]
     wide = pooled(large, plain)
     parts = [unpacked(wide, plain)] if plain else []

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.model import ChannelModel, LinearModel, PrototypeModel
+from tessella.operators import bags
 from tessella.operators import calibrate as C
 from tessella.operators import fit as fitting
 from tessella.operators import metrics as M
 from tessella.operators import prototypes as P
 from tessella.operators import scoring as S
+from tessella.session import durable
 
 
 def image_scores(tiles: DataFrame, images: DataFrame, model, readout: str = "sims", extras: Sequence[str] = ()) -> DataFrame:
@@ -133,18 +135,17 @@ def run_linear_probe(
 
 
 def run_mil(images: DataFrame, tiles: DataFrame, classes: Sequence[str], **fit_args):
-    """Gated attention over tiles; best epoch by validation F1."""
-    val = images.where("split = 'val'")
-    join = lambda m, im: im.join(fitting.score_attention(tiles, m), "image_id")
+    """Gated attention over tiles; best epoch by validation F1. Bags are made once for fitting and once for scoring."""
+    train, judged = images.where("split = 'train'"), images.where("split <> 'train'")
+    with fitting.held(bags.make_bags(tiles.join(judged.select("image_id"), "image_id", "left_semi")).join(judged.select("image_id", "split"), "image_id")) as own:
 
-    def validation(m) -> float:
-        s = join(m, val)
-        return M.per_sample_f1(C.apply_thresholds(s, C.argmax_f1_thresholds(s))).first()[0]
+        def validation(m) -> float:
+            s = images.join(bags.score_bags(own.where("split = 'val'"), m), "image_id")
+            return M.per_sample_f1(C.apply_thresholds(s, C.argmax_f1_thresholds(s))).first()[0]
 
-    train = images.where("split = 'train'")
-    rows = tiles.join(train.select("image_id"), "image_id", "left_semi")
-    model, _ = fitting.fit_mil(rows, train, classes, validation=validation, **fit_args)
-    scores = join(model, images.where("split <> 'train'"))
+        rows = tiles.join(train.select("image_id"), "image_id", "left_semi")
+        model, _ = fitting.fit_mil(rows, train, classes, validation=validation, **fit_args)
+        scores = durable(judged.join(bags.score_bags(own, model), "image_id"))
     thr = C.argmax_f1_thresholds(scores.where("split = 'val'"))
     return model, split_metrics(C.apply_thresholds(scores, thr))
 

@@ -19,6 +19,7 @@ from tessella.operators import calibrate as C
 from tessella.operators import clusters as CL
 from tessella.operators import knn as KNN
 from tessella.operators import metrics as M
+from tessella.operators import multifit as MF
 from tessella.operators import prototypes as P
 from tessella.operators import scoring as S
 from tessella.operators.ordering import exact_quantiles
@@ -217,17 +218,22 @@ def discovery_gates(val_scores: DataFrame, q: float = 0.95, absolute: float = 0.
 
 def discover_loso(
     images: DataFrame, tiles: DataFrame, classes: Sequence[str], gates: Sequence[float] = (0.15,), q: float = 0.05,
-    min_units: int = 5, method: str = "sinkhorn", k_new: int = 1, refine=None, **propose_args,
+    min_units: int = 5, method: str = "sinkhorn", k_new: int = 1, refine=None, refine_steps: int | None = None, **propose_args,
 ) -> DataFrame:
     """(k_star, gate, n_flagged, recall, purity, cluster_accuracy, drift columns).
 
     Balanced clustering with one cluster is the normalised mean of the flagged features,
-    so all folds and gates are proposed by a single pass; other methods run per fold.
+    so all folds and gates are proposed by a single pass. `refine` may be "uno", "simgcd" or
+    "kd": proposals of all folds and gates are then refined together (`refine_steps` passes).
+    Greedy clustering, and a function as `refine`, run per fold.
     """
     excludes = [[k] for k in range(len(classes))]
     known = fold_models(tiles, images.where("split = 'train'"), classes, excludes)
     test_tiles = _of_split(tiles, images, "test")
-    flagged, new = _proposals(test_tiles, known, gates, method, k_new, min_units, refine, propose_args)
+    together = refine if isinstance(refine, str) else None
+    flagged, new = _proposals(test_tiles, known, gates, method, k_new, min_units, None if together else refine, propose_args)
+    if together:
+        new = _refined(images, tiles, test_tiles, classes, known, gates, new, together, refine_steps)
     gate_of = F.array(*[F.lit(float(g)) for g in gates])
     out = _discovery_report(images, tiles, classes, known, new, flagged, len(gates), q)
     return out.withColumn("gate", gate_of[F.col("g")])
@@ -327,6 +333,35 @@ def _proposals(test_tiles, known, gates, method, k_new, min_units, refine, args)
     return flagged, new
 
 
+#: Passes of each refinement unless told otherwise.
+REFINE_STEPS = {"uno": 100, "simgcd": 30, "kd": 50}
+
+
+def _refined(images, tiles, test_tiles, classes, known, gates, new, method: str, steps: int | None) -> dict:
+    """`new` ({(fold, gate): rows}) refined for all cells at once; cells without proposals stay empty."""
+    if method not in REFINE_STEPS:
+        raise ValueError(f"refine must be one of {sorted(REFINE_STEPS)}")
+    steps = REFINE_STEPS[method] if steps is None else steps
+    open_cells = [c for c, rows in new.items() if len(rows)]
+    if not open_cells:
+        return new
+    folds = list(known)
+    cells = [(f, g) for f in folds for g in range(len(gates))]
+    if method == "simgcd":
+        train = images.where("split = 'train'").select("image_id", F.transform("label", lambda x: x.cast("double")).alias("label"))
+        rows = _of_split(tiles, images, "train").select("image_id", "z").join(train, "image_id")
+        none = F.array(*[F.lit(0.0)] * len(open_cells))
+        rows = rows.select("z", "label", MF.member_of([F.element_at("label", f + 1) == 0 for f, _ in open_cells]).alias("member"), none.alias("test"))
+        blank = F.array(*[F.lit(0.0)] * len(classes))
+        rows = rows.unionByName(test_tiles.select("z", blank.alias("label"), none.alias("member"), F.transform(none, lambda x: F.lit(1.0)).alias("test")))
+        jobs = {(f, g): MF.GcdCell(known[f], new[f, g], tuple(k for k in range(len(classes)) if k != f)) for f, g in open_cells}
+        return new | MF.refine_gcd_together(rows, jobs, steps)
+    rows = MF.flag_cells(test_tiles, [known[f] for f in folds], gates).withColumn("label", F.array(F.lit(0.0)))
+    kept = F.array(*[F.col("member")[cells.index(c)] for c in open_cells])
+    jobs = {c: MF.UnoJob(new[c]) if method == "uno" else MF.KdJob(known[c[0]], new[c]) for c in open_cells}
+    return new | MF.fit_together(rows.withColumn("member", kept), jobs, steps)
+
+
 def drift(
     tiles: DataFrame, images: DataFrame, classes: Sequence[str], known: dict[int, PrototypeModel],
     full: dict[int, PrototypeModel], n_gate: int, q: float = 0.05,

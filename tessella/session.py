@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,8 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint, which lost executors do not lose."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, name: str = "work") -> str:
+    """A new folder name in the shared checkpoint folder, for tables that a job writes and reads again."""
+    return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -59,19 +59,52 @@ def read_protocol(spark, path: str) -> DataFrame:
     return listed.unionByName(derived.join(have, "role", "left_anti")).select("combo", "role")
 
 
-def write_manifest(images: DataFrame, classes: Sequence[str], path: str, extra: dict[str, str] | None = None) -> None:
+#: Images up to which a manifest is written as one document; more are an error, see `export_manifest`.
+DOCUMENT_IMAGES = 2_000_000
+
+
+def write_manifest(images: DataFrame, classes: Sequence[str], path: str, extra: dict[str, str] | None = None, limit: int = DOCUMENT_IMAGES) -> None:
     """One JSON document: class_names, splits, combo_to_label and `extra` string fields.
 
-    An export for other tools: a document is one row by definition, and one task writes it.
-    Jobs keep their manifests as Parquet with `write_images`, of any size.
+    An export for other tools: a document is one row by definition, one task writes it, and
+    more than `limit` images are refused. Jobs keep their manifests as Parquet with
+    `write_images`, or as JSON lines with `export_manifest`, of any size.
     """
-    entry = F.struct("path", label_vector(parse_tokens("combo"), classes).alias("label"), "combo")
-    per_split = images.groupBy("split").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    n = images.count()
+    if n > limit:
+        raise ValueError(f"{n} images are too many for one document; use export_manifest or write_images")
+    per_split = images.groupBy("split").agg(F.array_sort(F.collect_list(_entry(classes))).alias("e"))
     doc = per_split.agg(F.map_from_entries(F.collect_list(F.struct("split", "e"))).alias("splits"))
     fields = [F.array(*[F.lit(c) for c in classes]).alias("class_names"), *[F.lit(v).alias(k) for k, v in (extra or {}).items()], "splits"]
     doc.crossJoin(combo_label_document(images, classes)).select(*fields, "combo_to_label").coalesce(1).write.mode("overwrite").json(path)
 
 
+def _entry(classes: Sequence[str]):
+    return F.struct("path", label_vector(parse_tokens("combo"), classes).alias("label"), "combo")
+
+
+def export_manifest(images: DataFrame, classes: Sequence[str], path: str, extra: dict[str, str] | None = None) -> None:
+    """A manifest of any size as JSON lines: a folder of entries for each split, and one head with
+    class_names, combo_to_label, `extra` and the number of entries of each split, written last."""
+    rows = images.select("split", _entry(classes).alias("e")).select("split", "e.*")
+    rows.write.mode("overwrite").partitionBy("split").json(f"{path}/entries")
+    counts = images.groupBy("split").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "n")))).alias("counts"))
+    fields = [F.array(*[F.lit(c) for c in classes]).alias("class_names"), *[F.lit(v).alias(k) for k, v in (extra or {}).items()], "counts"]
+    counts.crossJoin(combo_label_document(images, classes)).select(*fields, "combo_to_label").coalesce(1).write.mode("overwrite").json(f"{path}/head")
+
+
+def read_export(spark, path: str, split: str | None = None) -> DataFrame:
+    """(split, image_id, path, combo, label) of an `export_manifest`; a split is pruned by folder. Fails if entries and head disagree."""
+    rows = spark.read.schema("path string, label array<int>, combo string, split string").json(f"{path}/entries")
+    head = spark.read.schema("counts map<string, bigint>").json(f"{path}/head").select(F.explode("counts").alias("split", "n"))
+    if split is not None:
+        rows, head = rows.where(F.col("split") == split), head.where(F.col("split") == split)
+    odd = rows.groupBy("split").agg(F.count("*").alias("have")).join(head, "split", "full_outer").where("NOT have <=> n").first()
+    if odd:
+        raise ValueError(f"split {odd['split']!r} has {odd['have']} entries and its head names {odd['n']}")
+    return rows.select("split", F.xxhash64("path").alias("image_id"), "path", "combo", "label")
+
+
 def write_images(images: DataFrame, path: str) -> None:
     """The manifest as Parquet, one folder per split."""
     images.write.mode("overwrite").partitionBy("split").parquet(path)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -31,22 +33,51 @@ def _read(spark, root: str, **equals) -> DataFrame | None:
     return df
 
 
+def _fills(spark, root: str, key: str) -> DataFrame | None:
+    """Committed rows of a configuration with `fill` and `at`, the commit's time; rows without a commit record are not seen."""
+    commits = _read(spark, f"{root}/commits", config_hash=key)
+    if commits is None:
+        return None
+    done = commits.groupBy("fill").agg(F.min("at").alias("at"))  # one row a fill
+    return spark.read.parquet(f"{root}/data").where(F.col("config_hash") == key).join(F.broadcast(done), "fill")
+
+
+def stored_features(spark, root: str, config: dict) -> DataFrame | None:
+    """Rows stored under `config`, or None; a path that two writers filled counts once, as the first to commit wrote it."""
+    rows = _fills(spark, root, config_hash(config))
+    if rows is None:
+        return None
+    by = rows.select("path", "at", "fill").distinct()
+    twice = by.groupBy("path").agg(F.min(F.struct("at", "fill")).alias("own"), F.count("*").alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        rows = rows.join(twice.select("path", F.col("own.fill").alias("_own")), "path", "left").where("_own IS NULL OR _own = fill").drop("_own")
+    return rows.drop("fill", "at")
+
+
 def feature_store(
     images: DataFrame, extract: Callable[[DataFrame], DataFrame], root: str, config: dict
 ) -> DataFrame:
     """Tile vectors of `images` (image_id, path) under `config`, extracting only what is new.
 
-    `extract(images)` returns rows keyed by image_id. The table is partitioned by
-    configuration, so another configuration neither hits nor overwrites this one, and a
-    changed list re-extracts its new paths only.
+    `extract(images)` returns rows keyed by image_id. The table is partitioned by the hash of
+    the configuration and by fill, so another configuration neither hits nor overwrites this one,
+    and a changed list re-extracts its new paths only. A fill counts once its commit record is
+    written: a job that dies half-way leaves rows that nobody reads, and of two writers that
+    fill the same paths at once the first to commit is read.
     """
-    spark, key = images.sparkSession, config_hash(config)
-    have = _read(spark, root, config_hash=key)
+    spark, key, fill = images.sparkSession, config_hash(config), uuid.uuid4().hex
+    have = stored_features(spark, root, config)
     todo = images if have is None else images.join(have.select("path").distinct(), "path", "left_anti")
-    made = extract(todo).join(todo.select("image_id", "path"), "image_id").withColumn("config_hash", F.lit(key))
-    made.write.mode("append").partitionBy("config_hash").parquet(root)
-    stored = _read(spark, root, config_hash=key)
-    return stored.join(images.select("path"), "path", "left_semi").drop("config_hash")
+    made = extract(todo).join(todo.select("image_id", "path"), "image_id").withColumns({"config_hash": F.lit(key), "fill": F.lit(fill)})
+    made.write.mode("append").partitionBy("config_hash", "fill").parquet(f"{root}/data")
+    commit_fill(spark, root, config, fill)
+    return stored_features(spark, root, config).join(images.select("path"), "path", "left_semi").drop("config_hash")
+
+
+def commit_fill(spark, root: str, config: dict, fill: str) -> None:
+    """Make the rows of a fill count; committing it again changes nothing."""
+    record = [(config_hash(config), fill, time.time(), json.dumps(config, sort_keys=True))]
+    spark.createDataFrame(record, "config_hash string, fill string, at double, config string").coalesce(1).write.mode("append").parquet(f"{root}/commits")
 
 
 def assert_feature_key(stored: DataFrame, images: DataFrame, config: dict) -> DataFrame:

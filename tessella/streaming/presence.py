@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -39,3 +41,24 @@ def stream_presence(
     rows = frame_decisions(frames, model, encoder, size, n, readout, **embed)
     writer = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append")
     return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
+def stream_table(spark, path: str, schema: T.StructType, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, files_per_trigger: int | None = None) -> StreamingQuery:
+    """`step` over the Parquet files at `path` as they arrive, up to those there now; start the query.
+
+    Each micro-batch is written to a folder named by its number, which a replay writes anew,
+    so a batch that is run again after a failure adds nothing. `step` must work row by row.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+
+    def write(batch: DataFrame, number: int) -> None:
+        step(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return reader.parquet(path).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def streamed(spark, out: str) -> DataFrame:
+    """What the batches of `stream_table` wrote, with their `batch` number."""
+    return spark.read.parquet(out)

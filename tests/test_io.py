@@ -13,7 +13,7 @@ from tessella.plans import infer as IN
 from tessella.sources import files as FS
 from tessella.sources import manifests as MF
 from tessella.sources import stores as ST
-from tessella.streaming.presence import stream_presence
+from tessella.streaming.presence import stream_presence, stream_table, streamed
 from tests.png import png
 
 ENC = FR.ProjectionEncoder(8, 2, 1)
@@ -132,12 +132,61 @@ def test_feature_store_extracts_only_new_paths(spark, tmp_path):
     assert ST.feature_store(images, extract, root, cfg).count() == 4
     ST.feature_store(images, extract, root, {**cfg, "tile": 9})
     assert calls == [3, 1, 4]
-    stored = spark.read.parquet(root)
-    ST.assert_feature_key(stored.where(F.col("config_hash") == ST.config_hash(cfg)), images, cfg)
+    stored = spark.read.parquet(f"{root}/data")
+    ST.assert_feature_key(ST.stored_features(spark, root, cfg), images, cfg)
     with pytest.raises(ValueError, match="another configuration"):
         ST.assert_feature_key(stored, images, cfg)
     with pytest.raises(ValueError, match="other images"):
-        ST.assert_feature_key(stored.where(F.col("config_hash") == ST.config_hash(cfg)), images.where("image_id > 0"), cfg)
+        ST.assert_feature_key(ST.stored_features(spark, root, cfg), images.where("image_id > 0"), cfg)
+
+
+def test_feature_fills_count_when_committed(spark, tmp_path):
+    """Rows of a job that died are not read, a fill committed twice counts once, and of two writers the first to commit is read."""
+    root, cfg = str(tmp_path / "features"), {"encoder": "e"}
+    images = spark.range(3).select(F.col("id").alias("image_id"), F.concat(F.lit("p"), "id").alias("path"))
+    rows = lambda who: images.select("image_id", F.lit(who).alias("who"), "path", F.lit(ST.config_hash(cfg)).alias("config_hash"), F.lit(who).alias("fill"))
+    write = lambda who: rows(who).write.mode("append").partitionBy("config_hash", "fill").parquet(f"{root}/data")
+    write("dead")
+    assert ST.stored_features(spark, root, cfg) is None
+    extract = lambda todo: todo.select("image_id", F.lit("mine").alias("who"))
+    assert {r.who for r in ST.feature_store(images.where("image_id < 2"), extract, root, cfg).collect()} == {"mine"}
+    write("late")
+    ST.commit_fill(spark, root, cfg, "late")
+    ST.commit_fill(spark, root, cfg, "late")
+    got = {(r.path, r.who) for r in ST.stored_features(spark, root, cfg).collect()}
+    assert got == {("p0", "mine"), ("p1", "mine"), ("p2", "late")} and ST.stored_features(spark, root, cfg).count() == 3
+    assert ST.stored_features(spark, root, {"encoder": "other"}) is None
+
+
+def test_manifest_lines_and_limit(spark, tmp_path):
+    rows = [(f"a/{i}.jpg", "a" if i % 2 else "a_b", "train" if i < 7 else "test") for i in range(10)]
+    images = spark.createDataFrame(rows, "path string, combo string, split string")
+    path = str(tmp_path / "lines")
+    MF.export_manifest(images, ["a", "b"], path, {"seed": "1"})
+    got = {(r.path, r.combo, r.split, tuple(r.label)) for r in MF.read_export(spark, path).collect()}
+    assert got == {(p, c, s, (1, int(c == "a_b"))) for p, c, s in rows} and MF.read_export(spark, path, "test").count() == 3
+    assert "Aggregate" not in MF.read_export(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    next((tmp_path / "lines" / "entries" / "split=test").glob("*.json")).unlink()
+    with pytest.raises(ValueError, match="split 'test'"):
+        MF.read_export(spark, path)
+    with pytest.raises(ValueError, match="too many"):
+        MF.write_manifest(images, ["a", "b"], str(tmp_path / "one"), limit=9)
+
+
+def test_stream_batches_are_written_once(spark, tmp_path):
+    """New files only, rows as in batch; a batch that runs again adds nothing."""
+    src, out, ck = tmp_path / "src", str(tmp_path / "out"), tmp_path / "ck"
+    schema = spark.range(1).schema
+    run = lambda: stream_table(spark, str(src), schema, lambda df: df.withColumn("twice", F.col("id") * 2), out, str(ck), 1).awaitTermination()
+    for i in range(2):
+        spark.range(10 * i, 10 * i + 10, 1, 2).write.mode("append").parquet(str(src))
+        run()
+    rows = sorted((r.id, r.twice) for r in streamed(spark, out).collect())
+    assert rows == [(i, 2 * i) for i in range(20)]
+    last = max((ck / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    last.unlink()  # the last batch was written but not recorded
+    run()
+    assert sorted((r.id, r.twice) for r in streamed(spark, out).collect()) == rows
 
 
 def test_unit_score_result_and_model_stores(spark, tmp_path):
