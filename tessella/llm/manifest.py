@@ -20,7 +20,7 @@ from tessella.session import durable
 FAN_OUT = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Runs of a block, which one window sorts.
-BLOCK_RUNS = 256
+BLOCK_RUNS = 16
 #: Fixed value: upper-case Latin letters and what they become.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
