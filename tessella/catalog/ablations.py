@@ -172,22 +172,38 @@ def o19(spark, d):
     return D.run_mil(im, t, CLASSES, lr=1e-2)[1]
 
 
-@query("d3_attention_pool", "image_id:l tile_idx:l attention:d")
-def d3(spark, d):
-    rng = np.random.default_rng(5)
-    m = FT.AttentionModel(CLASSES, rng.standard_normal((8, 64)), rng.standard_normal((8, 64)), rng.standard_normal(8), np.zeros((5, 64)), np.zeros(5))
-    return FT.attention_weights(tiles(spark, d), m)
-
-
 @query("e7_softmax_over", "image_id:l tile_idx:l attention:d", """WITH t AS (SELECT vec_id // 2 AS image_id, vec_id % 2 AS tile_idx, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS z FROM embeddings),
     e AS (SELECT image_id, tile_idx, list_sum(list_transform(range(2), lambda l: (l + 1) * (2.0 / (1.0 + exp(-2.0 * list_sum(list_transform(range(64), lambda c: z[c + 1] * ((c * (l + 2)) % 5 - 2))))) - 1.0) / (1.0 + exp(-list_sum(list_transform(range(64), lambda c: z[c + 1] * ((c + l) % 3 - 1))))))) AS e FROM t)
     SELECT image_id, tile_idx, exp(e - max(e) OVER w) / sum(exp(e)) OVER w * exp(max(e) OVER w) AS attention FROM e WINDOW w AS (PARTITION BY image_id)""")
 def e7(spark, d):
     """Gated attention with fixed weights: softmax of the energies within an image."""
+    return FT.attention_weights(tiles(spark, d), attention_model())
+
+
+def attention_model():
     v = np.array([[(c * (l + 2)) % 5 - 2 for c in range(64)] for l in range(2)], dtype=float)
     u = np.array([[(c + l) % 3 - 1 for c in range(64)] for l in range(2)], dtype=float)
-    m = FT.AttentionModel(CLASSES, v, u, np.array([1.0, 2.0]), np.zeros((5, 64)), np.zeros(5))
-    return FT.attention_weights(tiles(spark, d), m)
+    return FT.AttentionModel(CLASSES, v, u, np.array([1.0, 2.0]), np.zeros((5, 64)), np.zeros(5))
+
+
+_ENERGY = """WITH t AS (SELECT vec_id // 2 AS image_id, vec_id % 2 AS tile_idx, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS z FROM embeddings),
+    e AS (SELECT image_id, tile_idx, list_sum(list_transform(range(2), lambda l: (l + 1) * (2.0 / (1.0 + exp(-2.0 * list_sum(list_transform(range(64), lambda c: z[c + 1] * ((c * (l + 2)) % 5 - 2))))) - 1.0) / (1.0 + exp(-list_sum(list_transform(range(64), lambda c: z[c + 1] * ((c + l) % 3 - 1))))))) AS e FROM t)"""
+
+
+@query("d3_attention_pool", "image_id:l d:l v:d", f"""{_ENERGY}, w AS (SELECT image_id, tile_idx, exp(e) / sum(exp(e)) OVER (PARTITION BY image_id) AS a FROM e)
+    SELECT image_id, d, sum(a * z[d + 1]) AS v FROM w JOIN t USING (image_id, tile_idx), range(64) r(d) GROUP BY 1, 2""")
+def d3(spark, d):
+    """Attention-weighted means of the tiles of an image."""
+    return FT.attention_pool(tiles(spark, d), attention_model()).select("image_id", F.posexplode("bag").alias("d", "v"))
+
+
+@query("d3_attention_bags", "image_id:l d:l v:d", f"""{_ENERGY}, w AS (SELECT image_id, tile_idx, exp(e) / sum(exp(e)) OVER (PARTITION BY image_id) AS a FROM e)
+    SELECT image_id, d, sum(a * z[d + 1]) AS v FROM w JOIN t USING (image_id, tile_idx), range(64) r(d) GROUP BY 1, 2""")
+def d3_bags(spark, d):
+    """The same from bags, images in parts of one tile."""
+    from tessella.operators import bags
+
+    return bags.pool_bags(bags.make_bags(tiles(spark, d), 1), attention_model()).select("image_id", F.posexplode("bag").alias("d", "v"))
 
 
 # ---- clustering ------------------------------------------------------------------

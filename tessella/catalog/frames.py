@@ -59,12 +59,30 @@ def l2_plan(spark, d):
     return FR.tile_plan(frames(spark, d), 4, 3)
 
 
-@query("l3_random_tiles", "image_id:l tile_idx:l y:l x:l checksum:l")
+def _draw(what: str) -> str:
+    return f"('0x' || md5(image_id::VARCHAR || ':' || t::VARCHAR || ':{what}:1337')[1:8])::BIGINT"
+
+
+@query("l3_random_tiles", "image_id:l tile_idx:l y:l x:l checksum:l", f"""{_PX}, pl AS (SELECT image_id, t, {_draw('y')} % 4 AS y0, {_draw('x')} % 12 AS x0, {_draw('fx')} % 2 AS fx, {_draw('fy')} % 2 AS fy FROM (SELECT DISTINCT image_id FROM px), range(4) r(t)),
+    g AS (SELECT pl.*, r, q FROM pl, range(5) a(r), range(5) b(q))
+    SELECT g.image_id, t AS tile_idx, y0 AS y, x0 AS x, sum(v * (((r * 5 + q) * 3 + c) % 251 + 1)) AS checksum FROM g JOIN px ON px.image_id = g.image_id AND px.y = y0 + CASE WHEN fy = 1 THEN 4 - r ELSE r END AND px.x = x0 + CASE WHEN fx = 1 THEN 4 - q ELSE q END GROUP BY 1, 2, 3, 4""")
 def l3(spark, d):
     return checksum(FR.random_tiles(frames(spark, d), 5, 4, 1337))
 
 
-@query("l4_background", "image_id:l c:l mean:d lo:d hi:d")
+def _axis(n: int, name: str) -> str:
+    """The axis matrix of a background with sigma 2 and half resolution: shrink by averaging with a triangle, blur with a mirrored Gaussian of sigma 1, grow linearly."""
+    m = n // 2
+    return f"""{name}_s0 AS (SELECT i, j, greatest(0.0, 1 - abs(j - ((i + 0.5::DOUBLE) * 2 - 0.5)) / 2) AS w FROM range({m}) a(i), range({n}) b(j)), {name}_s AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM {name}_s0),
+{name}_k AS (SELECT o, exp(-0.5::DOUBLE * o * o) AS k FROM range(-4, 5) r(o)), {name}_b AS (SELECT i, CASE WHEN q < {m} THEN q ELSE {2 * m - 1} - q END AS j, sum(k) AS w FROM (SELECT i, ((i + o) % {2 * m} + {2 * m}) % {2 * m} AS q, k / (SELECT sum(k) FROM {name}_k) AS k FROM range({m}) a(i), {name}_k) GROUP BY 1, 2),
+{name}_g0 AS (SELECT i, j, greatest(0.0, 1 - abs(j - ((i + 0.5::DOUBLE) / 2 - 0.5))) AS w FROM range({n}) a(i), range({m}) b(j)), {name}_g AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM {name}_g0),
+{name} AS (SELECT g.i, s.j, sum(g.w * b.w * s.w) AS w FROM {name}_g g JOIN {name}_b b ON g.j = b.i JOIN {name}_s s ON b.j = s.i GROUP BY 1, 2)"""
+
+
+_BG = f"""{_PX}, {_axis(8, 'my')}, {_axis(16, 'mx')}, b1 AS (SELECT image_id, c, my.i AS y, x, sum(w * v) AS v FROM px JOIN my ON my.j = y GROUP BY 1, 2, 3, 4), bg AS (SELECT image_id, c, y, mx.i AS x, sum(w * v) AS b FROM b1 JOIN mx ON mx.j = x GROUP BY 1, 2, 3, 4)"""
+
+
+@query("l4_background", "image_id:l c:l mean:d lo:d hi:d", f"{_BG} SELECT image_id, c, avg(b) AS mean, min(b) AS lo, max(b) AS hi FROM bg GROUP BY 1, 2")
 def l4(spark, d):
     return FR.background(frames(spark, d), 2.0, 2)
 
@@ -74,7 +92,8 @@ def l5_none(spark, d):
     return checksum(FR.flatten_illumination(frames(spark, d), "none"))
 
 
-@query("l5_flatten_divide", "image_id:l checksum:l")
+@query("l5_flatten_divide", "image_id:l checksum:l", f"""{_BG}, me AS (SELECT image_id, avg(b) AS m FROM bg GROUP BY 1), fl AS (SELECT px.*, floor(least(255.0, greatest(0.0, v / (b + 1) * m)))::BIGINT AS o FROM px JOIN bg USING (image_id, y, x, c) JOIN me USING (image_id))
+    SELECT image_id, sum(o * (((y * 16 + x) * 3 + c) % 251 + 1)) AS checksum FROM fl GROUP BY 1""")
 def l5(spark, d):
     return checksum(FR.flatten_illumination(frames(spark, d), "divide", 2.0, 2))
 
@@ -96,6 +115,26 @@ def l6_all(spark, d):
     return checksum(FR.corrupt(frames(spark, d)))
 
 
+def _linear(n: int, name: str) -> str:
+    return f"""{name}_0 AS (SELECT i, j, greatest(0.0, 1 - abs(j - greatest(0.0, least({n - 1}, (i + 0.5::DOUBLE) * {n} / 6 - 0.5)))) AS w FROM range(6) a(i), range({n}) b(j)), {name} AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM {name}_0)"""
+
+
+@query("l7_resize_values", "image_id:l c:l y:l x:l v:d", f"{_PX}, {_linear(8, 'my')}, {_linear(16, 'mx')} SELECT image_id, c, my.i AS y, mx.i AS x, sum(my.w * mx.w * v) AS v FROM px JOIN my ON my.j = y JOIN mx ON mx.j = x GROUP BY 1, 2, 3, 4")
+def l7_values(spark, d):
+    """The values before they are cut to bytes."""
+    import numpy as np
+    from pyspark.sql import types as T
+
+    rows = T.StructType([T.StructField("image_id", T.LongType()), *[T.StructField(n, T.IntegerType()) for n in ("c", "y", "x")], T.StructField("v", T.DoubleType())])
+
+    def one(r):
+        a = FR.both_axes(FR.pixels_of(r), FR.resize_matrix(r.height, 6, antialias=False), FR.resize_matrix(r.width, 6, antialias=False))
+        for y, x, c in np.ndindex(a.shape):
+            yield dict(image_id=r.image_id, c=c, y=y, x=x, v=float(a[y, x, c]))
+
+    return FR.map_frames(frames(spark, d), one, rows)
+
+
 @query("l7_resize", "image_id:l height:l width:l checksum:l")
 def l7(spark, d):
     return checksum(FR.resize_frames(frames(spark, d), 6))

@@ -115,7 +115,24 @@ def o6(spark, d):
     return L.lco_report(p)
 
 
-@query("o6_lco_seeds", "method:s quantity:s mean:d std:d n:l")
+def _seed_part(s: int) -> str:
+    """Held-out combinations and split of a seed, under names of their own."""
+    split = LCO_SPLIT.replace("tr AS", f"tr{s} AS").replace("sp AS", f"sp{s} AS").replace("FROM tr", f"FROM tr{s}").replace("JOIN lco", f"JOIN lco{s}").replace(":1338", f":{s + 1}")
+    return f"{sql_heldout({1: 1, 2: 2}, s, name=f'lco{s}')}, {split}"
+
+
+_SEEDS = (1337, 1338, 1339)
+_LCO_SEEDS = f"""{sql_base()}, {sql_classes()}, {', '.join(map(_seed_part, _SEEDS))}, sp AS ({' UNION ALL '.join(f'SELECT {s} AS seed, * FROM sp{s}' for s in _SEEDS)}), trn AS (SELECT * FROM sp WHERE split = 'train'),
+{sql_protos('protos', 'trn', 'seed')}, {sql_sims('sims', 'protos', 'seed')}, {sql_sparsemax('sims', 'wts')},
+ms AS (SELECT seed, image_id, 'match' AS method, unnest(range(5)) AS k, unnest(s) AS v FROM wts UNION ALL SELECT seed, image_id, 'unmix', unnest(range(5)), unnest(w) FROM wts),
+sc AS (SELECT seed, method, image_id, k, avg(v) AS score, any_value(split) AS split, any_value(label[k + 1]) AS label FROM ms JOIN sp USING (seed, image_id) WHERE split <> 'train' GROUP BY 1, 2, 3, 4),
+thr AS (SELECT seed, method, k, coalesce(quantile_cont(score, 0.05) FILTER (WHERE label = 1), max(score) + 1) AS t FROM sc WHERE split = 'val' GROUP BY 1, 2, 3),
+pr AS (SELECT sc.*, CASE WHEN score > t THEN 1 ELSE 0 END AS pred FROM sc JOIN thr USING (seed, method, k)),
+f AS (SELECT seed, method, split, image_id, CASE WHEN sum(pred + label) > 0 THEN 2.0::DOUBLE * sum(pred * label) / sum(pred + label) ELSE 1.0 END AS f1 FROM pr GROUP BY 1, 2, 3, 4),
+v AS (SELECT seed, method, split AS quantity, avg(f1) AS v FROM f GROUP BY 1, 2, 3), dl AS (SELECT a.seed, a.method, 'delta' AS quantity, a.v - b.v AS v FROM v a JOIN v b USING (seed, method) WHERE a.quantity = 'val' AND b.quantity = 'test')"""
+
+
+@query("o6_lco_seeds", "method:s quantity:s mean:d std:d n:l", f"{_LCO_SEEDS} SELECT method, quantity, avg(v) AS mean, stddev_pop(v) AS std, count(v) AS n FROM (SELECT * FROM v UNION ALL SELECT * FROM dl) GROUP BY 1, 2")
 def o6_seeds(spark, d):
     """Three partitions in one pass, rolled up with the in-distribution minus held-out gap."""
     p = L.evaluate_lco(images(spark, d), tiles(spark, d), CLASSES, (1337, 1338, 1339), {1: 1, 2: 2})

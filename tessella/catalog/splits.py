@@ -232,8 +232,12 @@ def b29(spark, d):
     return L.combo_role(im.select("combo").distinct(), roles)
 
 
-@query("c10_mixup", "image_id:l tile_idx:l lam:d top:d")
+@query("c10_mixup", "image_id:l tile_idx:l lam:d first:d label:s", f"""{sql_base()}, h AS (SELECT vec_id // 2 AS image_id, vec_id % 2 AS tile_idx, embedding[1]::DOUBLE AS e, md5((vec_id // 2)::VARCHAR || ':' || (vec_id % 2)::VARCHAR || ':3') AS h FROM embeddings),
+    r AS (SELECT h.*, i.label, row_number() OVER (ORDER BY h, image_id, tile_idx) - 1 AS pos, count(*) OVER () AS n FROM h JOIN fx_images i USING (image_id)),
+    u AS (SELECT *, (('0x' || md5(h || 'u')[1:12])::BIGINT + 0.5::DOUBLE) / (1::BIGINT << 48) AS u, (('0x' || md5(h || 'v')[1:12])::BIGINT + 0.5::DOUBLE) / (1::BIGINT << 48) AS v FROM r),
+    l AS (SELECT *, pow(u, 1.0::DOUBLE / 0.4::DOUBLE) AS p, cos(2 * pi() * v) AS c FROM u), m AS (SELECT *, (1 + c / sqrt(p / greatest(1 - p, pow(2.0::DOUBLE, -53)) + c * c)) / 2 AS lam FROM l)
+    SELECT m.image_id, m.tile_idx, m.lam, m.e * m.lam + o.e * (1 - m.lam) AS first, array_to_string(list_transform(list_zip(m.label, o.label), lambda x: greatest(x[1], x[2])), '') AS label FROM m JOIN m o ON o.pos = (m.pos + 1) % m.n""")
 def c10(spark, d):
     t = tiles(spark, d).join(images(spark, d).select("image_id", "label"), "image_id")
     m = S.mixup(t.withColumn("z", F.transform("z", lambda x: x.cast("double"))), 3, 0.4)
-    return m.select("image_id", "tile_idx", "lam", F.array_max("label").alias("top"))
+    return m.select("image_id", "tile_idx", "lam", F.element_at("z", 1).alias("first"), F.array_join("label", "").alias("label"))

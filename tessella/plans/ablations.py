@@ -50,13 +50,18 @@ def _evaluated(images: DataFrame) -> DataFrame:
     return images.where("split <> 'train'").select("image_id", "combo", "label", "split")
 
 
+def _judged(tiles, images: DataFrame):
+    """The tiles of the images that are evaluated; the others are not scored."""
+    return tiles.join(_evaluated(images).select("image_id"), "image_id", "left_semi")
+
+
 def sweep_tile_count(images, tiles, model: PrototypeModel, counts=(1, 4, 8, 16), seed: int = 1337) -> DataFrame:
     """(t, method, metrics): up to t hash-drawn tiles per image; the draws are nested, so
     one rank per tile serves all counts."""
     h = F.md5(F.concat_ws(":", F.col("image_id").cast("string"), F.col("tile_idx").cast("string"), F.lit(str(seed))))
     from pyspark.sql.window import Window as W
 
-    top = SP.subsample_tiles(tiles.join(_evaluated(images).select("image_id"), "image_id", "left_semi"), max(counts), seed)
+    top = SP.subsample_tiles(_judged(tiles, images), max(counts), seed)
     ranked = top.withColumn("_r", F.row_number().over(W.partitionBy("image_id").orderBy(h, "tile_idx")))
     scored = S.score_tiles(ranked, model, ("sims", "weights"), ("image_id", "_r"))
     use = F.filter(F.array(*[F.lit(c) for c in counts]), lambda c: F.col("_r") <= c)
@@ -67,7 +72,7 @@ def sweep_tile_count(images, tiles, model: PrototypeModel, counts=(1, 4, 8, 16),
 
 def sweep_quantile(images, tiles, model: PrototypeModel, qs=(0.01, 0.05, 0.10, 0.20)) -> DataFrame:
     """(q, method, metrics): all quantiles from one pass over the validation scores."""
-    scored = S.score_tiles(tiles, model, ("sims", "weights"), ("image_id",))
+    scored = S.score_tiles(_judged(tiles, images), model, ("sims", "weights"), ("image_id",))
     scores = durable(_stacked(scored, model.k, ("unmix", "match"), ("image_id",)).join(_evaluated(images), "image_id"))
     thr = C.quantile_thresholds(scores.where("split = 'val'"), list(qs), C.FALLBACK_UNMIX, ["method"])
     test = scores.where("split = 'test'").withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in qs])))
@@ -77,14 +82,14 @@ def sweep_quantile(images, tiles, model: PrototypeModel, qs=(0.01, 0.05, 0.10, 0
 def sweep_projection(images, tiles, model: PrototypeModel, epochs: int = 0, lr: float = 1e-3) -> DataFrame:
     """Sparsemax against softmax, optionally each with its own fit."""
     if not epochs:
-        scored = S.score_tiles(tiles, model, ("weights", "softmax"), ("image_id",))
+        scored = S.score_tiles(_judged(tiles, images), model, ("weights", "softmax"), ("image_id",))
         scores = _stacked(scored, model.k, ("unmix", "softmax"), ("image_id",)).join(_evaluated(images), "image_id")
         return _calibrated_f1(scores, ["method"])
     train = tiles.join(images.where("split = 'train'").select("image_id"), "image_id", "left_semi")
     parts = []
     for method, activation in (("unmix", "sparsemax"), ("softmax", "softmax")):
         m = fitting.fit_unmix(train, model, epochs, lr, "element_mean", activation=activation).model
-        s = S.tile_mean(S.score_tiles(tiles, m, (COLUMNS[method],), ("image_id",)), m.k, COLUMNS[method])
+        s = S.tile_mean(S.score_tiles(_judged(tiles, images), m, (COLUMNS[method],), ("image_id",)), m.k, COLUMNS[method])
         parts.append(s.withColumn("method", F.lit(method)))
     return _calibrated_f1(_union(parts).join(_evaluated(images), "image_id"), ["method"])
 
@@ -94,7 +99,7 @@ def sweep_init(images, tiles, classes: Sequence[str], modes=("pure", "kmeans", "
     train = images.where("split = 'train'")
     mine = tiles.join(train.select("image_id"), "image_id", "left_semi")
     models = {i: P.init_prototypes(mine, train, classes, m, seed) for i, m in enumerate(modes)}
-    scored = S.score_models(tiles, models, ("sims", "weights"), ("image_id",), "i")
+    scored = S.score_models(_judged(tiles, images), models, ("sims", "weights"), ("image_id",), "i")
     names = F.array(*[F.lit(m) for m in modes])
     scores = _stacked(scored, len(classes), ("unmix", "match"), ("i", "image_id")).withColumn("init", names[F.col("i")]).drop("i")
     return _calibrated_f1(scores.join(_evaluated(images), "image_id"), ["init", "method"])
@@ -117,7 +122,7 @@ def sweep_frames(images, frames, classes, encoder, arms: dict[str, dict]) -> Dat
 
 def boundary_tiles(images, tiles, model: PrototypeModel, grid: int = 4) -> DataFrame:
     """(tiles, metrics) with all tiles and with the central ones, thresholds for each."""
-    scored = S.score_tiles(tiles, model, ("sims",))
+    scored = S.score_tiles(_judged(tiles, images), model, ("sims",))
     sets = F.filter(F.array(F.lit("all"), F.when(is_central_tile(F.col("tile_idx"), grid), "central")), lambda x: x.isNotNull())
     scored = scored.select("image_id", "sims", F.explode(sets).alias("tiles"))
     scores = S.tile_mean(scored, model.k, "sims", ("tiles", "image_id")).join(_evaluated(images), "image_id")
@@ -172,7 +177,7 @@ def fit_sweep(images, tiles, classes: Sequence[str], variants: dict[str, dict],
     parts, sims = [], []
     for name, args in variants.items():
         m = fitting.fit_unmix(rows if args.get("absent_lambda") else rows.drop("label"), start, epochs, lr, **args).model
-        s = S.tile_mean(S.score_tiles(tiles, m, ("weights",), ("image_id",)), m.k, "weights")
+        s = S.tile_mean(S.score_tiles(_judged(tiles, images), m, ("weights",), ("image_id",)), m.k, "weights")
         parts.append(s.withColumn("variant", F.lit(name)))
         sims.append((name, P.mean_pairwise_sim(m)))
     f1 = _calibrated_f1(_union(parts).join(_evaluated(images), "image_id"), ["variant"], fallback=C.NEVER_FIRES)
@@ -218,7 +223,7 @@ def mosaic_stage(real: DataFrame, synthetic: DataFrame, images, tiles, classes,
     parts = []
     for name, rows in pools.items():
         m = fitting.fit_unmix(rows, start, epochs, lr, **fit_args).model
-        parts.append(S.tile_mean(S.score_tiles(tiles, m, ("weights",), ("image_id",)), m.k, "weights").withColumn("pool", F.lit(name)))
+        parts.append(S.tile_mean(S.score_tiles(_judged(tiles, images), m, ("weights",), ("image_id",)), m.k, "weights").withColumn("pool", F.lit(name)))
     return _calibrated_f1(_union(parts).join(_evaluated(images), "image_id"), ["pool"], fallback=C.NEVER_FIRES)
 
 
@@ -230,6 +235,6 @@ def subspace_stage(images, tiles, classes, dims=(32,), epochs: int = 10, lr: flo
     parts = []
     for dim in dims:
         fitted = fitting.fit_subspace(rows, start, P.pca_basis(rows, dim), epochs, lr, absent_lambda)
-        projected = S.project(S.normalize_tiles(tiles), fitted.w)
+        projected = S.project(S.normalize_tiles(_judged(tiles, images)), fitted.w)
         parts.append(S.tile_mean(S.score_tiles(projected, fitted.model, ("weights",)), len(classes), "weights").withColumn("d", F.lit(dim)))
     return _calibrated_f1(_union(parts).join(_evaluated(images), "image_id"), ["d"], fallback=C.NEVER_FIRES)
