@@ -18,7 +18,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     Each round links the larger neighbours of a node to the smallest one, then a node to its
     smallest neighbour; the number of rounds grows with the logarithm of the longest path. Minima
-    are partial aggregates, so a node with very many edges is no hot task. Nulls and loops are left out.
+    are partial aggregates. The join back to a node's edges is dealt by node: a node with very many
+    edges is one large partition, which the adaptive skew join splits where it is on. Nulls and
+    loops are left out.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col("u") != F.col("v")).distinct()
     e = durable(e)

@@ -174,9 +174,17 @@ class Machine(dict):
             total += n
         return state, total
 
+    def tidy(self, state: int | None = None) -> int:
+        """`state`, or the start, under its number after the tables were emptied if they had grown over their bounds."""
+        state = self.start if state is None else state
+        if len(self.names) <= STATES and len(self.borders) <= BORDERS:
+            return state
+        saved = self.save(state)
+        self._forget()
+        return self.load(saved)
+
     def __missing__(self, unit: str) -> int:
-        if len(self.names) > STATES or len(self.borders) > BORDERS:
-            self._forget()
+        self.tidy()
         n = self.run(unit, self.start)[1]
         if len(self) < UNITS and len(unit) < 40:
             self[unit] = n
@@ -190,6 +198,7 @@ class Machine(dict):
     def count(self, text: str | None) -> int:
         if not text:
             return 0
+        self.tidy()  # a text adds as many states as it has characters, at most
         if not self.cut_at_space or "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
             return self.run(self.normal(text), self.start)[1]
         first, *rest = text.split(" ")
@@ -269,6 +278,7 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         for batch in batches:
             made = []
             for seg, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                m.tidy()
                 end, total = m.run((m.prefix if not seg else "") + x.replace(" ", SPACE), m.start)
                 made.append((m.save(end), total))
             yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(map_arrow.field(i).type) for i in range(4)), pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.int64())], schema=map_arrow)
@@ -281,7 +291,7 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
         state, n, rows = m.start, 0, sorted(table.to_pylist(), key=lambda r: r["seg"])
         for r in rows:
             state, more = m.apply(state, (m.prefix if not r["seg"] else "") + r["text"].replace(" ", SPACE), m.load(r["end"]), r["total"])
-            n += more
+            n, state = n + more, m.tidy(state)
         return pa.Table.from_arrays([pa.array([rows[0]["key"]], out_arrow.field(0).type), pa.array([rows[0]["n_bytes"]], pa.int64()), pa.array([n], pa.int64())], schema=out_arrow)
 
     spread = rows.repartition(F.col("key"), F.col("seg"))

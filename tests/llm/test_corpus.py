@@ -224,23 +224,6 @@ def test_line_dedup(spark):
     assert len(everything) == len(set(everything))
 
 
-def test_simhash(spark):
-    from pyspark.sql import functions as F
-
-    rng = random.Random(5)
-    sizes = (1, 2, 3, 30, 254, 255, 256, 511, 1400)
-    rows = [(i, " ".join(rng.choice("abcdefghé") * rng.randint(1, 6) for _ in range(n))) for i, n in enumerate(sizes)]
-    rows += [(20, "a bb ccc dddd e ffff g"), (21, "aa " * 40 + "bb"), (22, "aaaa b cccc d eeee")]
-    df = spark.createDataFrame(rows, "i int, norm string")
-    hashes = {r.i: r.h for r in df.select("i", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w)).alias("h")).collect()}
-    got = {r.i: r for r in lines.simhashes(df, ["i"]).collect()}
-    for i, norm in rows:
-        words = norm.split(" ")
-        large = [h for h, w in zip(hashes[i], words) if len(w) > 3]
-        h = large if len(large) >= 3 else hashes[i]
-        assert got[i].n_words == len(words) and got[i].sim == sum(1 << b for b in range(63) if sum((x >> b) & 1 for x in h) > len(h) // 2), i
-
-
 def test_letters_of_long_lines(spark):
     """Lines that differ in a letter: nearly all are found."""
     rng = random.Random(3)
@@ -294,13 +277,6 @@ def test_line_recall(spark, n_words):
     assert pairs > 20 and 0.95 * pairs <= gone <= pairs
 
 
-def test_words_as_characters(spark):
-    from pyspark.sql import functions as F
-
-    r = spark.createDataFrame([("a bc d", "a d"), ("x", "x")], "a string, b string").select(F.levenshtein(lines.as_characters(F.col("a")), lines.as_characters(F.col("b"))).alias("d"), F.char_length(lines.as_characters(F.col("a"))).alias("n")).collect()
-    assert [tuple(x) for x in r] == [(1, 3), (0, 1)]
-
-
 # -- search -----------------------------------------------------------------------------------------------
 
 

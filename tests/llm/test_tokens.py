@@ -213,3 +213,25 @@ def test_long_texts_with_equal_and_null_keys(spark):
     assert whole(got) == whole(bpe.encode(apart, BYTE, segment=100_000))
     count = lambda df, n: sorted((r.n_bytes, r.n_tokens) for r in counts.count_tokens(df, PIECE, chunk=n).collect())
     assert count(same, 100) == count(apart, 100_000)
+
+
+def test_states_stay_within_bounds(monkeypatch):
+    """Texts that can't be cut at single blanks, and chunk after chunk: the tables are emptied between them and counts stay right."""
+    monkeypatch.setattr(counts, "STATES", 200)
+    monkeypatch.setattr(counts, "BORDERS", 300)
+    import random
+
+    import sentencepiece
+
+    m, lib, rng = counts.Machine(PIECE), sentencepiece.SentencePieceProcessor(model_file=PIECE), random.Random(1)
+    text = lambda: "  ".join("".join(rng.choice("abcdeé中 ") for _ in range(rng.randint(1, 9))) for _ in range(30))
+    for _ in range(40):
+        x = text()
+        assert m.count(x) == len(lib.encode(x))
+        assert len(m.names) <= 200 + len(x) + 2
+    whole, state, n = [text() for _ in range(30)], m.start, 0
+    for i, x in enumerate(whole):
+        state, more = m.run((m.prefix if not i else "") + x.replace(" ", counts.SPACE), state)
+        n, state = n + more, m.tidy(state)
+        assert len(m.names) <= 200 + len(x) + 2
+    assert n == len(lib.encode("".join(whole)))
