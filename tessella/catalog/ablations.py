@@ -169,7 +169,7 @@ def o18(spark, d):
 @query("o19_mil", "split:s metric:s value:d")
 def o19(spark, d):
     im, t, _ = trained(spark, d)
-    return D.run_mil(im, t, CLASSES, lr=1e-2)[1]
+    return D.run_mil(im, t, CLASSES, lr=1e-2, check_every=5)[1]
 
 
 @query("e7_softmax_over", "image_id:l tile_idx:l attention:d", """WITH t AS (SELECT vec_id // 2 AS image_id, vec_id % 2 AS tile_idx, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS z FROM embeddings),
