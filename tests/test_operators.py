@@ -299,7 +299,7 @@ def leaders_of(close, size):
 
 @pytest.mark.parametrize("thr,size,block", [(0.8, 4, 256), (0.6, 8, 7), (0.3, 20, 16), (0.999, 3, 64)])
 def test_greedy_clusters_equal_the_sequential_rule(spark, thr, size, block, monkeypatch):
-    monkeypatch.setattr(CL, "LEADER_BLOCK", block)
+    monkeypatch.setattr(CL, "LEADER_WINDOW", block)
     z = np.random.default_rng(8).standard_normal((160, 3))
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(z)]
     df = spark.createDataFrame(rows, "row_id bigint, z array<double>").repartition(5)
