@@ -6,9 +6,9 @@ tokens so far is a function of a finite state: for each start of a token that ma
 going on, its prefix, the last token before it and the count there relative to now. `Machine`
 compiles these states and their transitions (next state, tokens emitted) as texts ask for them.
 
-A chunk of text is a map from state to (state, tokens). Chunks of a long text are run apart,
-from the start state, and their maps are composed in order: from another state the run differs
-only until both runs are in the same state.
+A chunk of text is a map from state to (state, tokens). Chunks of a long text are run apart: from
+the start state, then from the states that the chunk before may end in, which differs only until both
+runs are in the same state. Maps are composed in a tree, neighbours first, without the texts.
 """
 
 from __future__ import annotations
@@ -24,10 +24,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from tessella.llm.arrow import map_texts, numbered
+from tessella.session import durable
 
 #: Fixed value: the mark that stands for a space in the pieces.
 SPACE = "▁"
 CHUNK = 32_768
+#: Maps of chunks that are composed in one group.
+FAN = 64
 #: Bounds of a task's memory: compiled states, remembered units, remembered borders. Beyond them all is compiled anew.
 STATES, UNITS, BORDERS = 260_000, 260_000, 400_000
 NEVER, SINGLE = 1 << 60, (-1, "", "")
@@ -248,11 +251,12 @@ def machine(path: str) -> Machine:
     return Machine(path)
 
 
-def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
+def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """(key, n_bytes, n_tokens) of every row, as the vocabulary's library counts them.
 
     A null text counts as empty: no bytes, no tokens. Texts over `chunk` characters are cut into
     chunks that any task may run, at any character. Repeated and null keys stay rows of their own.
+    Extra columns are left out.
     """
     src = df.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     sized = src.withColumn("n_bytes", F.octet_length("text").cast("long"))
@@ -269,31 +273,80 @@ def count_tokens(df: DataFrame, path: str, key: str = "doc_id", text: str = "tex
     short = map_texts(sized.where(~is_long), "text", "n_tokens long", whole)
     pieces = F.ceil(F.char_length("text") / F.lit(chunk)).cast("int")
     long_rows = numbered(sized.where(is_long))
-    rows = long_rows.select("key", "n_bytes", F.posexplode(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substring("text", i * chunk + 1, F.lit(chunk)))).alias("seg", "text"))
-    map_schema = T.StructType([long_rows.schema["key"], sized.schema["n_bytes"], *T._parse_datatype_string("seg int, text string, end string, total long").fields])
-    map_arrow = to_arrow_schema(map_schema)
+    cut = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.substring("text", i * chunk + 1, F.lit(chunk)))
+    chunks = long_rows.select(F.col("key.row").alias("row"), F.posexplode(cut).alias("seg", "text"))
+    totals = compose_maps(chunk_maps(chunks, path), fan)
+    long = long_rows.select("key", "n_bytes", F.col("key.row").alias("row")).join(totals, "row").select("key.key", "n_bytes", "n_tokens")
+    return short.select("key", "n_bytes", "n_tokens").unionByName(long).withColumnRenamed("key", key)
 
-    def maps(batches):
-        m = machine(path)
-        for batch in batches:
-            made = []
-            for seg, x in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                m.tidy()
-                end, total = m.run((m.prefix if not seg else "") + x.replace(" ", SPACE), m.start)
-                made.append((m.save(end), total))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).cast(map_arrow.field(i).type) for i in range(4)), pa.array([x[0] for x in made], pa.string()), pa.array([x[1] for x in made], pa.int64())], schema=map_arrow)
-
-    out_schema = T.StructType([long_rows.schema["key"], *T._parse_datatype_string("n_bytes long, n_tokens long").fields])
-    out_arrow = to_arrow_schema(out_schema)
-
-    def compose(table: pa.Table) -> pa.Table:
-        m = machine(path)
-        state, n, rows = m.start, 0, sorted(table.to_pylist(), key=lambda r: r["seg"])
-        for r in rows:
-            state, more = m.apply(state, (m.prefix if not r["seg"] else "") + r["text"].replace(" ", SPACE), m.load(r["end"]), r["total"])
-            n, state = n + more, m.tidy(state)
-        return pa.Table.from_arrays([pa.array([rows[0]["key"]], out_arrow.field(0).type), pa.array([rows[0]["n_bytes"]], pa.int64()), pa.array([n], pa.int64())], schema=out_arrow)
-
-    spread = rows.repartition(F.col("key"), F.col("seg"))
-    long = spread.mapInArrow(maps, map_schema).groupBy("key").applyInArrow(compose, out_schema)
-    return short.select("key", "n_bytes", "n_tokens").unionByName(long.withColumn("key", F.col("key.key"))).withColumnRenamed("key", key)
+
+def chunk_maps(chunks: DataFrame, path: str) -> DataFrame:
+    """(row, seg, came, end, n) of chunks (row, seg, text): the map of each chunk, at every state that may come in.
+
+    First all chunks run from the start state. Then a chunk runs from each state that the one before
+    it may end in, until it is where the first run is. An end that was not met before makes a new
+    state for the next chunk: rounds go on until there is none, which is after one for texts whose
+    runs meet. A state is written as its items, which are the same in every task.
+    """
+    schema = T._parse_datatype_string("row long, seg int, came string, end string, n long")
+    arrow = to_arrow_schema(schema)
+
+    def rows_of(fn):
+        def run(batches):
+            m = machine(path)
+            for batch in batches:
+                made = []
+                for i in range(batch.num_rows):
+                    m.tidy()
+                    row, seg, text, *more = (column[i].as_py() for column in batch.columns)
+                    made.append((row, seg, *fn(m, (m.prefix if not seg else "") + text.replace(" ", SPACE), *more)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, arrow.field(j).type) for j, x in enumerate(zip(*made))] if made else [pa.array([], f.type) for f in arrow], schema=arrow)
+
+        return run
+
+    def first(m, text):
+        end, n = m.run(text, m.start)
+        return m.save(m.start), m.save(end), n
+
+    def again(m, text, came, end, n):
+        out, total = m.apply(m.load(came), text, m.load(end), n)
+        return came, m.save(out), total
+
+    base = durable(chunks.repartition("row", "seg").mapInArrow(rows_of(first), schema))
+    known, latest = base, base
+    while True:
+        coming = latest.select("row", (F.col("seg") + 1).alias("seg"), F.col("end").alias("came")).distinct()
+        wanted = coming.join(known, ["row", "seg", "came"], "left_anti").join(base.select("row", "seg", "end", "n"), ["row", "seg"])
+        wanted = durable(wanted)
+        if wanted.isEmpty():
+            return known
+        latest = durable(chunks.join(wanted, ["row", "seg"]).select("row", "seg", "text", "came", "end", "n").mapInArrow(rows_of(again), schema))
+        known = known.unionAll(latest)
+
+
+def compose_maps(maps: DataFrame, fan: int = FAN) -> DataFrame:
+    """(row, n_tokens): maps of `fan` neighbouring chunks are composed to one, then those of as many runs, until one is left.
+
+    Composing looks states up and reads no text; a group holds `fan` maps, however long a text is.
+    """
+    schema, last = maps.schema, maps.agg(F.max("seg")).first()[0] or 0
+    arrow = to_arrow_schema(schema)
+
+    def composed(key: tuple, table: pa.Table) -> pa.Table:
+        steps: dict[int, dict] = {}
+        for r in table.to_pylist():
+            steps.setdefault(r["seg"], {})[r["came"]] = (r["end"], r["n"])
+        head, *rest = (steps[s] for s in sorted(steps))
+        out = []
+        for came, (state, n) in head.items():
+            for step in rest:
+                state, more = step[state]
+                n += more
+            out.append((key[0].as_py(), key[1].as_py(), came, state, n))
+        return pa.Table.from_arrays([pa.array(x, arrow.field(i).type) for i, x in enumerate(zip(*out))], schema=arrow)
+
+    while last > 0:
+        runs = maps.select("row", F.floor(F.col("seg") / fan).cast("int").alias("run"), "seg", "came", "end", "n")
+        maps, last = runs.groupBy("row", "run").applyInArrow(composed, schema), last // fan
+    # nothing comes into a first chunk but the start state, so one map a row is left
+    return maps.select("row", F.col("n").alias("n_tokens"))

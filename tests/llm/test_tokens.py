@@ -235,3 +235,29 @@ def test_states_stay_within_bounds(monkeypatch):
         n, state = n + more, m.tidy(state)
         assert len(m.names) <= 200 + len(x) + 2
     assert n == len(lib.encode("".join(whole)))
+
+
+def test_maps_of_chunks_compose_in_a_tree(spark):
+    """Runs of one character, whose chunks do not forget where they began, over several levels; and texts of one chunk."""
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    texts = [" " * 150, "a" * 130, "ab" * 90, "=" * 101, "the of " * 30, "中é " * 40, " x" * 77, "0" * 64, "abc", "", *noise(12, 9)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in counts.count_tokens(df, PIECE, chunk=7, fan=3).collect()}
+    assert got == {i: len(lib.encode(x)) for i, x in enumerate(texts)}
+
+
+def test_maps_hold_every_state_that_comes_in(spark):
+    """A chunk's map has each end of the chunk before it, and equals a run of the text so far."""
+    m, text = counts.machine(PIECE), "a" * 60 + "=" * 60
+    chunks = spark.createDataFrame([(1, i, text[i * 11 : i * 11 + 11]) for i in range(-(-len(text) // 11))], "row long, seg int, text string")
+    maps = {}
+    for r in counts.chunk_maps(chunks, PIECE).collect():
+        assert maps.setdefault((r.seg, r.came), (r.end, r.n)) == (r.end, r.n)
+    state, total = m.save(m.start), 0
+    for i in range(-(-len(text) // 11)):
+        state, n = maps[i, state]
+        total += n
+        assert all((i + 1, end) in maps for (seg, _), (end, _) in maps.items() if seg == i) or i == -(-len(text) // 11) - 1
+    assert total == m.run(m.normal(text), m.start)[1]
