@@ -11,6 +11,7 @@ from tessella.operators import calibrate as C
 from tessella.operators import intervals as I
 from tessella.operators import metrics as M
 from tessella.operators import splits as S
+from tessella.operators.isotonic import isotonic, isotonic_blocks
 
 # a scalar score with a binary label: document length against its two flags
 _DL = "WITH dl AS (SELECT d.doc_id AS image_id, lang, CAST(n_chars AS DOUBLE) AS score, quality AS label FROM documents d JOIN labels USING (doc_id))"
@@ -96,14 +97,36 @@ def i5(spark, d):
     return C.argmax_f1_thresholds(squeezed(spark, d).where(F.col("label")[2] == 0), skip_empty=True)
 
 
-@query("i6_isotonic_auroc", "k:l auroc_before:d auroc_after:d")
+def _isotonic(src: str, by: str) -> str:
+    """Isotonic fit of (by, score, label) by the max-min formula: it_fit(by, score, n, y, value)."""
+    return f"""it_p AS (SELECT {by}, score, count(*) AS n, sum(label) AS y FROM {src} GROUP BY 1, 2),
+it_c AS (SELECT *, row_number() OVER w AS i, sum(n) OVER w AS cn, sum(y) OVER w AS cy FROM it_p WINDOW w AS (PARTITION BY {by} ORDER BY score)),
+it_m AS (SELECT a.{by}, a.i AS a, b.i, CAST(b.cy - a.cy + a.y AS DOUBLE) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS m FROM it_c a JOIN it_c b ON a.{by} = b.{by} AND b.i >= a.i),
+it_n AS (SELECT {by}, i, min(m) OVER (PARTITION BY {by}, a ORDER BY i DESC) AS m FROM it_m),
+it_v AS (SELECT {by}, i, max(m) AS value FROM it_n GROUP BY 1, 2),
+it_fit AS (SELECT {by}, score, n, y, value FROM it_c JOIN it_v USING ({by}, i))"""
+
+
+def _pairs_auroc(src: str, name: str) -> str:
+    return f"{name} AS (SELECT p.k, avg(CASE WHEN p.score > q.score THEN 1.0::DOUBLE WHEN p.score = q.score THEN 0.5 ELSE 0 END) AS auroc FROM {src} p JOIN {src} q ON p.k = q.k AND p.label = 1 AND q.label = 0 GROUP BY 1)"
+
+
+@query("i6_isotonic_auroc", "k:l auroc_before:d auroc_after:d", f"""{MEAN}, {_isotonic('sc', 'k')}, af AS (SELECT sc.k, sc.label, it_fit.value AS score FROM sc JOIN it_fit USING (k, score)), {_pairs_auroc('sc', 'ba')}, {_pairs_auroc('af', 'aa')}
+    SELECT k, ba.auroc AS auroc_before, aa.auroc AS auroc_after FROM ba JOIN aa USING (k)""")
 def i6(spark, d):
     """Pools create ties, so the AUROC after recalibration may move slightly."""
     s = image_scores(spark, d).select("image_id", "label", "scores")
-    after = M.class_auroc(C.isotonic(s, s, CLASSES)).withColumnRenamed("auroc", "auroc_after")
+    after = M.class_auroc(isotonic(s, s, CLASSES)).withColumnRenamed("auroc", "auroc_after")
     return M.class_auroc(s).withColumnRenamed("auroc", "auroc_before").join(after, "k")
 
 
+@query("i6_isotonic_blocks", "lang:s lo:d hi:d n:l y:l value:d", f"{_EL}, {_isotonic('el', 'lang')} SELECT lang, min(score) AS lo, max(score) AS hi, sum(n) AS n, sum(y) AS y, value FROM it_fit GROUP BY lang, value")
+def i6_blocks(spark, d):
+    """The fitted steps of every event's rounded value against its flag, by type."""
+    points = event_scores(spark, d).select("lang", F.col("score").alias("x"), F.col("label").alias("y"))
+    return isotonic_blocks(points, ["lang"]).withColumn("value", F.col("y") / F.col("n"))
+
+
 @query("i7_calibration_grid", "rule:s k:l threshold:d", f"""{MEAN}, rl AS (SELECT *, CASE WHEN image_id % 2 = 0 THEN 'val' ELSE 'dev' END AS role FROM sc),
     q AS (SELECT role || '_q05' AS rule, k, coalesce(quantile_cont(score, 0.05) FILTER (WHERE label = 1), max(score) + 1) AS threshold FROM rl GROUP BY role, k),
     ed AS (SELECT role, k, min(score) AS lo, max(score) AS hi FROM rl GROUP BY 1, 2),

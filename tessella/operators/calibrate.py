@@ -198,23 +198,3 @@ def calibration_grid(scores: DataFrame, roles: Sequence[str] = ("val", "dev")) -
     q = quantile_thresholds(chosen, 0.05, NEVER_FIRES, ["role"]).withColumn("rule", F.concat("role", F.lit("_q05")))
     f = argmax_f1_thresholds(chosen, "minmax", ["role"]).withColumn("rule", F.concat("role", F.lit("_f1")))
     return q.select("rule", "k", "threshold").unionByName(f.select("rule", "k", "threshold"))
-
-
-def isotonic(calibration: DataFrame, scores: DataFrame, classes: Sequence[str]) -> DataFrame:
-    """Scores recalibrated per class by isotonic regression, clipped to [0, 1].
-
-    One distributed fit per class on the calibration images; applying is a lookup with
-    linear interpolation between the fitted boundaries.
-    """
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import IsotonicRegression
-
-    out = scores
-    for k in range(len(classes)):
-        train = calibration.select(
-            F.col("label")[k].cast("double").alias("y"), F.col("scores")[k].cast("double").alias("x")
-        )
-        model = IsotonicRegression(featuresCol="x", labelCol="y", predictionCol=f"_c{k}").fit(train)
-        out = model.transform(out.withColumn("x", F.col("scores")[k])).drop("x")
-    clipped = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(f"_c{k}"))) for k in range(len(classes))]
-    return out.withColumn("scores", F.array(*clipped)).drop(*[f"_c{k}" for k in range(len(classes))])

@@ -21,6 +21,7 @@ from tessella.operators import metrics as M
 from tessella.operators import prototypes as P
 from tessella.operators import scoring as S
 from tessella.operators import splits as SP
+from tessella.operators.isotonic import isotonic
 from tessella.plans import decoders as D
 from tessella.session import durable
 
@@ -160,7 +161,7 @@ def isotonic_effect(scores: DataFrame, classes: Sequence[str]) -> DataFrame:
     on val, thresholds by best F1 on val; `scores` has split."""
     val = scores.where("split = 'val'")
     both = scores.withColumn("variant", F.lit("raw")).unionByName(
-        C.isotonic(val, scores, classes).select(*scores.columns).withColumn("variant", F.lit("isotonic"))
+        isotonic(val, scores, classes).select(*scores.columns).withColumn("variant", F.lit("isotonic"))
     )
     both = durable(both.select("variant", "split", "image_id", "label", "scores"))
     thr = C.argmax_f1_thresholds(both.where("split = 'val'"), by=["variant"])
