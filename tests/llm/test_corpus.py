@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import langid, lines, neardup, quality, rules, search
 from tessella.llm.components import connected_components
@@ -385,3 +386,18 @@ def test_shingles_of_short_texts():
     assert len(shingle_set(None)) == len(shingle_set(" \n")) == 0
     assert len(shingle_set("a b")) == 1 and (shingle_set("a b") == shingle_set("A\tB")).all()
     assert len(shingle_set("a b c d e f")) == 2
+
+
+def test_pipeline_documents_without_id(spark, sf):
+    """Null ids pass every stage like others; clashing extra columns come through unchanged."""
+    import corpus_pipeline as p
+
+    src = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = src.withColumns({"doc_id": F.when(F.col("doc_id") % 7 != 0, F.col("doc_id")), "score": F.lit("s"), "rejected": F.lit("r"), "predicted": F.lit("p"), "doc": F.col("doc_id")})
+    for stage in (p.language, p.quality_filter, p.near_duplicates):
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and out.schema["score"].dataType.simpleString() == "string"
+        rows = out.select(F.min("score"), F.max("rejected"), F.max("predicted"), F.expr("count_if(doc_id is null)"), F.expr("count_if(doc % 7 = 0)")).first()
+        assert tuple(rows)[:3] == ("s", "r", "p") and rows[3] == rows[4] > 0
+    packed = p.pack(spark, docs, sf)
+    assert packed.where("doc_id is null and piece = 0").count() == docs.where("doc_id is null").count()
