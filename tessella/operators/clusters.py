@@ -334,7 +334,8 @@ def _seed_bounds(free: DataFrame, lead_id, lead_z, ids: np.ndarray, z: np.ndarra
             out[3] += np.bincount(place[mine & some & (first < place)], minlength=n)
         return out.ravel()
 
-    return list(task_sums(free.where(F.col("i") >= start), ["i", "z"], count).reshape(4, n))
+    # whole numbers, which running means of tasks may leave a little under or over
+    return list(np.rint(task_sums(free.where(F.col("i") >= start), ["i", "z"], count)).reshape(4, n))
 
 
 def _leader_means(free: DataFrame, lead_id: np.ndarray, lead_z: np.ndarray, threshold: float) -> np.ndarray:

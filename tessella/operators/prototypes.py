@@ -11,7 +11,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.kernels import to_lists, to_matrix, unit_rows
@@ -89,20 +89,28 @@ def total_vectors(partials: DataFrame, keys: Sequence[str], vec: str = "s") -> D
 
     A row for each key leaves a task, whatever the vectors' length.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    return _unpacked(partials.groupBy(*keys).agg(_vector_total(vec)))
+
+
+def _vector_total(vec: str) -> Column:
+    from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
-    total = partials.groupBy(*keys).agg(Summarizer.sum(array_to_vector(vec)).alias("s"))
-    return total.select(*keys, vector_to_array("s").alias("s"))
+    return Summarizer.sum(array_to_vector(vec)).alias("s")
+
+
+def _unpacked(total: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
+
+    return total.withColumn("s", vector_to_array("s"))
 
 
 def add_vectors(partials: DataFrame, keys: Sequence[str], vec: str = "s") -> DataFrame:
     """Element-wise total of the partial vectors per key: (keys, s, n)."""
     keys = list(keys)
-    # the count travels as one more element, so the partials are read once
-    whole = total_vectors(partials.select(*keys, F.concat(vec, F.array("n")).alias("s")), keys)
-    whole = whole.where(F.col("s").isNotNull())
-    return whole.select(*keys, F.slice("s", F.lit(1), F.size("s") - 1).alias("s"), F.element_at("s", -1).alias("n"))
+    # the summarizer adds running means, which leave a count a little under its whole number: counts are added by themselves
+    whole = partials.groupBy(*keys).agg(_vector_total("s"), F.sum("n").alias("n"))
+    return _unpacked(whole).select(*keys, "s", "n").where(F.col("s").isNotNull())
 
 
 def mean_vector(df: DataFrame, keys: Sequence[str], vec: str = "z", unit: bool = True) -> DataFrame:

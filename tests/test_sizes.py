@@ -1,7 +1,10 @@
 """What shows only on larger tables, provoked on small ones."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tessella.operators import prototypes as P
+
 
 def test_rename_query_follows_five_characters_and_plan_stays_unique(spark, tmp_path):
     from tessella.catalog import load
@@ -21,3 +24,11 @@ def test_rename_query_follows_five_characters_and_plan_stays_unique(spark, tmp_p
     name = F.format_string("frame_%d_aug_%03d.jpg", F.floor(F.col("event_id") / 3), F.col("event_id") % 3)
     plan = rename_plan(events.select(F.lit("u").alias("folder"), name.alias("name")))
     assert plan.select("new_name").distinct().count() == n
+
+
+def test_counts_of_vector_totals_are_whole(spark):
+    counts = [[int(c) for c in np.random.default_rng(g).integers(1, 60_000, 37)] for g in range(40)]
+    rows = [(g, [0.5 * c, 1.0], float(c)) for g, each in enumerate(counts) for c in each]
+    df = spark.createDataFrame(rows, "g int, s array<double>, n double").repartition(7)
+    got = {r["g"]: r["n"] for r in P.add_vectors(df, ["g"]).collect()}
+    assert got == {g: float(sum(each)) for g, each in enumerate(counts)}
