@@ -24,6 +24,7 @@ SEND_LIMIT = 128 << 20  # bytes of float32 pool a task may hold
 BLOCK_ROWS = 16_384
 QUERY_CHUNK, POOL_CHUNK = 512, 8_192  # rows of a cell: 32 MB of similarities
 MERGE_WIDTH = 64
+MOST_BLOCKS, LARGEST_BLOCK = 8, 1 << 17  # blocks of each side, unless their rows would be more than a task should hold
 
 
 def _fold_mask(labels: np.ndarray, exclude: Sequence[int]) -> np.ndarray:
@@ -53,6 +54,13 @@ def _top(q: np.ndarray, pool: np.ndarray, masks: list[np.ndarray], k: int) -> li
     return out
 
 
+def _blocks(n: int, block_rows: int) -> int:
+    """Blocks of at least `block_rows` rows. Each row is sent once for every block of the other
+    side, so there are few and they grow with the table: what is shuffled grows as the table does."""
+    rows = max(block_rows, min(-(-n // MOST_BLOCKS), LARGEST_BLOCK))
+    return -(-n // rows)
+
+
 def _emit(b: pa.RecordBatch, keep: Sequence[str], tops: list[np.ndarray], names: Sequence[str]) -> pa.RecordBatch:
     n = b.num_rows
     cols = [pa.concat_arrays([b.column(c)] * len(tops)) for c in keep]
@@ -106,9 +114,9 @@ def knn_top(
 
         return queries.select(*keep, "z").mapInArrow(run, schema)
 
-    n_pb = -(-n_pool // block_rows)
+    n_pb = _blocks(n_pool, block_rows)
     n_query = queries.count()
-    n_qb = max(1, -(-n_query // block_rows))
+    n_qb = max(1, _blocks(n_query, block_rows))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(int(n) - 1)))
     # `keep` need not tell queries apart, so each gets a number; it is written down before it is used
     numbered = durable(queries.select(*keep, "z").withColumn("_q", F.monotonically_increasing_id()))

@@ -32,3 +32,12 @@ def test_counts_of_vector_totals_are_whole(spark):
     df = spark.createDataFrame(rows, "g int, s array<double>, n double").repartition(7)
     got = {r["g"]: r["n"] for r in P.add_vectors(df, ["g"]).collect()}
     assert got == {g: float(sum(each)) for g, each in enumerate(counts)}
+
+
+def test_knn_blocks_grow_with_the_table():
+    from tessella.operators import knn as KNN
+
+    for n in (615_000, 102_564):  # each row is sent once for every block of the other side
+        assert KNN._blocks(n, 64) <= KNN.MOST_BLOCKS
+    assert KNN._blocks(100, 16) == 7 and KNN._blocks(0, 16) == 0
+    assert KNN._blocks(10**8, 64) * KNN.LARGEST_BLOCK >= 10**8
