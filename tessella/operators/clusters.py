@@ -7,12 +7,15 @@ factors, and what comes back is one aggregate.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.kernels import to_lists, to_matrix, unit_rows
 from tessella.model import PrototypeModel
@@ -24,6 +27,8 @@ ROUNDS, INNER, EPSILON, SEED_FLOOR = 30, 3, 0.05, 1e-12
 ROWS_PER_CLUSTER = 5
 #: Numbers of a part of a vector that tasks add up.
 PART = 4096
+#: Rows of a block, and blocks of a task from which on there are more tasks than cores.
+BLOCK, TASK_BLOCKS = 4096, 64
 
 
 def batch_sums(df: DataFrame, cols: Sequence[str], fn: Callable[[pa.RecordBatch], np.ndarray], short: bool = False) -> np.ndarray:
@@ -52,14 +57,79 @@ def batch_sums(df: DataFrame, cols: Sequence[str], fn: Callable[[pa.RecordBatch]
     return np.concatenate([np.array(r["s"]) for r in parts]) if parts else np.zeros(0)
 
 
-def task_sums(df: DataFrame, cols: Sequence[str], fn: Callable[..., np.ndarray], short: bool = False) -> np.ndarray:
+@dataclass(frozen=True)
+class Blocks:
+    """Held rows: a row of `df` has the bytes of up to BLOCK of them, a binary for each column of `kinds` (type of numbers, whether lists)."""
+
+    df: DataFrame
+    kinds: dict[str, tuple[str, bool]]
+    rows: int
+
+    def count(self) -> int:
+        return self.rows
+
+    def isEmpty(self) -> bool:
+        return self.rows == 0
+
+
+_NUMBERS = {T.FloatType: "f4", T.DoubleType: "f8", T.IntegerType: "i4", T.LongType: "i8"}
+
+
+@contextmanager
+def held_blocks(df: DataFrame, cols: Sequence[str]):
+    """The columns of `df`, numbers or lists of one length, for many passes: as blocks, so that a pass
+    sends bytes and converts no numbers, and dealt over all cores, however few tasks `df` has."""
+    kinds = {}
+    for c in cols:
+        kind = df.schema[c].dataType
+        listed = isinstance(kind, T.ArrayType)
+        kinds[c] = (_NUMBERS.get(type(kind.elementType if listed else kind), "f8"), listed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, BLOCK):
+                part = b.slice(i, BLOCK)
+                out = [pa.array([part.num_rows], pa.int64())]
+                for c, (kind, listed) in kinds.items():
+                    values = part.column(c).flatten() if listed else part.column(c)
+                    out.append(pa.array([values.to_numpy(zero_copy_only=False).astype(kind).tobytes()], pa.binary()))
+                yield pa.RecordBatch.from_arrays(out, names=["_rows", *kinds])
+
+    schema = T.StructType([T.StructField("_rows", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in kinds]])
+    made = df.select(*kinds).mapInArrow(run, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = None
+    try:
+        n, rows = made.agg(F.count(F.lit(1)), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+        tasks = max(1, min(n, max(df.sparkSession.sparkContext.defaultParallelism, n // TASK_BLOCKS)))
+        dealt = made.repartition(tasks).persist(StorageLevel.MEMORY_AND_DISK)
+        dealt.count()
+        made.unpersist()
+        yield Blocks(dealt, kinds, rows)
+    finally:
+        made.unpersist()
+        if dealt is not None:
+            dealt.unpersist()
+
+
+def task_sums(df: DataFrame | Blocks, cols: Sequence[str], fn: Callable[..., np.ndarray], short: bool = False) -> np.ndarray:
     """`batch_sums` of `fn(*matrices)`, one matrix or array for each of the columns."""
     cols = list(cols)
 
     def of_batch(b: pa.RecordBatch) -> np.ndarray:
         return fn(*[to_matrix(b.column(c)) if pa.types.is_list(b.column(c).type) else b.column(c).to_numpy(zero_copy_only=False) for c in cols])
 
-    return batch_sums(df, cols, of_batch, short)
+    if isinstance(df, DataFrame):
+        return batch_sums(df, cols, of_batch, short)
+    kinds = [df.kinds[c] for c in cols]
+
+    def of_blocks(b: pa.RecordBatch) -> np.ndarray:
+        total = 0.0
+        for n, *held in zip(b.column("_rows").to_pylist(), *[b.column(c) for c in cols]):
+            flat = [np.frombuffer(x.as_buffer(), dtype=kind) for x, (kind, _) in zip(held, kinds)]
+            total = total + np.asarray(fn(*[x.reshape(n, -1).astype(np.float64) if listed else x for x, (_, listed) in zip(flat, kinds)]), dtype=np.float64).ravel()
+        return total
+
+    return batch_sums(df.df, ["_rows", *cols], of_blocks, short)
 
 
 def _balance(f: np.ndarray, centres: np.ndarray, alpha: np.ndarray, eps: float) -> np.ndarray:
@@ -68,7 +138,7 @@ def _balance(f: np.ndarray, centres: np.ndarray, alpha: np.ndarray, eps: float)
     return e / e.sum(axis=1, keepdims=True)
 
 
-def sinkhorn_scalings(rows: DataFrame, centres: np.ndarray, iters: int = INNER, eps: float = EPSILON, vec: str = "z") -> np.ndarray:
+def sinkhorn_scalings(rows: DataFrame | Blocks, centres: np.ndarray, iters: int = INNER, eps: float = EPSILON, vec: str = "z") -> np.ndarray:
     """The K prototype factors after `iters` rounds of (prototype, sample) normalisation.
 
     Sample normalisation is local to a row; prototype normalisation is one K-vector sum.
@@ -139,17 +209,18 @@ def sinkhorn_cluster(
     held = rows.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         centres = unit_rows(init if init is not None else seed_plusplus(held, k, seed, vec=vec))
-        for _ in range(rounds):
-            alpha, c = sinkhorn_scalings(held, centres, inner, eps, vec), centres
-
-            def moved(z, c=c, alpha=alpha):
-                f = unit_rows(z)
-                q = _balance(f, c, alpha, eps)
-                return np.concatenate([(q.T @ f).ravel(), q.sum(axis=0)])
-
-            s = task_sums(held, [vec], moved)
-            sums, mass = s[: c.size].reshape(c.shape), s[c.size :]
-            centres = unit_rows(sums / (mass[:, None] + 1e-8))
+        with held_blocks(held, [vec]) as data:
+            for _ in range(rounds):
+                alpha, c = sinkhorn_scalings(data, centres, inner, eps, vec), centres
+
+                def moved(z, c=c, alpha=alpha):
+                    f = unit_rows(z)
+                    q = _balance(f, c, alpha, eps)
+                    return np.concatenate([(q.T @ f).ravel(), q.sum(axis=0)])
+
+                s = task_sums(data, [vec], moved)
+                sums, mass = s[: c.size].reshape(c.shape), s[c.size :]
+                centres = unit_rows(sums / (mass[:, None] + 1e-8))
         return centres
     finally:
         held.unpersist()
@@ -169,7 +240,7 @@ def sinkhorn_cluster_by(
     at = {g: i for i, g in enumerate(groups)}
     held = rows.where(F.col(group).isin([int(g) for g in groups])).persist(Level.MEMORY_AND_DISK)
 
-    def per_group(fn, cols, short=False):
+    def per_group(data, fn, short=False):
         """Sum of fn(index, unit rows) per group; one vector per group."""
 
         def run(g, z):
@@ -183,30 +254,31 @@ def sinkhorn_cluster_by(
                 out[i] = v
             return out
 
-        return task_sums(held, cols, run, short).reshape(len(groups), -1)
+        return task_sums(data, [group, "z"], run, short).reshape(len(groups), -1)
 
     try:
         centres = np.stack([
             seed_plusplus(held.where(F.col(group) == int(g)), k, seed) for g in groups
         ])
-        for _ in range(rounds):
-            alpha, c = np.ones((len(groups), k)), centres
-            for it in range(inner):
-                a, first = alpha, it == 0
-                mass = lambda i, f, c=c, a=a, first=first: (
-                    np.exp(f @ c[i].T / eps).sum(axis=0) if first else _balance(f, c[i], a[i], eps).sum(axis=0)
-                )
-                alpha = alpha / np.maximum(per_group(mass, [group, "z"], short=True), 1e-300)
-                alpha = alpha / alpha.max(axis=1, keepdims=True)
-
-            def moved(i, f, c=c, alpha=alpha):
-                q = _balance(f, c[i], alpha[i], eps)
-                return np.concatenate([(q.T @ f).ravel(), q.sum(axis=0)])
-
-            s = per_group(moved, [group, "z"])
-            d = c.shape[2]
-            sums, weight = s[:, : k * d].reshape(c.shape), s[:, k * d :]
-            centres = unit_rows(sums / (weight[:, :, None] + 1e-8))
+        with held_blocks(held, [group, "z"]) as data:
+            for _ in range(rounds):
+                alpha, c = np.ones((len(groups), k)), centres
+                for it in range(inner):
+                    a, first = alpha, it == 0
+                    mass = lambda i, f, c=c, a=a, first=first: (
+                        np.exp(f @ c[i].T / eps).sum(axis=0) if first else _balance(f, c[i], a[i], eps).sum(axis=0)
+                    )
+                    alpha = alpha / np.maximum(per_group(data, mass, short=True), 1e-300)
+                    alpha = alpha / alpha.max(axis=1, keepdims=True)
+
+                def moved(i, f, c=c, alpha=alpha):
+                    q = _balance(f, c[i], alpha[i], eps)
+                    return np.concatenate([(q.T @ f).ravel(), q.sum(axis=0)])
+
+                s = per_group(data, moved)
+                d = c.shape[2]
+                sums, weight = s[:, : k * d].reshape(c.shape), s[:, k * d :]
+                centres = unit_rows(sums / (weight[:, :, None] + 1e-8))
         return {g: centres[i] for g, i in at.items()}
     finally:
         held.unpersist()

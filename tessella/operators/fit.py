@@ -9,7 +9,7 @@ contract.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from contextlib import contextmanager
+from contextlib import contextmanager, nullcontext
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from tessella.functions.kernels import sigmoid, softmax_rows, sparsemax_rows, unit_rows
 from tessella.model import ChannelModel, LinearModel, PrototypeModel
 from tessella.operators import bags
-from tessella.operators.clusters import task_sums
+from tessella.operators.clusters import held_blocks, task_sums
 
 FLOOR = 1e-6
 
@@ -189,8 +189,8 @@ def fit_unmix(
     log_tau = np.log(np.broadcast_to(np.asarray(start.tau, dtype=float), (len(raw),))).copy()
     model, history = start, []
     opt, opt_tau = Adam(lr), Adam(lr)
-    with held(tiles) as rows:
-        n = rows.count()
+    with held(tiles) if discover else nullcontext(tiles) as rows, held_blocks(rows, cols) as data:
+        n = data.count()
         for epoch in range(epochs):
             theta, tau = raw, np.exp(log_tau)
             d = theta.shape[1]
@@ -203,7 +203,7 @@ def fit_unmix(
                 err, mass, g, gt, _ = unmix_sums(unit_rows(z), y, theta, tau, absent_lambda / scale, activation)
                 return np.concatenate([[err, mass], (g * scale).ravel(), gt * scale])
 
-            out = task_sums(rows, cols, sums) / n
+            out = task_sums(data, cols, sums) / n
             err, mass = out[0] * scale, out[1]
             grad = out[2 : 2 + theta.size].reshape(theta.shape)
             loss = err + absent_lambda * mass
@@ -255,7 +255,7 @@ def fit_subspace(
     q = unit_rows(start.matrix @ w.T)
     tau = np.broadcast_to(np.asarray(start.tau, dtype=float), (len(q),))
     opt_w, opt_q, history = Adam(lr), Adam(lr), []
-    with held(tiles) as rows:
+    with held_blocks(tiles, cols) as rows:
         n = rows.count()
         for epoch in range(epochs):
             cw, cq = w, q
@@ -351,7 +351,7 @@ def fit_linear_probe(
     one = rng.uniform(-bound, bound, (k, dim + 1))
     theta = np.vstack([one] * grid)
     opt = Momentum(np.repeat(np.asarray(lr_grid, dtype=float), k)[:, None], weight_decay)
-    with held(tiles) as rows:
+    with held_blocks(tiles, ["z", "label"]) as rows:
         n = rows.count()
         for _ in range(epochs):
             t = theta
@@ -496,7 +496,7 @@ def refine_uno(rows: DataFrame, centres: np.ndarray, steps: int = 100, lr: float
     """Centres refined by BCE of scaled cosine on their own hard assignment."""
     k, fixed = len(centres), unit_rows(centres)
     raw, opt = np.array(fixed), Adam(lr)
-    with held(rows) as data:
+    with held_blocks(rows, ["z"]) as data:
         n = data.count()
         for _ in range(steps):
             t = raw
@@ -522,7 +522,7 @@ def refine_simgcd(
     kk = known.k
     head, opt = np.vstack([known.matrix, centres]), Adam(lr)
     k = len(head)
-    with held(train) as tr, held(test) as te:
+    with held_blocks(train, ["z", "label"]) as tr, held_blocks(test, ["z"]) as te:
         n_tr, n_te = tr.count(), te.count()
         for _ in range(epochs):
             t, h = head, unit_rows(head)
@@ -572,7 +572,7 @@ def refine_kd(
     kk, tau = known.k, known.tau
     raw, opt = np.vstack([known.matrix, new]), Adam(lr)
     fixed = unit_rows(known.matrix)
-    with held(rows) as data:
+    with held_blocks(rows, ["z"]) as data:
         n = data.count()
         for _ in range(steps):
             t = raw

@@ -20,8 +20,8 @@ from pyspark.sql import types as T
 
 from tessella.functions.kernels import sigmoid, softmax_rows, sparsemax_rows, to_lists, to_matrix, unit_rows
 from tessella.model import ChannelModel, PrototypeModel
-from tessella.operators.clusters import task_sums
-from tessella.operators.fit import Adam, asymmetric_sums, bce_sums, held, row_uniform, through_norm, unmix_sums
+from tessella.operators.clusters import held_blocks, task_sums
+from tessella.operators.fit import Adam, asymmetric_sums, bce_sums, row_uniform, through_norm, unmix_sums
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
@@ -143,7 +143,7 @@ def fit_together(rows: DataFrame, jobs: dict[Hashable, Job], epochs: int = 30, t
     """
     names = list(jobs)
     data = rows.select("z", "label", F.xxhash64("image_id", "tile_idx").alias("row_id"), "member")
-    with held(data) as own:
+    with held_blocks(data, data.columns) as own:
         n = dict(zip(names, task_sums(own, ["member"], lambda m: m.sum(axis=0), short=True) if not own.isEmpty() else np.zeros(len(names))))
         going, last = [x for x in names if n[x] > 0], {}
         for epoch in range(epochs):
@@ -320,7 +320,7 @@ def refine_gcd_together(
     """
     names = list(cells)
     opts = {x: Adam(lr) for x in names}
-    with held(rows.select("z", "label", "member", "test")) as own:
+    with held_blocks(rows, ["z", "label", "member", "test"]) as own:
         g = len(names)
         n = task_sums(own, ["member", "test"], lambda a, b: np.concatenate([a.sum(axis=0), b.sum(axis=0)]), short=True)
         n_train, n_test = n[:g], np.maximum(n[g:], 1)

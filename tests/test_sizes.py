@@ -41,3 +41,19 @@ def test_knn_blocks_grow_with_the_table():
         assert KNN._blocks(n, 64) <= KNN.MOST_BLOCKS
     assert KNN._blocks(100, 16) == 7 and KNN._blocks(0, 16) == 0
     assert KNN._blocks(10**8, 64) * KNN.LARGEST_BLOCK >= 10**8
+
+
+def test_held_blocks_are_dealt_over_all_cores_and_sum_alike(spark):
+    from tessella.operators import clusters as CL
+
+    z = np.random.default_rng(5).standard_normal((30_000, 4)).astype(np.float32)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(z)]
+    df = spark.createDataFrame(rows, "i bigint, z array<float>").coalesce(1)
+    fn = lambda i, m: np.concatenate([m.sum(axis=0), [i.sum(), len(i)]])
+    with CL.held_blocks(df, ["i", "z"]) as held:
+        assert held.count() == len(z) and held.df.rdd.getNumPartitions() == 8
+        assert max(held.df.rdd.glom().map(len).collect()) <= 2  # 12 blocks
+        got = CL.task_sums(held, ["i", "z"], fn)
+    assert np.allclose(got, CL.task_sums(df, ["i", "z"], fn)) and round(got[-1]) == len(z)
+    with CL.held_blocks(df.where("i < 0"), ["z"]) as none:
+        assert none.isEmpty() and len(CL.task_sums(none, ["z"], lambda m: m.sum(axis=0))) == 0
