@@ -21,6 +21,7 @@ from tessella.functions.kernels import sigmoid, softmax_rows, sparsemax_rows, un
 from tessella.model import ChannelModel, LinearModel, PrototypeModel
 from tessella.operators import bags
 from tessella.operators.clusters import held_blocks, task_sums
+from tessella.operators.splits import mixup_pairs
 
 FLOOR = 1e-6
 
@@ -305,17 +306,18 @@ def fit_channel_head(
     with held(tiles.withColumn("row_id", F.xxhash64("image_id", "tile_idx"))) as rows:
         n = rows.count()
         for epoch in range(epochs):
-            data = rows
+            data, cols = rows, ["z", "label", "row_id"]
             if mixup_alpha > 0:
-                from tessella.operators.splits import mixup
-
-                data = mixup(rows.drop("row_id"), seed + epoch, mixup_alpha).withColumn(
-                    "row_id", F.xxhash64("image_id", "tile_idx")
-                )
+                data, cols = mixup_pairs(rows, seed + epoch, mixup_alpha), [*cols, "lam", "_z", "_y"]
             t, step_seed = theta, seed * 100_003 + epoch
 
-            def sums(z, y, ids, t=t, step_seed=step_seed):
-                g = (z if mixup_alpha > 0 else unit_rows(z)).reshape(len(z), k, width)
+            def sums(z, y, ids, *mixed, t=t, step_seed=step_seed):
+                if mixed:
+                    lam, z2, y2 = mixed
+                    z, y = z * lam[:, None] + z2 * (1.0 - lam[:, None]), np.maximum(y, y2)
+                else:
+                    z = unit_rows(z)
+                g = z.reshape(len(z), k, width)
                 if drop > 0:
                     keep = row_uniform(ids.astype(np.int64).view(np.uint64), k * width, step_seed) >= drop
                     g = g * keep.reshape(g.shape) / (1.0 - drop)
@@ -327,7 +329,7 @@ def fit_channel_head(
                 grad = np.hstack([np.einsum("nk,nkc->kc", d, g), d.sum(axis=0)[:, None]])
                 return np.concatenate([[value], grad.ravel()])
 
-            out = task_sums(data, ["z", "label", "row_id"], sums) / (n * k)
+            out = task_sums(data, cols, sums) / (n * k)
             history.append({"epoch": epoch, "loss": out[0]})
             theta = opt.step(theta, out[1:].reshape(theta.shape))
     return ChannelModel(tuple(classes), theta[:, :width], theta[:, width]), history

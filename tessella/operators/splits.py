@@ -298,26 +298,38 @@ def loso_folds(images: DataFrame, classes: Sequence[str]) -> DataFrame:
     return out.withColumn("kept", ~has).withColumn("unknown", has.cast("int"))
 
 
-def mixup(tiles: DataFrame, seed: int, alpha: float = 0.2, vec: str = "z", label: str = "label") -> DataFrame:
-    """Each tile mixed with a random other one: convex vectors, maximum of the labels.
+#: Hexadecimal digits of the hash that deal rows into the ranges of `mixup_pairs`.
+MIX_DIGITS = 2
+
 
-    Positions in hash order are a permutation; row i is paired with row i + 1. The weight is
-    Beta(alpha, alpha), exactly and from two uniforms: with p = u^(1/alpha) and c = cos(2 pi v) it is
-    (1 + c / sqrt(p / (1 - p) + c^2)) / 2.
+def mixup_pairs(tiles: DataFrame, seed: int, alpha: float = 0.2, vec: str = "z", label: str = "label") -> DataFrame:
+    """`tiles` with `lam`, and `_z`, `_y`: vector and label of the row each is mixed with.
+
+    Positions in hash order are a permutation; row i is paired with row i + 1, the last with the first. Rows are
+    dealt once, by the first digits of their hash, and sorted within these ranges; only the first row of each
+    range, 16^MIX_DIGITS rows at most, is sent to the tasks. The weight is Beta(alpha, alpha), exactly and from two
+    uniforms: with p = u^(1/alpha) and c = cos(2 pi v) it is (1 + c / sqrt(p / (1 - p) + c^2)) / 2.
     """
     h = F.md5(F.concat_ws(":", F.col("image_id").cast("string"), F.col("tile_idx").cast("string"), F.lit(str(seed))))
-    keyed = tiles.withColumn("_h", h)
-    ranked = hash_rank(keyed, [], "_h", ["image_id", "tile_idx"])
-    n = ranked.agg(F.count("*").alias("_n"))
-    other = ranked.crossJoin(F.broadcast(n)).select(
-        F.pmod(F.col("pos") - 1, F.col("_n")).alias("pos"), F.col(vec).alias("_z"), F.col(label).alias("_y")
-    )
+    keyed = tiles.withColumn("_h", h).withColumn("_range", F.substring("_h", 1, MIX_DIGITS))
+    mine = F.struct(F.col(vec).alias("z"), F.col(label).alias("y"))
+    first = keyed.groupBy("_range").agg(F.min_by(mine, F.struct("_h", "image_id", "tile_idx")).alias("_first"))
+    ranges = W.partitionBy(F.lit(0)).orderBy("_range")
+    around = F.first("_first").over(ranges.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    ahead = first.select("_range", F.coalesce(F.lead("_first").over(ranges), around).alias("_ahead"))
+    within = W.partitionBy("_range").orderBy("_h", "image_id", "tile_idx")
+    rows = keyed.withColumn("_next", F.lead(mine).over(within)).join(F.broadcast(ahead), "_range")
     uniform = lambda tag: (F.conv(F.substring(F.md5(F.concat(F.col("_h"), F.lit(tag))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     p, c = F.pow(uniform("u"), F.lit(1.0 / alpha)), F.cos(uniform("v") * (2 * math.pi))
     lam = (1 + c / F.sqrt(p / F.greatest(1 - p, F.lit(2.0**-53)) + c * c)) / 2
-    paired = ranked.join(other, "pos").withColumn("lam", lam)
+    other = F.coalesce("_next", "_ahead")
+    return rows.select(*tiles.columns, lam.alias("lam"), other["z"].alias("_z"), other["y"].alias("_y"))
+
+
+def mixup(tiles: DataFrame, seed: int, alpha: float = 0.2, vec: str = "z", label: str = "label") -> DataFrame:
+    """Each tile mixed with a random other one (`mixup_pairs`): convex vectors, maximum of the labels."""
     mixed = F.zip_with(vec, "_z", lambda x, y: x * F.col("lam") + y * (F.lit(1.0) - F.col("lam")))
-    return paired.select(
+    return mixup_pairs(tiles, seed, alpha, vec, label).select(
         "image_id", "tile_idx", "lam", mixed.alias(vec), F.zip_with(label, "_y", lambda a, b: F.greatest(a, b)).alias(label)
     )
 
