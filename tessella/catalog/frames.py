@@ -18,17 +18,17 @@ def frames(spark, d, scale: int = 1):
     """(image_id, height, width, pixels); value = floor((e + 0.5) * 255 - 20 c), clamped.
     A half whose vector is missing is read as zeros. `scale` repeats every pixel."""
     t = tiles(spark, d).groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct("tile_idx", "z"))).alias("m"))
-    h, w = H * scale, W * scale
-    x, y, c = lambda i: F.floor(i / 3) % w, lambda i: F.floor(i / (3 * w)), lambda i: i % 3
+    each = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
 
-    def value(i):
-        sx, sy = F.floor(x(i) / scale), F.floor(y(i) / scale)
-        half = F.element_at(F.col("m"), F.floor(sx / 8).cast("int"))
-        e = F.coalesce(F.get(half, (sy * 8 + sx % 8).cast("int")).cast("double"), F.lit(0.0))
-        return F.greatest(F.lit(0), F.least(F.lit(255), F.floor((e + 0.5) * 255.0 - c(i) * 20))).cast("int")
+    def pixel(y, x):
+        """Six hexadecimal digits, made once for each number of a vector, whatever the scale."""
+        e = F.coalesce(F.get(F.element_at(F.col("m"), F.shiftright(x, 3)), y * 8 + x.bitwiseAND(F.lit(7))).cast("double"), F.lit(0.0))
+        value = lambda c: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((e + 0.5) * 255.0 - c * 20)))
+        return F.repeat(F.concat(*[F.substring(F.hex((value(c) + 256).cast("bigint")), 2, 2) for c in range(3)]), F.lit(scale))
 
-    values = F.transform(F.sequence(F.lit(0), F.lit(h * w * 3 - 1)), value)
-    return t.select("image_id", F.lit(h).alias("height"), F.lit(w).alias("width"), FR.pixels_from_values(values).alias("pixels"))
+    row = lambda y: F.repeat(F.array_join(F.transform(each(W), lambda x: pixel(y, x)), ""), F.lit(scale))
+    pixels = F.unhex(F.array_join(F.transform(each(H), row), ""))
+    return t.select("image_id", F.lit(H * scale).alias("height"), F.lit(W * scale).alias("width"), pixels.alias("pixels"))
 
 
 _PX = """WITH fe AS (SELECT image_id, half, embedding AS e FROM (SELECT DISTINCT vec_id // 2 AS image_id FROM embeddings), range(2) r(half) LEFT JOIN embeddings ON vec_id = image_id * 2 + half),
@@ -37,9 +37,7 @@ px AS (SELECT image_id, y, half * 8 + i AS x, c, greatest(0, least(255, floor((c
 
 def checksum(df):
     """Sum of pixel values weighted by (position mod 251) + 1."""
-    v = FR.pixel_values(df)
-    s = F.aggregate(F.transform(v, lambda x, i: x.cast("bigint") * (i % 251 + 1)), F.lit(0).cast("bigint"), lambda a, b: a + b)
-    return df.withColumn("checksum", s)
+    return df.withColumn("checksum", FR.weighted_sum(F.col("pixels")))
 
 
 @query("l1_grid_offsets", "doc_id:l i:l start:l", "SELECT doc_id, i, round_even(i * (n_chars - 32)::DOUBLE / 3, 0) AS start FROM documents, range(4) r(i) WHERE n_chars >= 32")

@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,7 +35,8 @@ CORRUPTIONS = {
     "defocus": (1.00, 2.00, 3.50),
     "sensor_noise": (5.00, 12.0, 25.0),
 }
-ENCODED_BYTES = 64 << 20  # bytes of tiles an encoder sees at once
+ENCODED_BYTES = 4 << 20  # bytes of tiles an encoder sees at once
+STACK_BYTES = 4 << 20  # bytes of floating-point pixels that are worked on at once
 HELD_BYTES = 16 << 20  # bytes of pixels a task gathers before it passes them on
 TRANSFORMS = ("identity", "rot90", "rot180", "rot270", "hflip", "vflip")
 
@@ -50,6 +52,30 @@ def to_uint8(x: np.ndarray) -> np.ndarray:
     return np.clip(x, 0, 255).astype(np.uint8)
 
 
+def stacks(b: pa.RecordBatch, frame_bytes: Callable[[int, int], int] = lambda h, w: 24 * h * w, limit: int = STACK_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places in the batch, (n, h, w, 3) pixels): frames of one size together, as many as take `limit` bytes."""
+    h, w = (b.column(c).to_numpy(zero_copy_only=False) for c in ("height", "width"))
+    pixels = b.column("pixels")
+    for height, width in sorted(set(zip(h.tolist(), w.tolist()))):
+        at, step = np.flatnonzero((h == height) & (w == width)), max(1, limit // max(1, frame_bytes(height, width)))
+        for i in range(0, len(at), step):
+            part = at[i : i + step]
+            yield part, np.frombuffer(b"".join(pixels[j].as_py() for j in part), dtype=np.uint8).reshape(-1, height, width, 3)
+
+
+@F.arrow_udf(T.LongType())
+def weighted_sum(pixels: pa.Array) -> pa.Array:
+    """Sum of the bytes, each weighted by (position mod 251) + 1; null for null."""
+    out = np.zeros(len(pixels), dtype=np.int64)
+    size = pixels.fill_null(b"").to_pylist()
+    lengths = np.array([len(x) for x in size], dtype=np.int64)
+    for n in np.unique(lengths[lengths > 0]):
+        weight, at = (np.arange(n) % 251 + 1).astype(np.float64), np.flatnonzero(lengths == n)  # whole numbers below 2^53
+        for part in np.split(at, range(max(1, STACK_BYTES // (8 * int(n))), len(at), max(1, STACK_BYTES // (8 * int(n))))):
+            out[part] = np.frombuffer(b"".join(size[i] for i in part), dtype=np.uint8).reshape(len(part), n) @ weight
+    return pa.array(out, pa.int64(), mask=np.asarray(pixels.is_null()))
+
+
 def map_frames(frames: DataFrame, fn: Callable[[object], Iterator[dict]], schema: T.StructType) -> DataFrame:
     """Run `fn(row)` on every frame row; it yields output rows as dicts."""
     names = [f.name for f in schema.fields]
@@ -152,8 +178,10 @@ def _offsets(dim: int, size: int, n: int) -> list[int]:
 
 
 def cut(a: np.ndarray, size: int, n: int) -> np.ndarray:
-    """(n * n, size, size, 3) row-major tiles of one frame."""
-    return np.stack([a[y : y + size, x : x + size] for y in _offsets(a.shape[0], size, n) for x in _offsets(a.shape[1], size, n)])
+    """(n * n, size, size, 3) row-major tiles of one frame; of stacked ones, those of the first frame first."""
+    h, w = a.shape[-3:-1]
+    tiles = np.stack([a[..., y : y + size, x : x + size, :] for y in _offsets(h, size, n) for x in _offsets(w, size, n)], axis=-4)
+    return tiles.reshape(-1, *tiles.shape[-3:])
 
 
 def grid_tiles(frames: DataFrame, size: int, n: int) -> DataFrame:
@@ -255,26 +283,28 @@ def background_factors(n: int, sigma: float, downsample: int, border: str) -> tu
 
 
 def both_axes(a: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    h, w, c = a.shape
-    x = (rows @ a.astype(np.float64).reshape(h, w * c)).reshape(-1, w, c)
+    """Frames, one or stacked, each as if alone."""
+    *many, h, w, c = a.shape
+    x = np.matmul(rows, a.astype(np.float64).reshape(*many, h, w * c)).reshape(*many, -1, w, c)
     return np.matmul(cols, x)
 
 
 def background_of(a: np.ndarray, sigma: float, downsample: int, border: str) -> np.ndarray:
-    h, w = a.shape[:2]
+    h, w = a.shape[-3:-1]
     for rows, cols in zip(background_factors(h, sigma, downsample, border), background_factors(w, sigma, downsample, border)):
         a = both_axes(a, rows, cols)
     return a
 
 
 def flatten_of(a: np.ndarray, method: str, sigma: float = 64.0, downsample: int = 8, border: str = "reflect", eps: float = 1.0) -> np.ndarray:
-    """Illumination-corrected float pixels in [0, 255]."""
+    """Illumination-corrected float pixels in [0, 255] of a frame or of stacked ones."""
     if method not in ("divide", "subtract", "none"):
         raise ValueError(f"no illumination method is called {method!r}")
     if method == "none":
         return a.astype(np.float64)
     bg = background_of(a, sigma, downsample, border)
-    out = a / (bg + eps) * bg.mean() if method == "divide" else a - bg + bg.mean()
+    mean = bg.reshape(*a.shape[:-3], -1).mean(axis=-1)[..., None, None, None]
+    out = a / (bg + eps) * mean if method == "divide" else a - bg + mean
     return np.clip(out, 0, 255)
 
 
@@ -297,11 +327,12 @@ def flatten_illumination(frames: DataFrame, method: str = "divide", sigma: float
 # ---- corruptions and transforms ---------------------------------------------------
 
 
-def corrupted(a: np.ndarray, name: str, severity: int, image_id: int = 0) -> np.ndarray:
+def corrupted(a: np.ndarray, name: str, severity: int, image_id=0) -> np.ndarray:
+    """A frame, or stacked ones with an array of ids, under one condition."""
     if name == "clean":
         return a
     s = CORRUPTIONS[name][severity - 1]
-    x, (h, w) = a.astype(np.float64), a.shape[:2]
+    x, (h, w) = a.astype(np.float64), a.shape[-3:-1]
     if name == "illum_gradient":
         x = x * np.linspace(1.0 - s, 1.0 + s, w)[None, :, None]
     elif name == "vignette":
@@ -310,11 +341,13 @@ def corrupted(a: np.ndarray, name: str, severity: int, image_id: int = 0) -> np.
     elif name == "brightness":
         x = x * s
     elif name == "contrast":
-        x = (x / 255.0) ** s * 255.0
+        x = ((np.arange(256) / 255.0) ** s * 255.0)[a]
     elif name == "defocus":
         x = both_axes(x, gaussian_matrix(h, s, "zero"), gaussian_matrix(w, s, "zero"))
     else:
-        x = x + s * np.random.default_rng([image_id, severity, zlib.crc32(name.encode())]).standard_normal(x.shape)
+        code, shape = zlib.crc32(name.encode()), a.shape[-3:]
+        noise = [np.random.default_rng([int(i), severity, code]).standard_normal(shape) for i in np.atleast_1d(image_id)]
+        x = x + s * np.stack(noise).reshape(a.shape)
     return to_uint8(x)
 
 
@@ -327,12 +360,22 @@ def conditions(spark) -> DataFrame:
 def corrupt(frames: DataFrame, names: Sequence[tuple[str, int]] | None = None) -> DataFrame:
     """Every frame under every condition, with `corruption` and `severity` columns.
 
-    The conditions are nineteen rows at most, exploded from a literal, so frames are not
-    shuffled."""
+    Frames are neither shuffled nor copied before the map: it works on stacked frames, condition by condition."""
     todo = list(names) if names is not None else [("clean", 0)] + [(n, s) for n in CORRUPTIONS for s in (1, 2, 3)]
-    listed = F.array(*[F.struct(F.lit(n).alias("corruption"), F.lit(s).alias("severity")) for n, s in todo])
-    rows = frames.select("*", F.explode(listed).alias("_e")).select(*frames.columns, "_e.corruption", "_e.severity")
-    return per_frame(rows, lambda a, r: corrupted(a, r.corruption, r.severity, r.image_id))
+    kept = [c for c in frames.columns if c != "pixels"]
+    schema = T.StructType([*frames.schema.fields, T.StructField("corruption", T.StringType()), T.StructField("severity", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at, a in stacks(b):
+                ids, n = b.column("image_id").to_numpy(zero_copy_only=False)[at], len(at)
+                own = {c: b.column(c).take(pa.array(at)) for c in kept}
+                for name, severity in todo:
+                    made = {"pixels": pa.array([x.tobytes() for x in corrupted(a, name, severity, ids)], pa.binary()),
+                            "corruption": pa.array([name] * n), "severity": pa.array(np.full(n, severity, np.int32))}
+                    yield pa.RecordBatch.from_arrays([(own | made)[c] for c in schema.names], names=schema.names)
+
+    return frames.mapInArrow(run, schema)
 
 
 def resized(a: np.ndarray, h: int, w: int, kernel: str = "bilinear", antialias: bool = False) -> np.ndarray:
@@ -564,33 +607,24 @@ def embed_frames(
 ) -> DataFrame:
     """Frame to tile vectors in one map: transform, flatten, tile, normalise, encode.
 
-    Flattened values stay floating point, and tile pixels never leave the task.
+    Flattened values stay floating point, and tile pixels never leave the task. Frames of one size are
+    worked on together, as many as have ENCODED_BYTES of tiles, so a task holds no more whatever its rows.
     """
-
-    def tiles_of(row):
-        a = pixels_of(row)
-        a = transform(a) if transform else a
-        x = preprocess(a).astype(np.float64) if preprocess else flatten_of(a, method, sigma, downsample, border)
-        return normalize_pixels(cut(x, size, n))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, held = [], []
-
-        def encoded():
-            z = encoder(np.concatenate(held)).astype(np.float32)
-            return pd.DataFrame({"image_id": np.repeat(ids, n * n), "tile_idx": np.tile(np.arange(n * n), len(ids)), "z": list(z)})
-
-        for pdf in batches:
-            for row in pdf.itertuples(index=False):
-                ids.append(row.image_id)
-                held.append(tiles_of(row))
-                if len(ids) * held[-1].nbytes > ENCODED_BYTES:
-                    yield encoded()
-                    ids, held = [], []
-        if ids:
-            yield encoded()
-
-    return frames.select("image_id", "height", "width", "pixels").mapInPandas(run, TILE_VECTORS)
+    alone = lambda a, fn: np.stack([fn(x) for x in a])
+    room = lambda h, w: 24 * max(h * w, n * n * size * size)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("image_id").to_numpy(zero_copy_only=False)
+            for at, a in stacks(b, room, ENCODED_BYTES):
+                a = alone(a, transform) if transform else a
+                x = alone(a, preprocess).astype(np.float64) if preprocess else flatten_of(a, method, sigma, downsample, border)
+                z = np.asarray(encoder(normalize_pixels(cut(x, size, n))), dtype=np.float32)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel()))
+                places = np.tile(np.arange(n * n, dtype=np.int32), len(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at], n * n), pa.int64()), pa.array(places), lists], names=TILE_VECTORS.names)
+
+    return frames.select("image_id", "height", "width", "pixels").mapInArrow(run, TILE_VECTORS)
 
 
 def units_from_tokens(
