@@ -241,8 +241,9 @@ def _cubic(x, a=-0.5):
     return np.where(x < 1, near, np.where(x < 2, far, 0.0))
 
 
+@functools.lru_cache(maxsize=512)
 def resize_matrix(n: int, m: int, kernel: str = "bilinear", antialias: bool = True) -> np.ndarray:
-    """(m, n) resampling weights with pixel-centre alignment; rows sum to one."""
+    """(m, n) resampling weights with pixel-centre alignment; rows sum to one. Frames of one size share them."""
     fn, support = (_triangle, 1.0) if kernel == "bilinear" else (_cubic, 2.0)
     scale = max(n / m, 1.0) if antialias else 1.0
     centre = (np.arange(m) + 0.5) * n / m - 0.5
@@ -435,8 +436,8 @@ def gather(a: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Bilinear values at real positions, clamped to the frame."""
     low = [np.clip(np.floor(p), 0, n - 2).astype(int) for p, n in ((y, a.shape[0]), (x, a.shape[1]))]
     v, u = (np.clip(p - i, 0.0, 1.0)[..., None] for p, i in zip((y, x), low))
-    i, j = low
-    corner = lambda di, dj: a[i + di, j + dj].astype(np.float64)
+    flat, at = a.reshape(-1, a.shape[2]).astype(np.float64), low[0] * a.shape[1] + low[1]
+    corner = lambda di, dj: flat.take(at + (di * a.shape[1] + dj), axis=0)
     return (1 - v) * ((1 - u) * corner(0, 0) + u * corner(0, 1)) + v * ((1 - u) * corner(1, 0) + u * corner(1, 1))
 
 

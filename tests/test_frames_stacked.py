@@ -70,3 +70,14 @@ def test_catalog_frames(spark, sf):
             e = np.hstack([np.array(vectors[2 * r.image_id + half]).astype(float).reshape(8, 8) for half in (0, 1)])
             one = np.stack([np.clip(np.floor((e + 0.5) * 255.0 - 20 * c), 0, 255) for c in range(3)], axis=-1).astype(np.uint8)
             assert bytes(r.pixels) == one.repeat(scale, axis=0).repeat(scale, axis=1).tobytes()
+
+
+def test_crops_share_their_resampling():
+    """Weights of one size are made once; a crop is the same as by single pixels."""
+    assert FR.resize_matrix(20, 12, "bilinear", True) is FR.resize_matrix(20, 12, "bilinear", True)
+    a, y, x = MANY[0], np.array([[0.0, 3.25], [11.0, 12.5]]), np.array([[0.5, 19.0], [7.75, -1.0]])
+    for (r, c), v in np.ndenumerate(y):
+        i, j = int(np.clip(np.floor(v), 0, 10)), int(np.clip(np.floor(x[r, c]), 0, 18))
+        dv, du = np.clip(v - i, 0, 1), np.clip(x[r, c] - j, 0, 1)
+        want = (1 - dv) * ((1 - du) * a[i, j] + du * a[i, j + 1]) + dv * ((1 - du) * a[i + 1, j] + du * a[i + 1, j + 1])
+        assert np.allclose(FR.gather(a, y, x)[r, c], want)
