@@ -12,6 +12,7 @@ from tessella.operators import prototypes as P
 from tessella.operators import scoring as S
 from tessella.plans import ablations as A
 from tessella.plans import decoders as D
+from tessella.session import durable
 
 
 def trained(spark, d):
@@ -290,10 +291,11 @@ def o9_mosaic(spark, d):
     from tessella.functions.labels import label_vector
     from tessella.operators import frames as FR
 
-    im, t = split_images(spark, d), CF.embedded(spark, d, method="none")
+    im, t = split_images(spark, d), durable(CF.embedded(spark, d, method="none"))
     real = D.labelled_tiles(t, im.where("split = 'train'"))
-    tiles_ = FR.mosaic(CF._pool(spark, d), CF._subsets(spark, d), 2, 7, quad=4)
-    keyed = tiles_.withColumn("image_id", F.xxhash64("combo", "mosaic"))
+    sets = CF._subsets(spark, d)
+    of_mosaic = F.xxhash64("combo", "mosaic").alias("image_id")
     label = F.transform(label_vector(F.split("combo", "_"), CLASSES), lambda x: x.cast("double"))
-    mosaics = FR.embed_tiles(keyed, CF.ENCODER).join(keyed.select("image_id", label.alias("label")).distinct(), "image_id")
-    return A.mosaic_stage(real, mosaics, im, t, CLASSES, epochs=30, absent_lambda=0.5)
+    labels = FR.mosaic_plan(sets, 2, 7).select("combo", "mosaic").distinct().select(of_mosaic, label.alias("label"))  # without pixels
+    tiles_ = FR.mosaic(CF._pool(spark, d), sets, 2, 7, quad=4).select(of_mosaic, "tile_idx", "size", "pixels")
+    return A.mosaic_stage(real, FR.embed_tiles(tiles_, CF.ENCODER).join(labels, "image_id"), im, t, CLASSES, epochs=30, absent_lambda=0.5)

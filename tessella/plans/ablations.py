@@ -18,6 +18,7 @@ from tessella.operators import calibrate as C
 from tessella.operators import fit as fitting
 from tessella.operators import frames as FR
 from tessella.operators import metrics as M
+from tessella.operators import multifit as MF
 from tessella.operators import prototypes as P
 from tessella.operators import scoring as S
 from tessella.operators import splits as SP
@@ -213,19 +214,27 @@ def robustness(
     return _union(parts).withColumn("e", back[F.col("cell").cast("int")]).select("e.corruption", "e.severity", "decoder", "arm", "f1")
 
 
+POOLS = ("real", "mosaic", "real+mosaic")
+
+
 def mosaic_stage(real: DataFrame, synthetic: DataFrame, images, tiles, classes, epochs: int = 10, lr: float = 1e-3, **fit_args) -> DataFrame:
     """(pool, metrics): unmixing fitted on real, mosaic, and both unit pools.
 
-    Pools hold (image_id, tile_idx, z, label); the union holds every unit of both.
+    Pools hold (image_id, tile_idx, z, label); the union holds every unit of both. The three fits share every
+    pass, unless `fit_args` has what `multifit.UnmixJob` does not know; the tiles are scored in one pass.
     """
     units = lambda df: df.select("image_id", "tile_idx", "z", "label")
-    pools = {"real": real, "mosaic": synthetic, "real+mosaic": units(real).unionByName(units(synthetic))}
     start = P.hybrid_prototypes(tiles, images.where("split = 'train'"), classes)
-    parts = []
-    for name, rows in pools.items():
-        m = fitting.fit_unmix(rows, start, epochs, lr, **fit_args).model
-        parts.append(S.tile_mean(S.score_tiles(_judged(tiles, images), m, ("weights",), ("image_id",)), m.k, "weights").withColumn("pool", F.lit(name)))
-    return _calibrated_f1(_union(parts).join(_evaluated(images), "image_id"), ["pool"], fallback=C.NEVER_FIRES)
+    if set(fit_args) <= {"absent_lambda", "reduction", "activation"}:
+        member = lambda pool: F.array(*[F.lit(float(pool in name.split("+"))) for name in POOLS])
+        rows = units(real).withColumn("member", member("real")).unionByName(units(synthetic).withColumn("member", member("mosaic")))
+        models = MF.fit_together(rows, {name: MF.UnmixJob(start, lr=lr, **fit_args) for name in POOLS}, epochs)
+    else:
+        pools = {"real": real, "mosaic": synthetic, "real+mosaic": units(real).unionByName(units(synthetic))}
+        models = {name: fitting.fit_unmix(pools[name], start, epochs, lr, **fit_args).model for name in POOLS}
+    scored = S.score_models(_judged(tiles, images), {i: models[name] for i, name in enumerate(POOLS)}, ("weights",), ("image_id",), "i")
+    scores = S.tile_mean(scored, start.k, "weights", ("i", "image_id")).withColumn("pool", F.array(*[F.lit(name) for name in POOLS])[F.col("i")]).drop("i")
+    return _calibrated_f1(scores.join(_evaluated(images), "image_id"), ["pool"], fallback=C.NEVER_FIRES)
 
 
 def subspace_stage(images, tiles, classes, dims=(32,), epochs: int = 10, lr: float = 1e-3, absent_lambda: float = 1.0) -> DataFrame:
