@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tessella.operators import fit as FT
 from tessella.operators import multifit as MF
 from tessella.plans import ablations as A
+from tessella.plans import decoders as D
 from tests.test_multifit import CLASSES, collection
 
 SPLIT = "CASE image_id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split"
@@ -30,3 +31,17 @@ def test_mosaic_pools_share_their_passes(spark, monkeypatch):
     assert len(passes) <= 4 + 1
     one_by_one = A.mosaic_stage(pool(0), pool(1), im, t, CLASSES, epochs=4, lr=1e-2, absent_lambda=0.5, tau_r=0.1)
     assert close(together.select("pool", "per_sample_f1", "macro_f1"), one_by_one.select("pool", "per_sample_f1", "macro_f1"))
+
+
+def test_probe_scores_are_made_once(spark):
+    im, t = collection(spark)
+    read, n = spark.sparkContext.accumulator(0), t.count()
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    out = D.compare_encoders({"one": t.mapInArrow(counted, t.schema)}, im.selectExpr("*", SPLIT), CLASSES, lr_grid=(0.1, 1.0), epochs=2)
+    assert out.count() == 20  # two rules, two splits, five metrics
+    assert read.value <= 5 * n  # dimension, fit, two validations, final scores
