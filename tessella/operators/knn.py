@@ -23,6 +23,8 @@ from tessella.session import durable
 SEND_LIMIT = 128 << 20  # bytes of float32 pool a task may hold
 BLOCK_ROWS = 16_384
 QUERY_CHUNK, POOL_CHUNK = 512, 8_192  # rows of a cell: 32 MB of similarities
+FIRST_CHUNK = 512  # pool rows of a query's first cell; the next ones double
+SENT_TASKS = 4  # tasks for each core, of queries that a sent pool meets
 MERGE_WIDTH = 64
 MOST_BLOCKS, LARGEST_BLOCK = 8, 1 << 17  # blocks of each side, unless their rows would be more than a task should hold
 
@@ -34,23 +36,41 @@ def _fold_mask(labels: np.ndarray, exclude: Sequence[int]) -> np.ndarray:
     return (labels[:, list(exclude)] == 0).all(axis=1)
 
 
+def _merged(top: np.ndarray, sims: np.ndarray) -> np.ndarray:
+    """The largest of both, row by row and descending, as many as `top` has."""
+    k = top.shape[1]
+    if sims.shape[1] > k:
+        sims = np.partition(sims, sims.shape[1] - k, axis=1)[:, sims.shape[1] - k :]
+    return -np.sort(-np.concatenate([top, sims], axis=1), axis=1)[:, :k]
+
+
 def _top(q: np.ndarray, pool: np.ndarray, masks: list[np.ndarray], k: int) -> list[np.ndarray]:
     """Per fold, the k largest similarities of every query, descending, -inf padded.
 
-    Queries and pool meet in cells of QUERY_CHUNK x POOL_CHUNK, so a task's memory does not
-    depend on the size of either.
+    Queries and pool meet in cells of QUERY_CHUNK x POOL_CHUNK at most, so a task's memory does
+    not depend on the size of either. After a small first cell only similarities above the k-th
+    of some fold are looked at, and few are, so folds cost little beside the one product.
     """
     out = [np.full((len(q), k), -np.inf) for _ in masks]
     for i in range(0, len(q), QUERY_CHUNK):
-        for j in range(0, len(pool), POOL_CHUNK):
-            sims = q[i : i + QUERY_CHUNK] @ pool[j : j + POOL_CHUNK].T
-            for f, mask in enumerate(masks):
-                use = mask[j : j + POOL_CHUNK]
-                s = sims if use.all() else sims[:, use]
-                if s.shape[1] > k:
-                    s = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k :]
-                both = np.concatenate([out[f][i : i + QUERY_CHUNK], s], axis=1)
-                out[f][i : i + QUERY_CHUNK] = -np.sort(-both, axis=1)[:, :k]
+        part = q[i : i + QUERY_CHUNK]
+        tops, j, step = [o[i : i + QUERY_CHUNK] for o in out], 0, FIRST_CHUNK
+        while j < len(pool):
+            sims = part @ pool[j : j + step].T
+            if j == 0:
+                for top, mask in zip(tops, masks):
+                    top[:] = _merged(top, sims[:, mask[:step]])
+            else:
+                row, col = np.nonzero(sims > np.min([top[:, -1] for top in tops], axis=0)[:, None])
+                high = sims[row, col]
+                for top, mask in zip(tops, masks):
+                    on = mask[j + col] & (high > top[row, -1])
+                    if on.any():
+                        at, n = np.unique(row[on], return_counts=True)
+                        some = np.full((len(at), n.max()), -np.inf)
+                        some[np.arange(n.max()) < n[:, None]] = high[on]  # both row by row
+                        top[at] = _merged(top[at], some)
+            j, step = j + step, min(2 * step, POOL_CHUNK)
     return out
 
 
@@ -112,7 +132,9 @@ def knn_top(
                 if b.num_rows:
                     yield _emit(b, keep, _top(unit_rows(to_matrix(b.column("z"))), rows, masks, k), names)
 
-        return queries.select(*keep, "z").mapInArrow(run, schema)
+        # dealt by number: few bytes of queries would else be few tasks, each with much work
+        tasks = SENT_TASKS * queries.sparkSession.sparkContext.defaultParallelism
+        return queries.select(*keep, "z").repartition(tasks).mapInArrow(run, schema)
 
     n_pb = _blocks(n_pool, block_rows)
     n_query = queries.count()

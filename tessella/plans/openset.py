@@ -151,17 +151,23 @@ def openworld_variants(
     validation images without it, treat every other class as unknown in turn.
     """
     k = len(classes)
+    images = durable(images.select("image_id", "combo", "label", "split"))
     train = images.where("split = 'train'")
-    pool = units.join(train.select("image_id", "label"), "image_id")
+    pool = durable(units.join(train.select("image_id", "label"), "image_id"))
     val = images.where("split = 'val'")
     val_units = _of_split(units, images, "val")
     out = None
     plans = [("outer", [[s] for s in range(k)])]
     if inner:
         plans.append(("inner", [[s, i] for s in range(k) for i in range(k) if i != s]))
+    # validation units meet the pool once for the folds of both stages
+    every = [e for _, excludes in plans for e in excludes]
+    all_models = fold_models(units, train, classes, every)
+    all_vs, first = durable(unit_unknown_scores(val_units, all_models, pool, every, knn_k, energy_t)), 0
     for stage, excludes in plans:
-        models = fold_models(units, train, classes, excludes)
-        vs = durable(unit_unknown_scores(val_units, models, pool, excludes, knn_k, energy_t))
+        models = {f: all_models[first + f] for f in range(len(excludes))}
+        vs = all_vs.withColumn("fold", F.col("fold") - first).where(F.col("fold").between(0, len(excludes) - 1))
+        first += len(excludes)
         refs = class_refs(vs, val, classes, models)
         if stage == "outer":
             rows, target = unit_unknown_scores(_of_split(units, images, "test"), models, pool, excludes, knn_k, energy_t), images.where("split = 'test'")
