@@ -112,7 +112,7 @@ def sweep_frames(images, frames, classes, encoder, arms: dict[str, dict]) -> Dat
     illumination methods or tile sizes."""
     parts = []
     for name, args in arms.items():
-        t = FR.embed_frames(frames, encoder, **args)
+        t = durable(FR.embed_frames(frames, encoder, **args))  # read for prototypes and for scores
         model = P.hybrid_prototypes(t, images.where("split = 'train'"), classes)
         s = _stacked(S.score_tiles(t, model, ("sims", "weights"), ("image_id",)), model.k, ("unmix", "match"), ("image_id",))
         parts.append(s.withColumn("arm", F.lit(name)))
@@ -203,7 +203,7 @@ def robustness(
     coded = bad.withColumn("image_id", F.col("image_id") * len(listed) + cell)
     parts = []
     for arm in methods:
-        t = FR.embed_frames(coded, encoder, size, n, method=arm, **embed_args)
+        t = durable(FR.embed_frames(coded, encoder, size, n, method=arm, **embed_args))  # read by every decoder
         for decoder, model in models.items():
             s = S.tile_mean(S.score_tiles(t, model, (COLUMNS[decoder],)), model.k, COLUMNS[decoder])
             s = s.withColumn("cell", F.col("image_id") % len(listed)).withColumn("image_id", F.floor(F.col("image_id") / len(listed)).cast("bigint"))

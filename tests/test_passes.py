@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.operators import fit as FT
+from tessella.operators import frames as FR
 from tessella.operators import knn as KNN
 from tessella.operators import multifit as MF
 from tessella.plans import ablations as A
@@ -80,3 +81,23 @@ def test_probe_scores_are_made_once(spark):
     out = D.compare_encoders({"one": t.mapInArrow(counted, t.schema)}, im.selectExpr("*", SPLIT), CLASSES, lr_grid=(0.1, 1.0), epochs=2)
     assert out.count() == 20  # two rules, two splits, five metrics
     assert read.value <= 5 * n  # dimension, fit, two validations, final scores
+
+
+class Counting:
+    """An encoder that counts the tiles it sees."""
+
+    def __init__(self, seen):
+        self.seen, self.inner = seen, FR.ProjectionEncoder(6, 2, 3)
+
+    def __call__(self, x):
+        self.seen.add(len(x))
+        return self.inner(x)
+
+
+def test_arms_encode_their_frames_once(spark):
+    im, _ = collection(spark)
+    g, seen = np.random.default_rng(8), spark.sparkContext.accumulator(0)
+    frames = spark.createDataFrame([(i, 8, 8, g.integers(0, 256, 192).astype(np.uint8).tobytes()) for i in range(90)], FR.FRAME)
+    arms = {m: {"size": 4, "n": 2, "method": m, "sigma": 2.0, "downsample": 2} for m in ("divide", "none")}
+    out = A.sweep_frames(im.selectExpr("*", SPLIT), frames, CLASSES, Counting(seen), arms)
+    assert out.count() == 4 and seen.value == 2 * 90 * 4
