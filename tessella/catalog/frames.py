@@ -10,6 +10,7 @@ from tessella.operators import frames as FR
 from tessella.operators import prototypes as P
 from tessella.plans import ablations as A
 from tessella.plans import decoders as D
+from tessella.session import durable
 
 H, W = 8, 16
 
@@ -222,7 +223,7 @@ def l13(spark, d):
 
 
 def _frame_model(spark, d, **kw):
-    im, t = split_images(spark, d), embedded(spark, d, **kw)
+    im, t = split_images(spark, d), durable(embedded(spark, d, **kw))  # read for prototypes and for thresholds
     return im, t, D.run_matching(im, t, CLASSES)[0]
 
 

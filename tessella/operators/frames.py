@@ -391,13 +391,14 @@ def resize_frames(frames: DataFrame, size: int, kernel: str = "bilinear", antial
 
 def grayscale_of(a: np.ndarray) -> np.ndarray:
     luma = (a.astype(np.int64) @ np.array(LUMA) + 0x8000) >> 16
-    return np.repeat(luma.astype(np.uint8)[..., None], 3, axis=2)
+    return np.repeat(luma.astype(np.uint8)[..., None], 3, axis=-1)
 
 
 def transformed(a: np.ndarray, name: str) -> np.ndarray:
+    """A frame, or frames of one size, under a named transform."""
     if name.startswith("rot"):
-        return np.rot90(a, int(name[3:]) // 90)
-    return {"identity": lambda x: x, "hflip": lambda x: x[:, ::-1], "vflip": lambda x: x[::-1], "grayscale": grayscale_of}[name](a)
+        return np.rot90(a, int(name[3:]) // 90, axes=(-3, -2))
+    return {"identity": lambda x: x, "hflip": lambda x: x[..., ::-1, :], "vflip": lambda x: x[..., ::-1, :, :], "grayscale": grayscale_of}[name](a)
 
 
 def transform_frames(frames: DataFrame, names: Sequence[str] = TRANSFORMS) -> DataFrame:
@@ -605,10 +606,11 @@ def embed_tiles(tiles: DataFrame, encoder: Encoder, mean=CHANNEL_MEAN, std=CHANN
 def embed_frames(
     frames: DataFrame, encoder: Encoder, size: int, n: int, method: str = "divide", sigma: float = 64.0, downsample: int = 8,
     border: str = "zero", preprocess: Callable[[np.ndarray], np.ndarray] | None = None, transform: Callable[[np.ndarray], np.ndarray] | None = None,
+    moves: Sequence[str] = (),
 ) -> DataFrame:
     """Frame to tile vectors in one map: transform, flatten, tile, normalise, encode.
 
-    Flattened values stay floating point, and tile pixels never leave the task. Frames of one size are
+    `moves` names transforms of `transformed`: each frame is encoded under every one, with a `transform` column. Flattened values stay floating point, and tile pixels never leave the task. Frames of one size are
     worked on together, as many as have ENCODED_BYTES of tiles, so a task holds no more whatever its rows.
     """
     alone = lambda a, fn: np.stack([fn(x) for x in a])
@@ -619,13 +621,17 @@ def embed_frames(
             ids = b.column("image_id").to_numpy(zero_copy_only=False)
             for at, a in stacks(b, room, ENCODED_BYTES):
                 a = alone(a, transform) if transform else a
-                x = alone(a, preprocess).astype(np.float64) if preprocess else flatten_of(a, method, sigma, downsample, border)
-                z = np.asarray(encoder(normalize_pixels(cut(x, size, n))), dtype=np.float32)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel()))
-                places = np.tile(np.arange(n * n, dtype=np.int32), len(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[at], n * n), pa.int64()), pa.array(places), lists], names=TILE_VECTORS.names)
-
-    return frames.select("image_id", "height", "width", "pixels").mapInArrow(run, TILE_VECTORS)
+                for name in moves or (None,):
+                    m = np.ascontiguousarray(transformed(a, name)) if name else a
+                    x = alone(m, preprocess).astype(np.float64) if preprocess else flatten_of(m, method, sigma, downsample, border)
+                    z = np.asarray(encoder(normalize_pixels(cut(x, size, n))), dtype=np.float32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(z) + 1, dtype=np.int32) * z.shape[1]), pa.array(z.ravel()))
+                    places = np.tile(np.arange(n * n, dtype=np.int32), len(at))
+                    made = [pa.array(np.repeat(ids[at], n * n), pa.int64()), pa.array(places), lists]
+                    yield pa.RecordBatch.from_arrays([*made, pa.array([name] * len(z))] if name else made, names=schema.names)
+
+    schema = T.StructType([*TILE_VECTORS.fields, *([T.StructField("transform", T.StringType())] if moves else [])])
+    return frames.select("image_id", "height", "width", "pixels").mapInArrow(run, schema)
 
 
 def units_from_tokens(

@@ -81,3 +81,27 @@ def test_crops_share_their_resampling():
         dv, du = np.clip(v - i, 0, 1), np.clip(x[r, c] - j, 0, 1)
         want = (1 - dv) * ((1 - du) * a[i, j] + du * a[i, j + 1]) + dv * ((1 - du) * a[i + 1, j] + du * a[i + 1, j + 1])
         assert np.allclose(FR.gather(a, y, x)[r, c], want)
+
+
+def test_moved_frames_are_encoded_in_one_map(spark):
+    _, df = rows(spark)
+    args = {"size": 4, "n": 2, "sigma": 2.0, "downsample": 2}
+    key = lambda r: (r.image_id, r.transform, r.tile_idx)
+    names = (*FR.TRANSFORMS, "grayscale")
+    got = {key(r): r.z for r in FR.embed_frames(df, CF.ENCODER, moves=names, **args).collect()}
+    want = {}
+    for name in names:
+        alone = FR.embed_frames(FR.transform_frames(df, (name,)), CF.ENCODER, **args)
+        want |= {key(r): r.z for r in alone.withColumn("transform", F.lit(name)).collect()}
+    assert got == want and len(got) == len(names) * 4 * len(SIZES)
+
+
+def test_invariance_scores_and_encoder_hold_no_workers_side_by_side(spark, sf, monkeypatch):
+    from tessella.plans import ablations as A
+
+    maps, scored = [], A.S.score_tiles
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(A.S, "score_tiles", lambda *a, **kw: [maps.append(plan(out := scored(*a, **kw)).count("MapIn")), out][1])
+    got = CF.o17_inv.run(spark, sf) if hasattr(CF.o17_inv, "run") else CF.o17_inv(spark, sf)
+    assert got.count() == len(FR.TRANSFORMS) + 1
+    assert maps and set(maps) == {1}
