@@ -18,6 +18,7 @@ from tessella.model import ChannelModel
 from tessella.operators import frames as FR
 from tessella.operators.scoring import readouts
 from tessella.operators.splits import split_summary, temporal_split
+from tessella.session import durable
 from tessella.sources.files import IMAGE_SUFFIXES, list_images
 from tessella.sources.manifests import write_images, write_manifest
 from tessella.sources.stores import wide_predictions
@@ -76,7 +77,8 @@ def prepare(
     """
     if not 0 < train + val <= 1:
         raise ValueError("train and val must add up to at most 1")
-    images = list_images(spark, root, suffixes).where("combo is not null").select("path", "combo")
+    # written down, since the split goes over the listing three times
+    images = durable(list_images(spark, root, suffixes, lengths=False).where("combo is not null").select("path", "combo"))
     split = temporal_split(images, train, val)
     write_images(split, manifest)
     split = spark.read.parquet(manifest)
