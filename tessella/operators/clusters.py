@@ -296,6 +296,8 @@ def assign_clusters(rows: DataFrame, centres: np.ndarray, keep=("image_id", "til
 
 #: Bytes of vectors that travel to tasks at once, possible leaders of a window at most, and rows compared at once in a task.
 LEADER_BYTES, LEADER_WINDOW, LEADER_SLICE = 32 << 20, 8192, 512
+#: Seeds of the first window; the next ones are twice as large, since leaders have taken most rows by then.
+FIRST_WINDOW = 512
 NONE = np.iinfo(np.int64).max
 
 
@@ -311,30 +313,31 @@ def greedy_clusters(rows: DataFrame, threshold: float, min_size: int, order: str
     A window of seeds is settled in a few passes, not one by one. Each pass bounds the
     followers of every open seed: from above by the rows that no earlier leader takes, from
     below by those whose first open seed it is. Seeds below `min_size` from above are
-    dropped, seeds that no earlier open one can take and that have enough from below lead;
-    the first open seed's bounds are equal, so each pass settles some, mostly nearly all.
+    dropped, seeds that no earlier open one can take and that have enough from below lead and
+    take others of the window; the first open seed's bounds are equal, so each pass settles
+    some, mostly nearly all. Windows start small, and rows that leaders before a window
+    take are not compared with its seeds, so the first leaders spare most comparisons.
     The driver holds one window and the leaders since rows were last handed out, both
     within LEADER_BYTES; then the rows these take leave the table.
     """
     free = rows.select(F.col(order).cast("bigint").alias("i"), F.col(vec).alias("z"))
     free = free.persist(StorageLevel.MEMORY_AND_DISK)
     means: list[np.ndarray] = []
-    lead_id, lead_z, after, room = np.zeros(0, np.int64), None, None, None
+    lead_id, lead_z, after, window, room = np.zeros(0, np.int64), None, None, min(FIRST_WINDOW, LEADER_WINDOW), None
     try:
         while True:
-            seeds = _next_seeds(free, lead_id, lead_z, threshold, after, room or LEADER_WINDOW)
+            seeds = _next_seeds(free, lead_id, lead_z, threshold, after, min(window, room or window))
             if seeds is None:
                 break
             ids, z = seeds
             room = max(1, min(LEADER_WINDOW, LEADER_BYTES // (8 * z.shape[1])))
-            ids, z = ids[:room], z[:room]
+            ids, z, window = ids[:room], z[:room], min(2 * window, LEADER_WINDOW)
             after, lead_z = int(ids[-1]), np.zeros((0, z.shape[1])) if lead_z is None else lead_z
+            close = _close_later(z, threshold)
             while len(ids):
-                upper, lower, taken, waits = _seed_bounds(free, lead_id, lead_z, ids, z, threshold)
-                leads = (taken == 0) & (upper >= min_size) & (waits == 0) & (lower >= min_size)
+                leads, still = _settled(*_seed_bounds(free, lead_id, lead_z, ids, z, threshold), close, min_size)
                 lead_id, lead_z = np.concatenate([lead_id, ids[leads]]), np.vstack([lead_z, z[leads]])
-                still = (taken == 0) & (upper >= min_size) & ~leads
-                ids, z = ids[still], z[still]
+                ids, z, close = ids[still], z[still], close[still][:, still]
             at = np.argsort(lead_id)
             lead_id, lead_z = lead_id[at], lead_z[at]
             if len(lead_id) >= room:
@@ -378,36 +381,67 @@ def _not_taken(free: DataFrame, lead_id, lead_z, threshold: float, after: int |
 
 
 def _next_seeds(free: DataFrame, lead_id, lead_z, threshold: float, after: int | None, window: int) -> tuple[np.ndarray, np.ndarray] | None:
-    top = _not_taken(free, lead_id, lead_z, threshold, after).orderBy("i").limit(window).toArrow()
+    """The first `window` rows beyond `after` that no leader takes; a task passes on its own first ones only."""
+
+    def run(batches):
+        ids, z, last = np.zeros(0, np.int64), None, NONE
+        for own, f in _leader_batches(batches):
+            ok = (_first_leader(f, own, lead_id, lead_z, threshold) < 0) & (own <= last)
+            ids, z = np.concatenate([ids, own[ok]]), f[ok] if z is None else np.vstack([z, f[ok]])
+            if len(ids) > window:
+                first = np.argsort(ids, kind="stable")[:window]
+                ids, z = ids[first], z[first]
+                last = ids[-1]
+        if len(ids):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), to_lists(z)], names=["i", "z"])
+
+    beyond = free if after is None else free.where(F.col("i") > after)
+    top = beyond.mapInArrow(run, "i bigint, z array<double>").orderBy("i").limit(window).toArrow()
     return (top.column(0).to_numpy(), to_matrix(top.column(1).combine_chunks())) if top.num_rows else None
 
 
+def _close_later(z: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each seed could take each later one."""
+    n = len(z)
+    out = np.zeros((n, n), dtype=bool)
+    for k in range(0, n, LEADER_SLICE):
+        out[k : k + LEADER_SLICE] = (z[k : k + LEADER_SLICE] @ z.T > threshold) & (np.arange(n)[None, :] > np.arange(k, min(k + LEADER_SLICE, n))[:, None])
+    return out
+
+
+def _settled(upper: np.ndarray, lower: np.ndarray, close: np.ndarray, min_size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which open seeds lead and which stay open. A lower bound holds when earlier open seeds come to lead: they were before it for every row it counts."""
+    leads, still = np.zeros(len(upper), dtype=bool), upper >= min_size
+    while True:
+        new = still & (lower >= min_size) & ~close[still].any(axis=0)
+        if not new.any():
+            return leads, still
+        leads |= new
+        still &= ~new & ~close[new].any(axis=0)
+
+
 def _seed_bounds(free: DataFrame, lead_id, lead_z, ids: np.ndarray, z: np.ndarray, threshold: float) -> list[np.ndarray]:
-    """For each open seed: followers at most and at least, whether a leader takes it, whether an earlier open seed could."""
+    """For each open seed: followers at most and at least."""
     n, start = len(ids), int(ids[0])
     at = np.argsort(lead_id)
     lead_id, lead_z = lead_id[at], lead_z[at]
 
     def count(rid, m):
-        out = np.zeros((4, n))
+        out = np.zeros((2, n))
         every = unit_rows(m)
         for k in range(0, len(rid), LEADER_SLICE):
             own, f = rid[k : k + LEADER_SLICE], every[k : k + LEADER_SLICE]
             lead = _first_leader(f, own, lead_id, lead_z, threshold)
             by = np.where(lead < 0, NONE, lead_id[lead] if len(lead_id) else NONE)
+            follows = by > start  # rows led from before the first open seed follow none
+            own, f, by = own[follows], f[follows], by[follows]
             hit = (f @ z.T > threshold) & (own[:, None] >= ids[None, :]) & (ids[None, :] < by[:, None])
             out[0] += hit.sum(axis=0)
-            some = hit.any(axis=1)
-            first = np.where(some, hit.argmax(axis=1), -1)
-            out[1] += np.bincount(first[some], minlength=n)
-            place = np.searchsorted(ids, own)
-            mine = (place < n) & (ids[np.minimum(place, n - 1)] == own)
-            out[2] += np.bincount(place[mine & (by < own)], minlength=n)
-            out[3] += np.bincount(place[mine & some & (first < place)], minlength=n)
+            out[1] += np.bincount(hit.argmax(axis=1)[hit.any(axis=1)], minlength=n)
         return out.ravel()
 
     # whole numbers, which running means of tasks may leave a little under or over
-    return list(np.rint(task_sums(free.where(F.col("i") >= start), ["i", "z"], count)).reshape(4, n))
+    return list(np.rint(task_sums(free.where(F.col("i") >= start), ["i", "z"], count)).reshape(2, n))
 
 
 def _leader_means(free: DataFrame, lead_id: np.ndarray, lead_z: np.ndarray, threshold: float) -> np.ndarray:

@@ -204,3 +204,14 @@ def test_flagged_cells(spark):
         z = unit_rows(np.array([r.z]))
         want = [float(np.linalg.norm(z - sparsemax_rows(z @ m.matrix.T * m.tau) @ m.matrix) > t) for m in models for t in gates]
         assert r.member == want
+
+
+def test_leaders_spare_comparisons(spark, monkeypatch):
+    """The first leaders take most rows, and what they take is not compared with later seeds."""
+    z = unit_rows(np.random.default_rng(12).standard_normal((3000, 8)))
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(z)], "row_id bigint, z array<double>").repartition(3)
+    opened, bounds = [], CL._seed_bounds
+    monkeypatch.setattr(CL, "_seed_bounds", lambda *a: [opened.append(len(a[3])), bounds(*a)][1])
+    got, want = CL.greedy_clusters(df, 0.5, 8), one_by_one(z, 0.5, 8)
+    assert len(want) > 10 and np.allclose(got, want)
+    assert max(opened) <= 512 and sum(opened) < len(z)
