@@ -102,6 +102,6 @@ def test_invariance_scores_and_encoder_hold_no_workers_side_by_side(spark, sf, m
     maps, scored = [], A.S.score_tiles
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(A.S, "score_tiles", lambda *a, **kw: [maps.append(plan(out := scored(*a, **kw)).count("MapIn")), out][1])
-    got = CF.o17_inv.run(spark, sf) if hasattr(CF.o17_inv, "run") else CF.o17_inv(spark, sf)
+    got = CF.o17_inv(spark, sf)
     assert got.count() == len(FR.TRANSFORMS) + 1
     assert maps and set(maps) == {1}
