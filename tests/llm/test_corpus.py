@@ -278,6 +278,28 @@ def test_line_recall(spark, n_words):
     assert pairs > 20 and 0.95 * pairs <= gone <= pairs
 
 
+def test_unlike_lines_hardly_meet(spark, sf):
+    """In the given documents, buckets hold few pairs for a line."""
+    each, *_, keyed = lines.candidate_keys(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    met = keyed.distinct().groupBy("key").count()
+    pairs = met.agg(F.sum(F.expr("count * (count - 1) / 2"))).first()[0]
+    assert pairs < 2 * each.count()
+
+
+def test_letters_all_over_long_lines(spark):
+    """Of lines of words with letters changed all over, at 0.9, nearly all meet."""
+    rng = random.Random(5)
+    texts, pairs = [], 80
+    for size in (30, 60, 140, 200) * (pairs // 4):
+        a = " ".join("".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 8))) for _ in range(size))
+        b = list(a)
+        for i in rng.sample(range(1, len(a) - 1), len(a) // 10):
+            b[i] = rng.choice("uvwxyz")
+        texts += [a, "".join(b)]
+    gone = sum(r.n_removed for r in lines.dedup_lines(frame(spark, texts)).collect())
+    assert 0.9 * pairs <= gone <= pairs
+
+
 # -- search -----------------------------------------------------------------------------------------------
 
 
